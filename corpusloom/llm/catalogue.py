@@ -26,6 +26,12 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import kneser_ney
+
+    return kneser_ney.learned_and_scored(table(spark, sf_dir, "documents"), fold=7, held=2)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import langid
 
