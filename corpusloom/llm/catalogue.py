@@ -32,12 +32,24 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.learned_and_scored(table(spark, sf_dir, "documents"), fold=7, held=2)
 
 
+def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import wrappers
+
+    return wrappers.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import langid
 
     return langid.identify(table(spark, sf_dir, "documents"), fold=4, held=2)
 
 
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import superminhash
+
+    return superminhash.grouped(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
