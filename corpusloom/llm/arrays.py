@@ -12,6 +12,9 @@ CHUNK_BYTES = 2_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation.
+MARKS = _SPACE.copy()
+MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -60,10 +63,13 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 
 
 class Words:
-    """The words [^\\x20\\x09-\\x0D]+ of a run of texts: start and end byte of each, and n + 1 word offsets by text."""
+    """The words [^\\x20\\x09-\\x0D]+ of a run of texts: start and end byte of each, and n + 1 word offsets by text.
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray):
-        inside = ~_SPACE[raw]
+    gaps: the bytes that part words, white space if not given.
+    """
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray, gaps: np.ndarray = _SPACE):
+        inside = ~gaps[raw]
         before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         before[at[:-1][at[:-1] < len(raw)]] = False

@@ -19,6 +19,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import latent
+
+    return latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import templates
+
+    return templates.deduplicated(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_dropped")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import topk
 

@@ -250,6 +250,6 @@ def deduplicated(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     """The documents without all but one of each group: the row with the smallest doc_id, and of rows that share it, the first by text."""
     kept = grouped(documents, k, percent).where("kept").select("doc_id").distinct()
     stay = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    stay = stay.withColumn("_rank_in_group", F.row_number().over(first)).where("_rank_in_group = 1").drop("_rank_in_group")
-    return stay.select(documents.columns).unionByName(documents.where("doc_id is null"))
+    rank = runtime.unused(documents.columns, "rank_in_group")
+    stay = stay.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(rank) == 1).drop(rank)
+    return stay.unionByName(documents.where("doc_id is null"))

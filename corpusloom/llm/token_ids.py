@@ -24,7 +24,7 @@ from corpusloom.llm import simple8b
 
 BLOB_IDS = 1 << 19
 #: Words that a worker remembers with their ids; beyond it, it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 END_ID = 2
 FILE_SCHEMA = "shard int, before long, doc_ids array<long>, sizes array<int>, blob binary"
 
@@ -34,6 +34,18 @@ _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
 
 
+class _Known(dict):
+    """Word -> number, given out as words come; fresh: those not encoded yet."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them, by way of each distinct word.
 
@@ -61,26 +73,46 @@ class Encoder:
             self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Known()
+        self.place: dict[str, int] = {}
         self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _pieces(self, word: bytes) -> list[str]:
-        if _PLAIN.fullmatch(word):
-            return _ASCII.findall(word.decode())
-        return [x for x, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(word.decode("utf-8", "surrogatepass")))]
+        self.piece_ids, self.piece_at = self.ids, self.at
+
+    def _pieces(self, words: list[bytes]) -> list[list[str]]:
+        """The split of each word, plain ASCII by the pattern's ASCII form, all others by the tokenizer, many at a time."""
+        out = [_ASCII.findall(w.decode()) if _PLAIN.fullmatch(w) else None for w in words]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for start in range(0, len(rest), 500):
+            own = rest[start : start + 500]
+            texts = [words[i].decode("utf-8", "surrogatepass") for i in own]
+            whole = self.whole.normalizer.normalize_str(" ".join(texts))
+            parts = whole.split(" ")
+            if len(parts) != len(own):  # white space beyond ASCII within a word
+                for i, t in zip(own, texts):
+                    out[i] = [x for x, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(t))]
+                continue
+            for i in own:
+                out[i] = []
+            ends = np.cumsum([len(p) + 1 for p in parts])
+            split = self.whole.pre_tokenizer.pre_tokenize_str(whole)
+            for (piece, _), k in zip(split, np.searchsorted(ends, [at[0] for _, at in split], "right").tolist()):
+                out[own[k]].append(piece)
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
-        split = [self._pieces(w) for w in words]
-        pieces = list(dict.fromkeys(p for x in split for p in x))
-        place = {p: i for i, p in enumerate(pieces)}
-        ids, at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        if pieces:
-            lines = [" ".join(pieces[i : i + 1000]) for i in range(0, len(pieces), 1000)]
+        split, place = self._pieces(words), self.place
+        fresh = list(dict.fromkeys(p for x in split for p in x if p not in place))
+        if fresh:
+            lines = [" ".join(fresh[i : i + 1000]) for i in range(0, len(fresh), 1000)]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)])
-            at = np.concatenate(([0], np.flatnonzero(self.last[ids]) + 1))
-            if len(at) != len(pieces) + 1:
-                own = [np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(pieces, add_special_tokens=False)]
-                ids, at = np.concatenate(own), np.concatenate(([0], np.cumsum([len(x) for x in own])))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(fresh):
+                own = [np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(fresh, add_special_tokens=False)]
+                ids, ends = np.concatenate(own), np.cumsum([len(x) for x in own])
+            place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
+            self.piece_at = np.concatenate((self.piece_at, self.piece_at[-1] + ends))
+            self.piece_ids = np.concatenate((self.piece_ids, ids))
+        ids, at = self.piece_ids, self.piece_at
         order = np.fromiter((place[p] for x in split for p in x), np.int64)
         flat, size = _gather(ids, at, order)
         per_word = np.fromiter(map(len, split), np.int64, len(split))
@@ -96,19 +128,13 @@ class Encoder:
             return np.concatenate(own) if own else np.zeros(0, np.uint32), np.fromiter(map(len, own), np.int64, len(own))
         if len(self.known) > REMEMBERED:
             self.forget()
-        known, fresh, found = self.known, [], []
+        known, found = self.known, []
         for t in texts:
             words = t.encode("utf-8", "surrogatepass").lower().split()
-            try:
-                found.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            except KeyError:
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
-                        fresh.append(w)
-                found.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        if fresh:
-            self._learn(fresh)
+            found.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+        if known.fresh:
+            self._learn(known.fresh)
+            known.fresh = []
         ids, size = _gather(self.ids, self.at, np.concatenate(found)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         ends = np.concatenate(([0], np.cumsum(size)))
         by_text = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
