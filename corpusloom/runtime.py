@@ -46,6 +46,14 @@ def local_path(uri: str) -> str:
     return uri
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that clashes with none of the given ones, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
