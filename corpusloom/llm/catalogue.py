@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,12 @@ def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.deduplicated(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_dropped")
 
 
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import packing
+
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import topk
 
@@ -70,8 +77,14 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.encoded(table(spark, sf_dir, "documents"), str(public_tokenizers.path(VOCABULARY)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if callable(v) and (re.match(r"op\d+_", k) or k == "pipeline")}
 
 
 OP5_SQL = """

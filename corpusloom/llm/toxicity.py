@@ -174,3 +174,21 @@ def train(documents: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0,
 
 def scored(documents: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, train_rows: int = TRAIN_ROWS) -> DataFrame:
     return score(documents, *train(documents, labels, fold, held, train_rows), fold=fold, held=held)
+
+
+def accepted(documents: DataFrame, weight: np.ndarray, bias: float, least: float = 0.5) -> DataFrame:
+    """The documents whose score is below `least`, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast((weight, bias))
+    at_text = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b0 = shared.value
+        for b in batches:
+            keep = []
+            for _, _, raw, at in chunks(b.column(at_text)):
+                bucket, sentence_at, text_at, _ = features(raw, at)
+                keep.append(-np.expm1(-sums(_softplus(_logits(w, b0, bucket, sentence_at)), text_at)) < least)
+            if keep:
+                yield b.filter(pa.array(np.concatenate(keep)))
+
+    return documents.mapInArrow(run, documents.schema)
