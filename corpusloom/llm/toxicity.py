@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning: sentence scores combined by noisy-or, learned from document labels alone.
 
-A sentence's probability is a logistic function of hashed features (words, word starts, word pairs); a document's is
+A sentence's probability is a logistic function of hashed features (words and word starts); a document's is
 1 - prod(1 - p). Only whether the document is toxic is known in training; the gradient reaches each sentence through
-the noisy-or. Learning takes a bounded sample of labelled rows (TRAIN_ROWS of each label, by a hash of the text);
-scoring covers all sentences of all rows. Sentences end at a word that ends with . ! ? or at a line feed.
+the noisy-or, starting from shrunken log odds of the features. Learning takes a bounded sample of labelled rows (TRAIN_ROWS of each label, by a hash of the text);
+scoring covers all sentences of all rows. Words are parted by white space and ASCII punctuation;
+sentences end at . ! ? or a line feed.
 
 Defined cases: a null or empty text has no sentence and score 0; rows with a null label are not learned; labels that
 occur several times for an id are all learned; without a positive or without a negative row all scores are the share
@@ -19,30 +20,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.arrays import Words, chunks, mix, remainder, sums
+from corpusloom.llm.arrays import MARKS, Words, chunks, mix, remainder, sums
 
 #: Expected number of labelled rows of each label to learn from.
-TRAIN_ROWS = 3000
-BITS, EPOCHS, RATE, START, DECAY, BATCH = 18, 12, 0.3, -6.0, 1e-6, 64
+TRAIN_ROWS = 4000
+BITS, EPOCHS, RATE, START, DECAY, BATCH = 20, 6, 0.1, -6.0, 1e-6, 64
+#: Training rows that a bucket must occur in, rows added to each count of the first weights, and their share of the log odds.
+LEAST_ROWS, ADDED, SHARE = 5, 3.0, 0.6
 #: Word starts of so many bytes are features.
 STARTS = (4, 5)
 
 
 def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets by word (words x kinds), n + 1 word offsets by sentence, n + 1 sentence offsets by text, words' bytes (start, end)."""
-    w = Words(raw, at)
+    w = Words(raw, at, MARKS)
     if not len(w):
-        return np.zeros((0, 2 + len(STARTS)), np.int32), np.zeros(1, np.int64), np.zeros(len(at), np.int64), np.zeros((0, 2), np.int64)
+        return np.zeros((0, 1 + len(STARTS)), np.int32), np.zeros(1, np.int64), np.zeros(len(at), np.int64), np.zeros((0, 2), np.int64)
     h, shift, row = w.hashes(), np.uint64(64 - BITS), w.texts()
-    last = raw[w.end - 1]
-    breaks = np.concatenate(([0], np.cumsum(raw == 10)))
-    ends = np.isin(last, np.frombuffer(b".!?", np.uint8))
-    ends[:-1] |= (breaks[w.start[1:]] != breaks[w.end[:-1]]) | (row[1:] != row[:-1])
-    ends[-1] = True
+    breaks = np.concatenate(([0], np.cumsum(np.isin(raw, np.frombuffer(b".!?\n", np.uint8)))))
+    ends = np.ones(len(w), bool)
+    ends[:-1] = (breaks[w.start[1:]] != breaks[w.end[:-1]]) | (row[1:] != row[:-1])
     first = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
-    before = np.roll(h, 1)
-    before[first] = 0
-    kinds = [h, mix(h ^ mix(before + np.uint64(7)))]
+    kinds = [h]
     low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint64)
     size = w.end - w.start
     for n in STARTS:
@@ -63,6 +62,20 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
+def _first(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """First weights: shrunken log odds of the buckets that occur in LEAST_ROWS rows; all others stay 0 for good."""
+    seen = np.zeros((2, 1 << BITS))
+    for y, _, bucket in docs:
+        seen[y, np.unique(bucket)] += 1
+    count = [sum(d[0] == y for d in docs) for y in (0, 1)]
+    odds = np.log((seen[1] + ADDED) / (count[1] + 2 * ADDED)) - np.log((seen[0] + ADDED) / (count[0] + 2 * ADDED))
+    total = seen.sum(0)
+    odds *= np.where(total >= LEAST_ROWS, total / (total + 10), 0)
+    odds = np.where(np.abs(odds) < 1, np.where(total >= LEAST_ROWS, 1e-6, 0), odds) * SHARE
+    odds[0] = 0
+    return odds
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS, seed: int = 5) -> tuple[np.ndarray, float]:
     """Weights (a fixed number of buckets) and bias from rows with a text and a label of 0 or 1."""
     rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
@@ -83,12 +96,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", train_row
                     yield pa.RecordBatch.from_arrays([pa.array([int(labels[start + i])], pa.int32()), pa.array([(s - s[0] if len(s) else s).astype("<i4").tobytes()]), pa.array([part.astype("<i4").tobytes()])], ["y", "s", "b"])
 
     chosen = rows.where((F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)) < share)
-    docs = [(r["y"], np.frombuffer(r["s"], "<i4").astype(np.int64), np.frombuffer(r["b"], "<i4").reshape(-1, 2 + len(STARTS))) for r in chosen.mapInArrow(prepare, "y int, s binary, b binary").collect()]
+    docs = [(r["y"], np.frombuffer(r["s"], "<i4").astype(np.int64), np.frombuffer(r["b"], "<i4").reshape(-1, 1 + len(STARTS))) for r in chosen.mapInArrow(prepare, "y int, s binary, b binary").collect()]
     docs = sorted((d for d in docs if len(d[1]) > 1), key=lambda d: (d[0], d[2].tobytes()[:64], len(d[2])))
+    weight = _first(docs)
+    docs = [(y, at, np.where(weight[b] != 0, b, 0)) for y, at, b in docs]
     scale, bias, bias_scale = np.full(1 << BITS, 1e-2), START, 1e-2
     balance = {y: len(docs) / 2 / max(1, sum(d[0] == y for d in docs)) for y in (0, 1)}
     draw = np.random.default_rng(seed)
-    weight = weight.astype(np.float64)
     for _ in range(EPOCHS):
         order = draw.permutation(len(docs))
         for start in range(0, len(order), BATCH):
@@ -108,6 +122,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", train_row
             g = np.bincount(place.ravel(), np.repeat(by_word, bucket.shape[1]), len(touched)) + DECAY * weight[touched]
             scale[touched] += g * g
             weight[touched] -= RATE * g / np.sqrt(scale[touched])
+            weight[0] = 0
             step = slope.sum()
             bias_scale += step * step
             bias = min(bias - 0.05 * step / np.sqrt(bias_scale), -2.0)
