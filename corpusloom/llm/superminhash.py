@@ -218,7 +218,7 @@ def grouped(documents: DataFrame, k: int = 5, percent: int = 80, ident: str = "d
     small = own.join(large, "cluster", "left_anti").select(F.col("cluster").alias("key"), F.lit(0).alias("side"), "doc_id", "words")
     links = _confirmed(small, percent, parts)
     if large.count():
-        blocked = own.join(large, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+        blocked = own.join(large, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
         pivots = blocked.where("block = 0").select("*", every_block).select(F.xxhash64("cluster", "with").alias("key"), F.lit(0).alias("side"), "doc_id", "words")
         others = blocked.where("block > 0").select(F.xxhash64("cluster", "block").alias("key"), F.lit(1).alias("side"), "doc_id", "words")
@@ -229,7 +229,7 @@ def grouped(documents: DataFrame, k: int = 5, percent: int = 80, ident: str = "d
         split = runtime.written(named.join(main, "cluster").withColumn("out", F.col("label") != F.col("main")).drop("label", "main"), "split")
         left = split.where("out")
         rest = left.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("sides"))
-        left = left.join(rest, "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("sides")))
+        left = left.join(rest, "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("sides")).cast("int"))
         asked = left.select("*", every_block).select(F.xxhash64("cluster", "part", "with").alias("key"), F.lit(0).alias("side"), "doc_id", "words")
         against = split.join(rest, "cluster").select("*", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("part")).select(F.xxhash64("cluster", "part", "block").alias("key"), F.lit(1).alias("side"), "doc_id", "words")
         links = links.unionByName(first).unionByName(_confirmed(asked.unionByName(against), percent, parts))

@@ -152,7 +152,7 @@ def score(df: DataFrame, weight: np.ndarray, bias: float, ident: str = "doc_id",
                     top[row[order]] = order
                 has = top >= 0
                 worst.append(np.where(has, 1 / (1 + np.exp(-z[top])), 0.0) if len(z) else np.zeros(len(top)))
-                where.append(np.where(has, place[sentence_at[top], 0] - at[:-1], -1) if len(z) else np.full(len(top), -1))
+                where.append(np.where(has, place[sentence_at[np.maximum(top, 0)], 0] - at[:-1], -1) if len(z) else np.full(len(top), -1))
             got = np.concatenate(whole) if whole else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(remainder(b.column(0), fold) == held), pa.array(np.clip(got, 0, 1)), pa.array((got >= 0.5).astype(np.int32)), *(pa.array((np.concatenate(x) if x else np.zeros(0)).astype(t)) for x, t in ((n, np.int32), (where, np.int64), (worst, np.float64)))], ["doc_id", "held_out", "score", "predicted", "n_sentences", "worst_start", "worst_score"])
 

@@ -3,8 +3,8 @@
 A page is parsed once into blocks of text and a skeleton: its tree of block elements, in which equal neighbours (the
 paragraphs of an article, the entries of a list) fall together. Every host gets a seed skeleton, that of the page
 with the smallest hash; every other skeleton of the host is aligned with it by simple tree matching (once for each
-distinct skeleton). A node whose text is the same on most of the host's distinct pages is template, what varies is
-content. Elements that HTML or their names mark as no article (nav, footer, forms, adverts, ...) are left out before,
+distinct skeleton). A block that stands with the same text at the same node on most of the host's distinct pages is
+template, what varies is content. Elements that HTML or their names mark as no article (nav, footer, forms, adverts, ...) are left out before,
 and where a page marks its article or main part, only that part is content, even where copies make it constant.
 
 Defined cases: null or empty html has an empty text; a page without markup is its own text; unclosed elements end
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import runtime
 
-#: A node is constant if so large a share of the host's distinct pages has the same text there, of so many pages at least.
+#: A block is constant if so large a share of the host's distinct pages has it at the same node, of so many pages at least.
 SHARE, PAGES = 0.6, 4
 #: Bytes of all seeds and templates that may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 32_000_000
@@ -250,14 +250,6 @@ class _Aligned:
         return self.known[skeleton, seed]
 
 
-def _by_node(nodes: list[int], texts: list[str], to: dict[int, int]) -> dict[int, str]:
-    out: dict[int, list[str]] = {}
-    for n, t in zip(nodes, texts):
-        if n in to:
-            out.setdefault(to[n], []).append(t)
-    return {n: "\n".join(x) for n, x in out.items()}
-
-
 def _key(text: str) -> int:
     import hashlib
 
@@ -275,10 +267,11 @@ def extracted(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
         for b in batches:
             hosts, nodes, keys, hashes = [], [], [], []
             for r in b.to_pylist():
-                for n, text in _by_node(r["nodes"], r["texts"], aligned(r["skeleton"], r["seed"])).items():
+                to = aligned(r["skeleton"], r["seed"])
+                for n, key in {(to[n], _key(t)) for n, t in zip(r["nodes"], r["texts"]) if n in to}:
                     hosts.append(r["host"])
                     nodes.append(n)
-                    keys.append(_key(text))
+                    keys.append(key)
                     hashes.append(r["page_hash"])
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], ["host", "node", "key", "page_hash"])
 
@@ -298,8 +291,7 @@ def extracted(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
                 texts = r["texts"]
                 if r["constant"] and not r["sure"]:
                     to, known = aligned(r["skeleton"], r["seed"]), set(r["constant"])
-                    drop = {n for n, t in _by_node(r["nodes"], texts, to).items() if f"{n}:{_key(t)}" in known}
-                    texts = [t for n, t in zip(r["nodes"], texts) if to.get(n) not in drop]
+                    texts = [t for n, t in zip(r["nodes"], texts) if f"{to.get(n)}:{_key(t)}" not in known]
                 out.append("\n".join(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
