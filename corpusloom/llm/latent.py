@@ -3,14 +3,14 @@
 1. Document frequencies of hashed words are counted over all documents. 2. The benchmark's passages become TF-IDF
 rows, of which a randomised SVD (random range, power iterations, small eigenproblem; every product with the rows is a
 map over partitions whose partial sums are added by a shuffle) gives a latent space of RANK dimensions. 3. Every
-document is cut into blocks of BLOCK words; windows of 2 and of 4 blocks, at every block, are folded into the space
-and compared with all benchmark passages: the dot product of the latent vectors over the window's full TF-IDF norm
+document is cut into blocks of BLOCK words; windows of 2 and of 4 blocks, at every block, in which the benchmark's
+vocabulary has enough of the weight to reach COSINE at all, are folded into the space and compared with all passages: the dot product of the latent vectors over the window's full TF-IDF norm
 and the passage's latent norm, a cosine that unrelated words keep low. 4. Windows of COSINE or more are read word for
 word: the longest common subsequence with the item, weighted by IDF, must reach LCS of the item, and short of EXACT
 also ANSWER of the weight of the item's answer must stand near it. The answer is the benchmark's `answer` column, else
 the last sentence, else the last third of the words.
 
-Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased. The benchmark's matrices are
+Words in more than STOP of the documents have no weight. Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased. The benchmark's matrices are
 broadcast in blocks of at most MOST_PASSAGES passages, one search over the documents for each block.
 
 Defined cases: null and empty texts and items match nothing, nor do items of fewer than LEAST_WORDS words; null ids
@@ -32,7 +32,7 @@ from corpusloom.llm.arrays import MARKS, Words, chunks, sums
 
 BITS, RANK, EXTRA, POWER = 17, 192, 16, 2
 BLOCK, ITEM_WORDS, LEAST_WORDS = 16, 64, 6
-COSINE, LCS, EXACT, ANSWER = 0.3, 0.55, 0.9, 0.5
+COSINE, LCS, EXACT, ANSWER, STOP = 0.45, 0.55, 0.9, 0.5, 0.5
 MOST_PASSAGES = 4096
 
 
@@ -100,6 +100,7 @@ def _rows(words: list[bytes], place: np.ndarray, idf: np.ndarray) -> tuple[np.nd
     columns, values, size = [], [], [0]
     for w in words:
         bucket, n = np.unique(np.frombuffer(w, "<i4"), return_counts=True)
+        bucket, n = bucket[place[bucket] >= 0], n[place[bucket] >= 0]
         v = n * idf[bucket]
         columns.append(place[bucket])
         values.append(v / max(np.sqrt((v * v).sum()), 1e-12))
@@ -171,17 +172,18 @@ def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lc
     """doc_id, item_id, start, end (words of the document), cosine, lcs, answer: the best window of each document and item found."""
     spark = documents.sparkSession
     n_docs, seen = frequencies(documents)
-    idf = np.log((n_docs + 1) / (seen + 1)) + 0.1
+    idf = np.where(seen <= max(STOP * n_docs, 1), np.log((n_docs + 1) / (seen + 1)) + 0.1, 0.0)
     rows = runtime.written(passages(benchmark), "benchmark-passages")
     used = np.zeros(1 << BITS, bool)
     vocabulary = rows.select("words").mapInArrow(_distinct, "bucket int").distinct().toArrow().column(0).to_numpy()  # 2**BITS at most
     used[vocabulary] = True
+    used &= idf > 0
     place = np.where(used, np.cumsum(used) - 1, -1)
     doc_kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((documents, "doc_id"), (benchmark, "item_id")))
     schema = f"doc_id {doc_kind}, item_id {item_kind}, start int, end int, cosine double, lcs double, answer double"
-    if not len(vocabulary):
+    if not used.any():
         return spark.createDataFrame([], schema)
-    basis = svd(rows, place, idf, len(vocabulary))
+    basis = svd(rows, place, idf, int(used.sum()))
     count = rows.count()
     blocks = max(1, -(-count // MOST_PASSAGES))
     has_answer = "answer" in benchmark.columns
@@ -224,6 +226,7 @@ def _search(documents: DataFrame, part: pa.Table, texts: pa.Table, basis: np.nda
         latent, scaled, place, idf, names, owners, words, answers = shared.value
         weights = [idf[(w >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64) for w in words]
         answer_weights = [idf[(w >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64) for w in answers]
+        pairs, answer_pairs = ([list(zip(x.tolist(), w.tolist())) for x, w in zip(y, z)] for y, z in ((words, weights), (answers, answer_weights)))
         for b in batches:
             out: list[tuple] = []
             for first, _, raw, at in chunks(b.column(1)):
@@ -239,40 +242,58 @@ def _search(documents: DataFrame, part: pa.Table, texts: pa.Table, basis: np.nda
                 starts = text_at[block_text] + order * BLOCK
                 block_at = np.concatenate((starts, [len(h)]))
                 weight = idf[bucket]
-                norm = sums(weight * weight, block_at)
                 own = place[bucket]
-                inside = np.flatnonzero(own >= 0)
-                vectors = sums(scaled[own[inside]], np.searchsorted(inside, block_at))
+                norm, known = sums(weight * weight, block_at), sums(np.where(own >= 0, weight * weight, 0), block_at)
+                windows, wanted = [], np.zeros(len(norm) + 1, bool)
                 for wide in (2, 4):
-                    z, size = vectors.copy(), norm.copy()
+                    size, inside = norm.copy(), known.copy()
                     for k in range(1, wide):
-                        same = np.flatnonzero(block_text[k:] == block_text[:-k]) if len(z) > k else np.zeros(0, np.int64)
-                        z[same] += vectors[same + k]
+                        same = np.flatnonzero(block_text[k:] == block_text[:-k]) if len(norm) > k else np.zeros(0, np.int64)
                         size[same] += norm[same + k]
-                    size = np.sqrt(np.maximum(size, 1e-9))
-                    near = np.flatnonzero(np.sqrt((z * z).sum(1)) >= cosine * size)
-                    for s in range(0, len(near), 8192):
-                        rows = near[s : s + 8192]
-                        sim = (z[rows] @ latent.T) / size[rows, None]
+                        inside[same] += known[same + k]
+                    open_ = np.flatnonzero((inside >= cosine * cosine * size) & (inside > 0))
+                    windows.append((wide, open_, np.sqrt(size[open_])))
+                    for k in range(wide):
+                        wanted[np.minimum(open_ + k, len(norm))] = True
+                wanted = wanted[:-1]
+                tokens = np.flatnonzero((own >= 0) & np.repeat(wanted, np.diff(block_at)))
+                at_wanted = np.concatenate((np.flatnonzero(wanted), [len(norm)]))
+                vectors = sums(scaled[own[tokens]], np.searchsorted(tokens, block_at[at_wanted]))
+                row_of = np.cumsum(wanted) - 1
+                for wide, open_, size in windows:
+                    for s in range(0, len(open_), 8192):
+                        rows = open_[s : s + 8192]
+                        z = vectors[row_of[rows]]
+                        for k in range(1, wide):
+                            there = np.flatnonzero(block_text[np.minimum(rows + k, len(norm) - 1)] == block_text[rows])
+                            there = there[rows[there] + k < len(norm)]
+                            z[there] += vectors[row_of[rows[there] + k]]
+                        sim = (z @ latent.T) / size[s : s + 8192, None]
                         for i, p in zip(*np.nonzero(sim >= cosine)):
                             block, text = rows[i], block_text[rows[i]]
                             for item in owners[p]:
-                                out.append((first + text, item, max(text_at[text], starts[block] - len(words[item])), min(text_at[text + 1], starts[block] + BLOCK * wide + len(words[item])), float(sim[i, p]), text_at[text], h))
-            yield from checked(b, out, names, words, weights, answers, answer_weights)
+                                n_item = len(words[item])
+                                out.append((int(first + text), item, int(max(text_at[text], starts[block] - n_item)), int(min(text_at[text + 1], starts[block] + BLOCK * wide + n_item)), float(sim[i, p]), int(text_at[text]), h))
+            yield from checked(b, out, names, words, weights, answer_weights, pairs, answer_pairs)
 
-    def checked(b: pa.RecordBatch, out: list[tuple], names: list, words: list, weights: list, answers: list, answer_weights: list) -> Iterator[pa.RecordBatch]:
+    def checked(b: pa.RecordBatch, out: list[tuple], names: list, words: list, weights: list, answer_weights: list, pairs: list, answer_pairs: list) -> Iterator[pa.RecordBatch]:
         good: dict[tuple[int, int], tuple] = {}
-        for row, item, start, end, sim, text_start, h in out:
-            if (row, item) in good and good[row, item][3] >= 0.999:
-                continue
+        merged: list[list] = []
+        for x in sorted(out, key=lambda x: x[:4]):  # regions of one document and item that overlap are read as one
+            if merged and merged[-1][:2] == [x[0], x[1]] and x[2] <= merged[-1][3] and merged[-1][6] is x[6]:
+                merged[-1][3:5] = [max(merged[-1][3], x[3]), max(merged[-1][4], x[4])]
+            else:
+                merged.append(list(x))
+        for row, item, start, end, sim, text_start, h in merged:
             region, total = h[start:end], max(float(weights[item].sum()), 1e-9)
-            if float(weights[item][np.isin(words[item], region)].sum()) < lcs * total:
+            there = set(region.tolist())
+            if sum(w for x, w in pairs[item] if x in there) < lcs * total:
                 continue
             share = common(words[item], region, weights[item]) / total
-            there = np.isin(answers[item], region)
-            told = float(answer_weights[item][there].sum()) / max(float(answer_weights[item].sum()), 1e-9)
+            of = float(answer_weights[item].sum())
+            told = sum(w for x, w in answer_pairs[item] if x in there) / of if of > 0 else 1.0
             if share >= lcs and (share >= EXACT or told >= answer) and share > good.get((row, item), (0, 0, 0, 0))[3]:
-                good[row, item] = (int(start - text_start), int(end - text_start), sim, share, told)
+                good[row, item] = (start - text_start, end - text_start, sim, share, told)
         keys = sorted(good)
         values = [good[k] for k in keys]
         kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())

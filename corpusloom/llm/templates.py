@@ -1,8 +1,9 @@
 """Line deduplication by a log-template tree, in DataFrame operations alone.
 
 Words of a line that hold a digit become a wildcard. The tree has a fixed depth: number of words, then the first DEPTH
-words; its leaves are groups of lines. In a leaf, a place is fixed if FIXED of the leaf's distinct texts' lines or more
-have the same word there; if AGREE of the places or more are fixed (and not all), the leaf has a template, and its
+words; its leaves are groups of lines. In a leaf, a place behind those words is fixed if FIXED of the leaf's lines or
+more (a line counts once in a text) have the same word there, of equally frequent words the one with the larger hash;
+if AGREE of these places or more are fixed (and not all), the leaf has a template, and its
 lines that have the fixed words belong to it. Every other line is its own template. A template that occurs in
 min_docs different texts or more recurs: its lines are dropped from all of them but the first (the smallest doc_id),
 so that copies of one text are no recurrence by themselves, and no line is lost altogether.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from corpusloom import runtime
 
-#: Leading words in the tree, share of lines that fixes a place, share of fixed places that makes a template.
-DEPTH, FIXED, AGREE = 3, 0.5, 0.6
+#: Leading words in the tree, share of lines that fixes a place, share of fixed places behind them that makes a template.
+DEPTH, FIXED, AGREE = 3, 0.5, 0.5
 MIN_DOCS, MIN_WORDS = 3, 3
 #: Rows of hashes that may be broadcast (about 40 MB); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
@@ -30,8 +31,10 @@ WILD = "<*>"
 
 
 def _masked(line: Column) -> Column:
-    """The line with single blanks and wildcards for words with a digit."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")), r"[^ ]*[0-9][^ ]*", WILD)
+    """The line with single blanks and wildcards for words with a digit; patterns run only on lines that need them."""
+    blank = F.translate(line, "\t\r\f\x0b", "    ")
+    single = F.trim(F.when(F.contains(blank, F.lit("  ")), F.regexp_replace(blank, " +", " ")).otherwise(blank))
+    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, "[^ ]*[0-9][^ ]*", WILD)).otherwise(single)
 
 
 def _sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
@@ -40,12 +43,16 @@ def _sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
 
 
 def lines(documents: DataFrame, min_words: int) -> DataFrame:
-    """d (doc_id), t (hash of the text), i (line), masked, words, leaf, line (hashes)."""
+    """d (doc_id), t (hash of the text), i (line), masked, leaf, line (hashes)."""
     rows = documents.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("i", "raw"))
-    rows = rows.select("d", "t", "i", _masked(F.col("raw")).alias("masked")).where(F.length("masked") >= 2 * min_words - 1)
-    words = F.split("masked", " ")
-    rows = rows.withColumn("words", words).where(F.size("words") >= min_words)
-    return rows.select("d", "t", "i", "masked", "words", F.xxhash64(F.size("words"), F.slice("words", 1, DEPTH)).alias("leaf"), F.xxhash64("masked").alias("line"))
+    rows = rows.select("d", "t", "i", _masked(F.col("raw")).alias("masked"))
+    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1).where((F.col("n") >= min_words) & (F.col("masked") != ""))
+    return rows.select("d", "t", "i", "masked", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), F.xxhash64("masked").alias("line"))
+
+
+def _rest(masked: str) -> Column:
+    """Hashes of the words behind the leading ones."""
+    return F.transform(F.slice(F.split(masked, " "), DEPTH + 1, 1 << 30), lambda w: F.xxhash64(w))
 
 
 def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -59,14 +66,14 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, min_words: int = M
 
     texts = every.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
     texts = runtime.written(texts.join(by_line.select("leaf", "line", "n"), ["leaf", "line"]), "leaf-lines")
-    words = texts.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("place", "word"))
+    words = texts.select("leaf", "n", F.posexplode(_rest("masked")).alias("place", "word"))
     words = words.groupBy("leaf", "place", "word").agg(F.sum("n").alias("n"))
     places = words.groupBy("leaf", "place").agg(F.max(F.struct("n", "word")).alias("top"), F.sum("n").alias("all"))
     places = places.select("leaf", "place", F.when(F.col("top.n") >= FIXED * F.col("all"), F.col("top.word")).alias("word"))
     shapes = places.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("shape"))
     fixed = F.size(F.filter("shape", lambda x: x.isNotNull()))
     shapes = shapes.where((fixed >= AGREE * F.size("shape")) & (fixed < F.size("shape")))
-    fits = F.forall(F.zip_with("shape", F.split("masked", " "), lambda s, w: s.isNull() | (s == w)), lambda x: x)
+    fits = F.forall(F.zip_with("shape", _rest("masked"), lambda s, w: s.isNull() | (s == w)), lambda x: x)
     grouped = runtime.written(texts.join(shapes, "leaf").where(fits).select("leaf", "line"), "template-lines")
 
     by_leaf = by_text.join(grouped, ["leaf", "line"], "left_semi").groupBy("leaf", "t").agg(F.min("d").alias("d"))
