@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -37,6 +38,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows of a few ids or hashes (about 40 MB); df must be cheap to count."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def local_path(uri: str) -> str:
     """The mounted path of a file: URI or plain path; raises for stores that cannot be mapped into memory."""
     if uri.startswith("file:"):
