@@ -305,5 +305,5 @@ def _search(documents: DataFrame, part: pa.Table, texts: pa.Table, basis: np.nda
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item was found; rows with a null doc_id stay."""
-    bad = leaks(documents, benchmark).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
+    bad = runtime.written(leaks(documents, benchmark).select("doc_id").distinct(), "leaks")
+    return documents.join(runtime.sized(bad), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))

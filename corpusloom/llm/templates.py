@@ -25,8 +25,6 @@ from corpusloom import runtime
 #: Leading words in the tree, share of lines that fixes a place, share of fixed places behind them that makes a template.
 DEPTH, FIXED, AGREE = 3, 0.5, 0.5
 MIN_DOCS, MIN_WORDS = 3, 3
-#: Rows of hashes that may be broadcast (about 40 MB); more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 WILD = "<*>"
 
 
@@ -37,11 +35,6 @@ def _masked(line: Column) -> Column:
     return F.when(single.rlike("[0-9]"), F.regexp_replace(single, "[^ ]*[0-9][^ ]*", WILD)).otherwise(single)
 
 
-def _sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """df to be broadcast if it has at most so many rows; df must be a written table."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def lines(documents: DataFrame, min_words: int) -> DataFrame:
     """d (doc_id), t (hash of the text), i (line), masked, leaf, line (hashes)."""
     rows = documents.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("i", "raw"))
@@ -62,7 +55,7 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, min_words: int = M
     by_text = hashed.groupBy("leaf", "line", "t").agg(F.min("d").alias("d"))
     by_line = runtime.written(by_text.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min_by("t", F.struct(F.col("d").isNull(), "d", "t")).alias("first")), "lines")
     leaves = by_line.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") > 1) & (F.col("n") >= min_docs)).select("leaf")
-    leaves = _sized(runtime.written(leaves, "leaves"))
+    leaves = runtime.sized(runtime.written(leaves, "leaves"))
 
     texts = every.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
     texts = runtime.written(texts.join(by_line.select("leaf", "line", "n"), ["leaf", "line"]), "leaf-lines")
@@ -85,7 +78,7 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, min_words: int = M
 def deduplicated(documents: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """The documents with the lines of recurring templates taken out of their texts (and n_dropped, if counts)."""
     hashed, often = recurring(documents, min_docs, min_words)
-    out = hashed.join(_sized(often), "line").where("t <> first").groupBy("t").agg(F.collect_set("i").alias("out"))
+    out = hashed.join(runtime.sized(often), "line").where("t <> first").groupBy("t").agg(F.collect_set("i").alias("out"))
     key, drop, own = (runtime.unused(documents.columns, x) for x in ("text_key", "drop_lines", "text_hash"))
     out = out.select(F.col("t").alias(key), F.col("out").alias(drop))
     joined = documents.withColumn(own, F.xxhash64("text")).join(out, F.col(own) == F.col(key), "left")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom import runtime
 from corpusloom.llm.arrays import MARKS, Words, chunks, mix, remainder, sums
 
 #: Expected number of labelled rows of each label to learn from.
@@ -184,7 +185,7 @@ def train(documents: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0,
     """Fit on the labelled documents outside the held-out fold."""
     key = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     known = labels.select("doc_id", "toxic").where("toxic is not null").where(F.pmod(key, F.lit(fold)) != held)
-    return fit(documents.select("doc_id", "text").join(known, "doc_id"), train_rows=train_rows)
+    return fit(documents.select("doc_id", "text").join(runtime.sized(known), "doc_id"), train_rows=train_rows)
 
 
 def scored(documents: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, train_rows: int = TRAIN_ROWS) -> DataFrame:
