@@ -2,7 +2,7 @@
 
 A sentence's probability is a logistic function of hashed features (words and word starts); a document's is
 1 - prod(1 - p). Only whether the document is toxic is known in training; the gradient reaches each sentence through
-the noisy-or, starting from shrunken log odds of the features. Learning takes a bounded sample of labelled rows (TRAIN_ROWS of each label, by a hash of the text);
+the noisy-or, starting from shrunken log odds of the features. Learning takes a bounded sample of labelled rows (about TRAIN_ROWS of each label, by a hash);
 scoring covers all sentences of all rows. Words are parted by white space and ASCII punctuation;
 sentences end at . ! ? or a line feed.
 
@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom import runtime
 from corpusloom.llm.arrays import MARKS, Words, chunks, mix, remainder, sums
 
 #: Expected number of labelled rows of each label to learn from.
@@ -181,11 +180,14 @@ def sentences(df: DataFrame, weight: np.ndarray, bias: float, least: float = 0.5
     return df.select(F.col(ident), F.col(text)).mapInArrow(run, f"doc_id {kind}, start long, end long, sentence string, score double")
 
 
-def train(documents: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """Fit on the labelled documents outside the held-out fold."""
+def train(documents: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, train_rows: int = TRAIN_ROWS, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Fit on the labelled documents outside the held-out fold: the sample is drawn from the labels, so it can always be broadcast."""
     key = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    known = labels.select("doc_id", "toxic").where("toxic is not null").where(F.pmod(key, F.lit(fold)) != held)
-    return fit(documents.select("doc_id", "text").join(runtime.sized(known), "doc_id"), train_rows=train_rows)
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(F.pmod(key, F.lit(fold)) != held)
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, train_rows / max(totals.get(1, 0), 1))).otherwise(min(1.0, train_rows / max(totals.get(0, 0), 1)))
+    chosen = known.where((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)) < share)  # about 2 * train_rows rows
+    return fit(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), train_rows=1 << 62)
 
 
 def scored(documents: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, train_rows: int = TRAIN_ROWS) -> DataFrame:
