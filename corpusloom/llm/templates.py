@@ -28,17 +28,20 @@ MIN_DOCS, MIN_WORDS = 3, 3
 WILD = "<*>"
 
 
-def _masked(line: Column) -> Column:
-    """The line with single blanks and wildcards for words with a digit; patterns run only on lines that need them."""
-    blank = F.translate(line, "\t\r\f\x0b", "    ")
-    single = F.trim(F.when(F.contains(blank, F.lit("  ")), F.regexp_replace(blank, " +", " ")).otherwise(blank))
-    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, "[^ ]*[0-9][^ ]*", WILD)).otherwise(single)
+def _masked(text: str) -> Column:
+    """The text's lines with single blanks, and wildcards for words with a digit.
+
+    The patterns run only on lines that need them, and each line is an array element, so that it is made once, whatever
+    reads it.
+    """
+    gaps, trimmed = r"[ \t\r\f\x0B]+", lambda x: F.trim(x)
+    single = F.transform(F.split(text, "\n"), lambda x: F.when(F.contains(x, F.lit("  ")) | x.rlike(r"[\t\r\f\x0B]"), F.regexp_replace(x, gaps, " ")).otherwise(x))
+    return F.transform(F.transform(single, trimmed), lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILD)).otherwise(x))
 
 
 def lines(documents: DataFrame, min_words: int) -> DataFrame:
     """d (doc_id), t (hash of the text), i (line), masked, leaf, line (hashes)."""
-    rows = documents.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("i", "raw"))
-    rows = rows.select("d", "t", "i", _masked(F.col("raw")).alias("masked"))
+    rows = documents.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(_masked("text")).alias("i", "masked"))
     rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1).where((F.col("n") >= min_words) & (F.col("masked") != ""))
     return rows.select("d", "t", "i", "masked", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), F.xxhash64("masked").alias("line"))
 
