@@ -332,6 +332,7 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT s.doc_id, s.i + 1, CASE WHEN s.size + length(d.p[s.i + 1]) > 4000 THEN s.part + 1 ELSE s.part END, CASE WHEN s.size + length(d.p[s.i + 1]) > 4000 THEN length(d.p[s.i + 1]) ELSE s.size + length(d.p[s.i + 1]) END FROM s JOIN d USING (doc_id) WHERE s.i < len(d.p)),
     b AS (SELECT s.doc_id, s.part, string_agg(d.p[s.i], chr(10) ORDER BY s.i) AS body FROM s JOIN d USING (doc_id) GROUP BY s.doc_id, s.part UNION ALL SELECT doc_id, 0, text FROM d WHERE length(text) <= 4000)
     SELECT doc_id, CAST(part AS INT) AS part, CAST(length(body) AS INT) AS n_chars, md5(body) AS body_md5 FROM b""",
+        "markdown_sections": "SELECT substr(sha1('r:d' || doc_id || '.md:Part A_0'), 1, 12) AS id, 't/d' || doc_id || '.md' AS file, 'tutorial_section' AS kind, 1::INT AS n_code, 'int main(void) { return 0; } // code' AS code FROM documents",
         "code_chunks": f"SELECT * FROM (VALUES {code}) AS v(lang, kind, title, body, code)",
         "chunk_summary": f"WITH {chunks} SELECT repo, kind, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY repo) AS BIGINT) AS repo_total FROM chunks GROUP BY repo, kind",
         "jsonl_roundtrip": "SELECT conv_id, turn, role, text FROM conversations",
