@@ -62,6 +62,15 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
+def _integers(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a binary column as writable views of one array of 32-bit integers."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    whole = np.frombuffer(data, np.uint8)[at[0] : at[-1]].copy().view("<i4") if data is not None and data.size else np.zeros(0, "<i4")
+    at = (at - at[0]) // 4
+    return [whole[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
 def _first(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
     """First weights: shrunken log odds of the buckets that occur in LEAST_ROWS rows; all others stay 0 for good."""
     seen = np.zeros((2, 1 << BITS))
@@ -90,16 +99,22 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", train_row
             labels = b.column(1).to_numpy()
             for start, end, raw, at in chunks(b.column(0)):
                 bucket, sentence_at, text_at, _ = features(raw, at)
+                ends, words = [], []
                 for i in range(end - start):
                     s = sentence_at[text_at[i] : text_at[i + 1] + 1]
-                    part = bucket[s[0] : s[-1]] if len(s) > 1 else bucket[:0]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(labels[start + i])], pa.int32()), pa.array([(s - s[0] if len(s) else s).astype("<i4").tobytes()]), pa.array([part.astype("<i4").tobytes()])], ["y", "s", "b"])
+                    ends.append((s - s[0] if len(s) else s).astype("<i4").tobytes())
+                    words.append((bucket[s[0] : s[-1]] if len(s) > 1 else bucket[:0]).astype("<i4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(labels[start:end].astype(np.int32)), pa.array(ends, pa.binary()), pa.array(words, pa.binary())], ["y", "s", "b"])
 
     chosen = rows.where((F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)) < share)
-    docs = [(r["y"], np.frombuffer(r["s"], "<i4").astype(np.int64), np.frombuffer(r["b"], "<i4").reshape(-1, 1 + len(STARTS))) for r in chosen.mapInArrow(prepare, "y int, s binary, b binary").collect()]
-    docs = sorted((d for d in docs if len(d[1]) > 1), key=lambda d: (d[0], d[2].tobytes()[:64], len(d[2])))
+    docs = []
+    for b in chosen.mapInArrow(prepare, "y int, s binary, b binary").toArrow().to_batches():  # a few large buffers, no object for each row
+        labels, ends, words = b.column(0).to_pylist(), _integers(b.column(1)), _integers(b.column(2))
+        docs += [(y, s, w.reshape(-1, 1 + len(STARTS))) for y, s, w in zip(labels, ends, words) if len(s) > 1]
+    docs.sort(key=lambda d: (d[0], d[2].ravel()[:16].tobytes(), len(d[2])))
     weight = _first(docs)
-    docs = [(y, at, np.where(weight[b] != 0, b, 0)) for y, at, b in docs]
+    for _, _, bucket in docs:
+        bucket[weight[bucket] == 0] = 0
     scale, bias, bias_scale = np.full(1 << BITS, 1e-2), START, 1e-2
     balance = {y: len(docs) / 2 / max(1, sum(d[0] == y for d in docs)) for y in (0, 1)}
     draw = np.random.default_rng(seed)
