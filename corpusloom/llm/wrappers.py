@@ -4,8 +4,9 @@ A page is parsed once into blocks of text and a skeleton: its tree of block elem
 paragraphs of an article, the entries of a list) fall together. Every host gets a seed skeleton, that of the page
 with the smallest hash; every other skeleton of the host is aligned with it by simple tree matching (once for each
 distinct skeleton). A block that stands with the same text at the same node on most of the host's distinct pages is
-template, what varies is content. Elements that HTML or their names mark as no article (nav, footer, forms, adverts, ...) are left out before,
-and where a page marks its article or main part, only that part is content, even where copies make it constant.
+template, inside a marked article as well as outside; what varies is content. Pages are distinct by the text of their
+blocks, so copies of one page count once. Elements that HTML or their names mark as no article (nav, footer, forms,
+adverts, ...) are left out before. A host with fewer than PAGES distinct pages has no template.
 
 Defined cases: null or empty html has an empty text; a page without markup is its own text; unclosed elements end
 with their parents; a page without a host stands with the others that have none; repeated rows are pages of their
@@ -27,6 +28,8 @@ from corpusloom import runtime
 
 #: A block is constant if so large a share of the host's distinct pages has it at the same node, of so many pages at least.
 SHARE, PAGES = 0.6, 4
+#: Depth of a skeleton; what lies deeper stands at the node there.
+DEEPEST = 100
 #: Bytes of all seeds and templates that may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 32_000_000
 
@@ -44,7 +47,7 @@ _FLOOR = {"table", "ul", "ol", "dl", "select", "article", "section", "div", "bod
 
 
 class Page:
-    """Blocks (node, text, sure) and the skeleton of one page."""
+    """Blocks (node, text) and the skeleton of one page."""
 
     def __init__(self, source: str):
         self.labels, self.parents, self.children, self.state = ["page"], [-1], [[]], [(False, False, -1)]
@@ -122,22 +125,18 @@ class Page:
         return n
 
     def _finish(self, blocks: list[tuple[int, str]]) -> None:
-        size: dict[int, int] = {}
-        for n, text in blocks:
-            out, head, main = self.state[n]
-            if main >= 0 and not out:
-                size[main] = size.get(main, 0) + len(text)
-        best = max(size, key=lambda n: (size[n], -n)) if size else -1
         kept = []
         for n, text in blocks:
-            out, head, main = self.state[n]
-            if not out and not (head and not re.match("h[1-6]", self.labels[n])) and (best < 0 or main == best):
+            out, head, _ = self.state[n]
+            if not out and not (head and not re.match("h[1-6]", self.labels[n])):
                 kept.append((n, text))
-        place, tree = [0] * len(self.labels), []
+        place, depth = [0] * len(self.labels), [0] * len(self.labels)
+        for n in range(1, len(self.labels)):
+            depth[n] = depth[self.parents[n]] + 1
         shapes = [""] * len(self.labels)
         for n in range(len(self.labels) - 1, -1, -1):
             parts: list[str] = []
-            for c in self.children[n]:
+            for c in self.children[n] if depth[n] < DEEPEST else ():
                 if not parts or parts[-1] != shapes[c]:
                     parts.append(shapes[c])
             shapes[n] = f"{self.labels[n]}({','.join(parts)})"
@@ -146,7 +145,7 @@ class Page:
             place[n] = count[0]
             count[0] += 1
             own, last = [], None
-            for c in self.children[n]:
+            for c in self.children[n] if depth[n] < DEEPEST else ():
                 if last is not None and shapes[c] == shapes[last]:
                     same(c, last)
                 else:
@@ -159,7 +158,7 @@ class Page:
             while pairs:
                 a, b = pairs.pop()
                 place[a] = place[b]
-                ours, theirs = self.children[a], self.children[b]
+                ours, theirs = (self.children[a], self.children[b]) if depth[a] < DEEPEST else ([], [])
                 j = 0
                 for i, c in enumerate(ours):
                     if i and shapes[c] != shapes[ours[i - 1]]:
@@ -168,18 +167,12 @@ class Page:
                             j += 1
                     pairs.append((c, theirs[min(j, len(theirs) - 1)]))
 
-        import sys
-
-        deep = max(1000, 3 * len(self.labels) + 200)
-        if sys.getrecursionlimit() < deep and len(self.labels) < 20_000:
-            sys.setrecursionlimit(deep)
-        try:
-            tree = number(0, [0])
-        except RecursionError:  # a chain of many thousand elements: all on one node
-            tree, place = ["page", []], [0] * len(self.labels)
+        tree = number(0, [0])
+        for n in range(1, len(self.labels)):
+            if depth[n] > DEEPEST:
+                place[n] = place[self.parents[n]]
         self.skeleton = json.dumps(tree, separators=(",", ":"))
         self.blocks = [(place[n], text) for n, text in kept]
-        self.sure = best >= 0
 
 
 def match(a: list, b: list) -> dict[int, int]:
@@ -211,21 +204,22 @@ def match(a: list, b: list) -> dict[int, int]:
     return dict(pair(a, 0, b, 0)[1])
 
 
-_PARSED = "page_id long, url string, host string, page_hash long, sure boolean, skeleton string, nodes array<int>, texts array<string>"
+_PARSED = "page_id long, url string, host string, page_hash long, skeleton string, nodes array<int>, texts array<string>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Blocks and skeleton of every page."""
+    """Blocks and skeleton of every page; page_hash is of the blocks' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, len(b), 200):
                 part = b.slice(start, 200)
                 got = [Page(x or "") for x in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(4), pa.array([p.sure for p in got]), pa.array([p.skeleton for p in got]), pa.array([[n for n, _ in p.blocks] for p in got], pa.list_(pa.int32())), pa.array([[t for _, t in p.blocks] for p in got], pa.list_(pa.string()))], ["page_id", "url", "host", "page_hash", "sure", "skeleton", "nodes", "texts"])
+                same = pa.array([_key("\n".join(t for _, t in p.blocks)) for p in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), same, pa.array([p.skeleton for p in got]), pa.array([[n for n, _ in p.blocks] for p in got], pa.list_(pa.int32())), pa.array([[t for _, t in p.blocks] for p in got], pa.list_(pa.string()))], ["page_id", "url", "host", "page_hash", "skeleton", "nodes", "texts"])
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), "html", F.xxhash64("html").alias("page_hash")).mapInArrow(run, _PARSED)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), "html").mapInArrow(run, _PARSED)
 
 
 def _joined(rows: DataFrame, hosts: DataFrame, small: bool, how: str = "inner") -> DataFrame:
@@ -246,7 +240,7 @@ class _Aligned:
         if (skeleton, seed) not in self.known:
             if len(self.known) > 5000:
                 self.known.clear()
-            self.known[skeleton, seed] = match(json.loads(skeleton), json.loads(seed))
+            self.known[skeleton, seed] = match(json.loads(skeleton), json.loads(seed)) if skeleton != seed else {i: i for i in range(skeleton.count("["))}
         return self.known[skeleton, seed]
 
 
@@ -275,9 +269,9 @@ def extracted(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
                     hashes.append(r["page_hash"])
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], ["host", "node", "key", "page_hash"])
 
-    open_ = rows.where(~F.col("sure")).select("host", "page_hash", "skeleton", "nodes", "texts")
-    counts = rows.select("host", "page_hash").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    same = _joined(open_, seeds, small).select("host", "page_hash", "skeleton", "nodes", "texts", "seed").mapInArrow(texts_of, "host string, node int, key long, page_hash long")
+    full = rows.where(F.size("nodes") > 0).select("host", "page_hash", "skeleton", "nodes", "texts")
+    counts = full.select("host", "page_hash").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    same = _joined(full, seeds, small).select("host", "page_hash", "skeleton", "nodes", "texts", "seed").mapInArrow(texts_of, "host string, node int, key long, page_hash long")
     same = same.distinct().groupBy("host", "node", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     constant = same.join(counts, "host").where(F.col("n") >= share * F.col("pages"))
     template = runtime.written(constant.groupBy("host").agg(F.collect_set(F.concat_ws(":", F.col("node").cast("string"), F.col("key").cast("string"))).alias("constant")), "page-templates")
@@ -289,11 +283,11 @@ def extracted(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
             out = []
             for r in b.to_pylist():
                 texts = r["texts"]
-                if r["constant"] and not r["sure"]:
+                if r["constant"]:
                     to, known = aligned(r["skeleton"], r["seed"]), set(r["constant"])
                     texts = [t for n, t in zip(r["nodes"], texts) if f"{to.get(n)}:{_key(t)}" not in known]
                 out.append("\n".join(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     small = small and _bytes(template, "constant") <= MOST_BROADCAST
-    return _joined(rows, wrappers, small, "left").select("page_id", "url", "sure", "skeleton", "nodes", "texts", "seed", "constant").mapInArrow(contents, "page_id long, url string, text string, n_chars long")
+    return _joined(rows, wrappers, small, "left").select("page_id", "url", "skeleton", "nodes", "texts", "seed", "constant").mapInArrow(contents, "page_id long, url string, text string, n_chars long")

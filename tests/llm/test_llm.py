@@ -361,6 +361,15 @@ def test_wrapper_extraction(spark):
     assert wrappers.extracted(df.limit(0)).count() == 0 and wrappers.extracted(df).count() == len(rows)
 
 
+def test_wrapper_induction_in_marked_pages(spark):
+    page = "<body><div><p>Same banner</p></div><article><h1>Title {0}</h1><p>Own text {0}</p><div><p>Same share text</p></div></article><div><p>Same end</p></div>{1}"
+    rows = [(i, "http://a.com/x", page.format(i, "")) for i in range(6)]
+    rows += [(10 + i, "http://b.com/x", page.format(0, f"<script>{i}</script>")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nOwn text {i}" for i in range(6))
+    assert all("Title 0\nOwn text 0" in got[10 + i] for i in range(6))  # copies count once
+
+
 def test_tree_matching():
     a = ["r", [["x", []], ["y", [["z", []]]], ["x", []]]]
     b = ["r", [["y", [["q", []], ["z", []]]], ["x", []]]]
