@@ -2,7 +2,8 @@
 
 1. Document frequencies of hashed words are counted over all documents. 2. The benchmark's passages become TF-IDF
 rows, of which a randomised SVD (random range, power iterations, small eigenproblem; every product with the rows is a
-map over partitions whose partial sums are added by a shuffle) gives a latent space of RANK dimensions. 3. Every
+map over partitions whose partial sums are added by a shuffle) gives a latent space. Each group of about GROUP passages
+has a space of its own, of as many dimensions as keep RETAINED of the norm of each of its passages. 3. Every
 document is cut into blocks of BLOCK words; windows of 2 and of 4 blocks, at every block, in which the benchmark's
 vocabulary has enough of the weight to reach COSINE at all, are folded into the space and compared with all passages: the dot product of the latent vectors over the window's full TF-IDF norm
 and the passage's latent norm, a cosine that unrelated words keep low. 4. Windows of COSINE or more are read word for
@@ -11,7 +12,7 @@ also ANSWER of the weight of the item's answer must stand near it. The answer is
 the last sentence, else the last third of the words.
 
 Words in more than STOP of the documents have no weight. Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased. The benchmark's matrices are
-broadcast in blocks of at most MOST_PASSAGES passages, one search over the documents for each block.
+broadcast in blocks of about MOST_PASSAGES passages, one search over the documents for each block.
 
 Defined cases: null and empty texts and items match nothing, nor do items of fewer than LEAST_WORDS words; null ids
 are carried as they are; repeated rows are found each, repeated items once each; an empty table gives no row; other
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from corpusloom import runtime
 from corpusloom.llm.arrays import MARKS, Words, chunks, sums
 
-BITS, RANK, EXTRA, POWER = 17, 192, 16, 2
+BITS, EXTRA, POWER = 17, 16, 2
 BLOCK, ITEM_WORDS, LEAST_WORDS = 16, 64, 6
 COSINE, LCS, EXACT, ANSWER, STOP = 0.45, 0.55, 0.9, 0.5, 0.5
-MOST_PASSAGES = 4096
+MOST_PASSAGES, GROUP, RETAINED = 4096, 192, 0.98
 
 
 def _buckets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words]:
@@ -108,7 +109,7 @@ def _rows(words: list[bytes], place: np.ndarray, idf: np.ndarray) -> tuple[np.nd
     return np.concatenate(columns or [np.zeros(0, np.int64)]), np.concatenate(values or [np.zeros(0)]), np.cumsum(size)
 
 
-def svd(rows: DataFrame, place: np.ndarray, idf: np.ndarray, n_columns: int, rank: int = RANK) -> np.ndarray:
+def svd(rows: DataFrame, place: np.ndarray, idf: np.ndarray, n_columns: int, rank: int) -> np.ndarray:
     """Right singular vectors (columns x rank, orthonormal) of the TF-IDF rows: randomised, with every product distributed."""
     sc, step = rows.sparkSession.sparkContext, 4096
     size = min(rank + EXTRA, n_columns)
@@ -174,16 +175,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lc
     n_docs, seen = frequencies(documents)
     idf = np.where(seen <= max(STOP * n_docs, 1), np.log((n_docs + 1) / (seen + 1)) + 0.1, 0.0)
     rows = runtime.written(passages(benchmark), "benchmark-passages")
-    used = np.zeros(1 << BITS, bool)
-    vocabulary = rows.select("words").mapInArrow(_distinct, "bucket int").distinct().toArrow().column(0).to_numpy()  # 2**BITS at most
-    used[vocabulary] = True
-    used &= idf > 0
-    place = np.where(used, np.cumsum(used) - 1, -1)
     doc_kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((documents, "doc_id"), (benchmark, "item_id")))
     schema = f"doc_id {doc_kind}, item_id {item_kind}, start int, end int, cosine double, lcs double, answer double"
-    if not used.any():
-        return spark.createDataFrame([], schema)
-    basis = svd(rows, place, idf, int(used.sum()))
     count = rows.count()
     blocks = max(1, -(-count // MOST_PASSAGES))
     has_answer = "answer" in benchmark.columns
@@ -191,39 +184,56 @@ def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lc
     found = None
     for block in range(blocks):
         own = F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block
-        part, texts = rows.where(own).distinct().toArrow(), items.where(own).toArrow()
-        searched = _search(documents, part, texts, basis, place, idf, cosine, lcs, answer, schema)
+        groups = max(1, -(-rows.where(own).count() // GROUP))
+        spaces = []
+        for group in range(groups):
+            mine = rows.where(own & (F.pmod(F.xxhash64("item_id", "start", F.lit(1)), F.lit(groups)) == group))
+            space = latent_space(mine, idf)
+            spaces += [space] if space else []
+        searched = _search(documents, spaces, items.where(own).toArrow(), idf, cosine, lcs, answer, schema)
         found = searched if found is None else found.unionByName(searched)
     best = F.max_by(F.struct("start", "end", "cosine", "lcs", "answer"), F.struct("lcs", "cosine", -F.col("start"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        words = [np.frombuffer(x, "<i4") for x in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(words)) if words else np.zeros(0, np.int32), pa.int32())], ["bucket"])
+def latent_space(rows: DataFrame, idf: np.ndarray, retained: float = RETAINED) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Passages, their unit latent vectors, basis, and column of each bucket (-1: none); None if no word has weight.
 
-
-def _search(documents: DataFrame, part: pa.Table, texts: pa.Table, basis: np.ndarray, place: np.ndarray, idf: np.ndarray, cosine: float, lcs: float, answer: float, schema: str) -> DataFrame:
-    column, value, at = _rows(part.column("words").to_pylist(), place, idf)
+    The rank is the least that keeps so large a share of the norm of each passage.
+    """
+    part = rows.distinct().toArrow()  # about GROUP passages
+    words = part.column("words").to_pylist()
+    used = np.zeros(1 << BITS, bool)
+    used[np.frombuffer(b"".join(words), "<i4")] = True
+    used &= idf > 0
+    if not used.any():
+        return None
+    place = np.where(used, np.cumsum(used) - 1, -1).astype(np.int32)
+    basis = svd(rows, place, idf, int(used.sum()), len(words))
+    column, value, at = _rows(words, place, idf)
     latent = sums(basis[column] * value[:, None], at)
-    latent /= np.maximum(np.sqrt((latent**2).sum(1, keepdims=True)), 1e-9)
+    kept = np.cumsum(latent**2, 1)[(at[1:] > at[:-1])].min(0)
+    rank = min(int(np.searchsorted(kept, retained * retained)) + 1, len(kept))
+    latent, basis = latent[:, :rank], basis[:, :rank]
+    return part, latent / np.maximum(np.sqrt((latent**2).sum(1, keepdims=True)), 1e-9), basis, place
+
+
+def _search(documents: DataFrame, spaces: list[tuple], texts: pa.Table, idf: np.ndarray, cosine: float, lcs: float, answer: float, schema: str) -> DataFrame:
     names = texts.column("item_id").to_pylist()
-    known, item_of = {}, []
+    known: dict = {}
     for i, x in enumerate(names):
         known.setdefault(x, []).append(i)
-    owners = [known[x] for x in part.column("item_id").to_pylist()]
     words, answers = [], []
     given = texts.column("answer").to_pylist() if "answer" in texts.column_names else [None] * len(names)
     for t, a in zip(texts.column("text").to_pylist(), given):
         data = np.frombuffer(t.encode(), np.uint8)
         words.append(Words(data, np.array([0, len(data)]), MARKS).hashes())
         answers.append(_answer(t.encode(), a))
-    scaled = (basis * idf[np.flatnonzero(place >= 0)][:, None]).astype(np.float32)
-    shared = documents.sparkSession.sparkContext.broadcast((latent.astype(np.float32), scaled, place, idf.astype(np.float32), names, owners, words, answers))
+    sent = [(latent.astype(np.float32), (basis * idf[np.flatnonzero(place >= 0)][:, None]).astype(np.float32), place, [known[x] for x in part.column("item_id").to_pylist()]) for part, latent, basis, place in spaces]
+    shared = documents.sparkSession.sparkContext.broadcast((sent, idf.astype(np.float32), names, words, answers))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        latent, scaled, place, idf, names, owners, words, answers = shared.value
+        sent, idf, names, words, answers = shared.value
         weights = [idf[(w >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64) for w in words]
         answer_weights = [idf[(w >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64) for w in answers]
         pairs, answer_pairs = ([list(zip(x.tolist(), w.tolist())) for x, w in zip(y, z)] for y, z in ((words, weights), (answers, answer_weights)))
@@ -242,38 +252,40 @@ def _search(documents: DataFrame, part: pa.Table, texts: pa.Table, basis: np.nda
                 starts = text_at[block_text] + order * BLOCK
                 block_at = np.concatenate((starts, [len(h)]))
                 weight = idf[bucket]
-                own = place[bucket]
-                norm, known = sums(weight * weight, block_at), sums(np.where(own >= 0, weight * weight, 0), block_at)
-                windows, wanted = [], np.zeros(len(norm) + 1, bool)
-                for wide in (2, 4):
-                    size, inside = norm.copy(), known.copy()
-                    for k in range(1, wide):
-                        same = np.flatnonzero(block_text[k:] == block_text[:-k]) if len(norm) > k else np.zeros(0, np.int64)
-                        size[same] += norm[same + k]
-                        inside[same] += known[same + k]
-                    open_ = np.flatnonzero((inside >= cosine * cosine * size) & (inside > 0))
-                    windows.append((wide, open_, np.sqrt(size[open_])))
-                    for k in range(wide):
-                        wanted[np.minimum(open_ + k, len(norm))] = True
-                wanted = wanted[:-1]
-                tokens = np.flatnonzero((own >= 0) & np.repeat(wanted, np.diff(block_at)))
-                at_wanted = np.concatenate((np.flatnonzero(wanted), [len(norm)]))
-                vectors = sums(scaled[own[tokens]], np.searchsorted(tokens, block_at[at_wanted]))
-                row_of = np.cumsum(wanted) - 1
-                for wide, open_, size in windows:
-                    for s in range(0, len(open_), 8192):
-                        rows = open_[s : s + 8192]
-                        z = vectors[row_of[rows]]
+                norm = sums(weight * weight, block_at)
+                for latent, scaled, place, owners in sent:
+                    own = place[bucket]
+                    known = sums(np.where(own >= 0, weight * weight, 0), block_at)
+                    windows, wanted = [], np.zeros(len(norm) + 1, bool)
+                    for wide in (2, 4):
+                        size, inside = norm.copy(), known.copy()
                         for k in range(1, wide):
-                            there = np.flatnonzero(block_text[np.minimum(rows + k, len(norm) - 1)] == block_text[rows])
-                            there = there[rows[there] + k < len(norm)]
-                            z[there] += vectors[row_of[rows[there] + k]]
-                        sim = (z @ latent.T) / size[s : s + 8192, None]
-                        for i, p in zip(*np.nonzero(sim >= cosine)):
-                            block, text = rows[i], block_text[rows[i]]
-                            for item in owners[p]:
-                                n_item = len(words[item])
-                                out.append((int(first + text), item, int(max(text_at[text], starts[block] - n_item)), int(min(text_at[text + 1], starts[block] + BLOCK * wide + n_item)), float(sim[i, p]), int(text_at[text]), h))
+                            same = np.flatnonzero(block_text[k:] == block_text[:-k]) if len(norm) > k else np.zeros(0, np.int64)
+                            size[same] += norm[same + k]
+                            inside[same] += known[same + k]
+                        open_ = np.flatnonzero((inside >= cosine * cosine * size) & (inside > 0))
+                        windows.append((wide, open_, np.sqrt(size[open_])))
+                        for k in range(wide):
+                            wanted[np.minimum(open_ + k, len(norm))] = True
+                    wanted = wanted[:-1]
+                    tokens = np.flatnonzero((own >= 0) & np.repeat(wanted, np.diff(block_at)))
+                    at_wanted = np.concatenate((np.flatnonzero(wanted), [len(norm)]))
+                    vectors = sums(scaled[own[tokens]], np.searchsorted(tokens, block_at[at_wanted]))
+                    row_of = np.cumsum(wanted) - 1
+                    for wide, open_, size in windows:
+                        for s in range(0, len(open_), 8192):
+                            rows = open_[s : s + 8192]
+                            z = vectors[row_of[rows]]
+                            for k in range(1, wide):
+                                there = np.flatnonzero(block_text[np.minimum(rows + k, len(norm) - 1)] == block_text[rows])
+                                there = there[rows[there] + k < len(norm)]
+                                z[there] += vectors[row_of[rows[there] + k]]
+                            sim = (z @ latent.T) / size[s : s + 8192, None]
+                            for i, p in zip(*np.nonzero(sim >= cosine)):
+                                block, text = rows[i], block_text[rows[i]]
+                                for item in owners[p]:
+                                    n_item = len(words[item])
+                                    out.append((int(first + text), item, int(max(text_at[text], starts[block] - n_item)), int(min(text_at[text + 1], starts[block] + BLOCK * wide + n_item)), float(sim[i, p]), int(text_at[text]), h))
             yield from checked(b, out, names, words, weights, answer_weights, pairs, answer_pairs)
 
     def checked(b: pa.RecordBatch, out: list[tuple], names: list, words: list, weights: list, answer_weights: list, pairs: list, answer_pairs: list) -> Iterator[pa.RecordBatch]:

@@ -293,6 +293,15 @@ def test_latent_retrieval(spark, edges, none):
     assert latent.decontaminated(edges, benchmark).columns == edges.columns
 
 
+def test_latent_retrieval_keeps_pace_with_the_benchmark(spark):
+    draw = random.Random(8)
+    fresh = lambda n: " ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(n))
+    items = [(i, fresh(draw.randint(32, 60))) for i in range(1000)]
+    docs = [(i, fresh(25) + " " + items[i][1] + " " + fresh(25)) for i in range(0, 1000, 5)]
+    got = {(r["doc_id"], r["item_id"]) for r in latent.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, _ in docs}
+
+
 def test_randomised_svd_spans_the_rows(spark):
     items = spark.createDataFrame([(i, words(20)) for i in range(30)], "item_id long, text string")
     rows = latent.passages(items).cache()
