@@ -4,17 +4,20 @@
 rows, of which a randomised SVD (random range, power iterations, small eigenproblem; every product with the rows is a
 map over partitions whose partial sums are added by a shuffle) gives a latent space. Each group of about GROUP passages
 has a space of its own, of as many dimensions as keep RETAINED of the norm of each of its passages. 3. Every
-document is cut into blocks of BLOCK words; windows of 2 and of 4 blocks, at every block, in which the benchmark's
+document is cut into blocks of BLOCK words; windows of 4 and of 8 blocks at every second block, and for passages of up
+to SHORT words also windows of 1 and 2 blocks at every block, in which the benchmark's
 vocabulary has enough of the weight to reach COSINE at all, are folded into the space and compared with all passages: the dot product of the latent vectors over the window's full TF-IDF norm
-and the passage's latent norm, a cosine that unrelated words keep low. 4. Windows of COSINE or more are read word for
+and the passage's latent norm, a cosine that unrelated words keep low. 4. Windows of COSINE or more, and places
+where RUN words of an item stand in a row (foreign words beside them do not matter then; the cosine is 0), are read word for
 word: the longest common subsequence with the item, weighted by IDF, must reach LCS of the item, and short of EXACT
 also ANSWER of the weight of the item's answer must stand near it. The answer is the benchmark's `answer` column, else
 the last sentence, else the last third of the words.
 
-Words in more than STOP of the documents have no weight. Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased. The benchmark's matrices are
+Words in more than STOP of the documents have no weight in the latent space, and LEAST_WEIGHT or more when words are
+read. An item of fewer than RUN words is found where all of its words stand in a row. Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased. The benchmark's matrices are
 broadcast in blocks of about MOST_PASSAGES passages, one search over the documents for each block.
 
-Defined cases: null and empty texts and items match nothing, nor do items of fewer than LEAST_WORDS words; null ids
+Defined cases: null and empty texts and items match nothing, nor do items without words; null ids
 are carried as they are; repeated rows are found each, repeated items once each; an empty table gives no row; other
 columns are ignored.
 """
@@ -32,8 +35,8 @@ from corpusloom import runtime
 from corpusloom.llm.arrays import MARKS, Words, chunks, sums
 
 BITS, EXTRA, POWER = 17, 16, 2
-BLOCK, ITEM_WORDS, LEAST_WORDS = 16, 64, 6
-COSINE, LCS, EXACT, ANSWER, STOP = 0.45, 0.55, 0.9, 0.5, 0.5
+BLOCK, ITEM_WORDS, RUN, SHORT = 8, 64, 6, 24
+COSINE, LCS, EXACT, ANSWER, STOP, LEAST_WEIGHT = 0.45, 0.55, 0.9, 0.5, 0.5, 0.1
 MOST_PASSAGES, GROUP, RETAINED = 4096, 192, 0.98
 
 
@@ -84,7 +87,7 @@ def passages(benchmark: DataFrame) -> DataFrame:
                 bucket, own, _ = _buckets(raw, at)
                 for i in range(end - start):
                     n = int(own[i + 1] - own[i])
-                    if n < LEAST_WORDS:
+                    if n < RUN:
                         continue
                     for s in range(0, max(1, n - ITEM_WORDS // 2), ITEM_WORDS // 2):
                         ids.append(start + i)
@@ -145,6 +148,18 @@ def svd(rows: DataFrame, place: np.ndarray, idf: np.ndarray, n_columns: int, ran
     return q @ vectors[:, keep]
 
 
+def runs(h: np.ndarray, text_of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First places and hashes of the runs of so many words that lie in one text."""
+    n = len(h) - size + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(text_of[:n] == text_of[size - 1 :])
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[at + k]
+    return at, out
+
+
 def common(item: np.ndarray, region: np.ndarray, weight: np.ndarray) -> float:
     """Weight of the heaviest common subsequence; weight: of each of the item's words."""
     best = np.zeros(len(region) + 1)
@@ -178,9 +193,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lc
     doc_kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((documents, "doc_id"), (benchmark, "item_id")))
     schema = f"doc_id {doc_kind}, item_id {item_kind}, start int, end int, cosine double, lcs double, answer double"
     count = rows.count()
-    blocks = max(1, -(-count // MOST_PASSAGES))
     has_answer = "answer" in benchmark.columns
     items = benchmark.select("item_id", "text", *(["answer"] if has_answer else [])).where("text is not null").distinct()
+    blocks = max(1, -(-max(count, items.count()) // MOST_PASSAGES))
     found = None
     for block in range(blocks):
         own = F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block
@@ -229,13 +244,23 @@ def _search(documents: DataFrame, spaces: list[tuple], texts: pa.Table, idf: np.
         data = np.frombuffer(t.encode(), np.uint8)
         words.append(Words(data, np.array([0, len(data)]), MARKS).hashes())
         answers.append(_answer(t.encode(), a))
-    sent = [(latent.astype(np.float32), (basis * idf[np.flatnonzero(place >= 0)][:, None]).astype(np.float32), place, [known[x] for x in part.column("item_id").to_pylist()]) for part, latent, basis, place in spaces]
+    sent = [(latent.astype(np.float32), (basis * idf[np.flatnonzero(place >= 0)][:, None]).astype(np.float32), place, [known[x] for x in part.column("item_id").to_pylist()], np.array([len(x) // 4 for x in part.column("words").to_pylist()])) for part, latent, basis, place in spaces]
     shared = documents.sparkSession.sparkContext.broadcast((sent, idf.astype(np.float32), names, words, answers))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent, idf, names, words, answers = shared.value
-        weights = [idf[(w >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64) for w in words]
-        answer_weights = [idf[(w >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64) for w in answers]
+        floor = np.maximum(idf, LEAST_WEIGHT)
+        weights = [floor[(w >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64) for w in words]
+        answer_weights = [floor[(w >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64) for w in answers]
+        anchors: dict[int, list] = {}  # run length -> (hash, item, place) of the items' runs
+        for i, w in enumerate(words):
+            if len(w):
+                where, key = runs(w, np.zeros(len(w), np.int64), size := min(RUN, len(w)))
+                anchors.setdefault(size, []).append((key, np.full(len(key), i), where))
+        for size, parts in anchors.items():
+            key, item, where = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(key, kind="stable")
+            anchors[size] = key[order], item[order], where[order]
         pairs, answer_pairs = ([list(zip(x.tolist(), w.tolist())) for x, w in zip(y, z)] for y, z in ((words, weights), (answers, answer_weights)))
         for b in batches:
             out: list[tuple] = []
@@ -246,6 +271,20 @@ def _search(documents: DataFrame, spaces: list[tuple], texts: pa.Table, idf: np.
                     continue
                 bucket = (h >> np.uint64(64 - BITS)).astype(np.int64)
                 n = np.diff(text_at)
+                text_of = hashes.texts()
+                for size, (key, item_of, where) in anchors.items():
+                    spots, run = runs(h, text_of, size)
+                    low = np.searchsorted(key, run)
+                    hit = np.flatnonzero(key[np.minimum(low, len(key) - 1)] == run)
+                    low, spots = low[hit], spots[hit]
+                    many = np.searchsorted(key, run[hit], "right") - low
+                    entry = np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                    spots = np.repeat(spots, many)
+                    places = np.unique(np.stack((text_of[spots], item_of[entry], spots - where[entry]), 1), axis=0)  # a copy's runs are one place
+                    for text, item, place_of in places.tolist():
+                        n_item = len(words[item])
+                        slack = 0 if n_item < RUN else n_item
+                        out.append((int(first + text), item, int(max(text_at[text], place_of - slack)), int(min(text_at[text + 1], place_of + n_item + slack)), 0.0, int(text_at[text]), h))
                 blocks = -(-n // BLOCK)
                 block_text = np.repeat(np.arange(len(n)), blocks)
                 order = np.arange(len(block_text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -253,17 +292,18 @@ def _search(documents: DataFrame, spaces: list[tuple], texts: pa.Table, idf: np.
                 block_at = np.concatenate((starts, [len(h)]))
                 weight = idf[bucket]
                 norm = sums(weight * weight, block_at)
-                for latent, scaled, place, owners in sent:
+                for latent, scaled, place, owners, lengths in sent:
                     own = place[bucket]
                     known = sums(np.where(own >= 0, weight * weight, 0), block_at)
                     windows, wanted = [], np.zeros(len(norm) + 1, bool)
-                    for wide in (2, 4):
+                    short = np.flatnonzero(lengths <= SHORT)
+                    for wide in (1, 2, 4, 8) if len(short) else (4, 8):
                         size, inside = norm.copy(), known.copy()
                         for k in range(1, wide):
                             same = np.flatnonzero(block_text[k:] == block_text[:-k]) if len(norm) > k else np.zeros(0, np.int64)
                             size[same] += norm[same + k]
                             inside[same] += known[same + k]
-                        open_ = np.flatnonzero((inside >= cosine * cosine * size) & (inside > 0))
+                        open_ = np.flatnonzero((inside >= cosine * cosine * size) & (inside > 0) & ((wide < 4) | (order % 2 == 0)))
                         windows.append((wide, open_, np.sqrt(size[open_])))
                         for k in range(wide):
                             wanted[np.minimum(open_ + k, len(norm))] = True
@@ -280,10 +320,11 @@ def _search(documents: DataFrame, spaces: list[tuple], texts: pa.Table, idf: np.
                                 there = np.flatnonzero(block_text[np.minimum(rows + k, len(norm) - 1)] == block_text[rows])
                                 there = there[rows[there] + k < len(norm)]
                                 z[there] += vectors[row_of[rows[there] + k]]
-                            sim = (z @ latent.T) / size[s : s + 8192, None]
+                            mine = short if wide < 4 else np.arange(len(latent))
+                            sim = (z @ latent[mine].T) / size[s : s + 8192, None]
                             for i, p in zip(*np.nonzero(sim >= cosine)):
                                 block, text = rows[i], block_text[rows[i]]
-                                for item in owners[p]:
+                                for item in owners[mine[p]]:
                                     n_item = len(words[item])
                                     out.append((int(first + text), item, int(max(text_at[text], starts[block] - n_item)), int(min(text_at[text + 1], starts[block] + BLOCK * wide + n_item)), float(sim[i, p]), int(text_at[text]), h))
             yield from checked(b, out, names, words, weights, answer_weights, pairs, answer_pairs)

@@ -293,6 +293,19 @@ def test_latent_retrieval(spark, edges, none):
     assert latent.decontaminated(edges, benchmark).columns == edges.columns
 
 
+def test_latent_retrieval_of_short_and_frequent_items(spark):
+    draw = random.Random(9)
+    fresh = lambda n: " ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(n))
+    items = [(i, fresh(n)) for i, n in enumerate((2, 3, 5, 6, 7, 9, 12, 15, 18))] + [(50, " ".join(f"often{i}" for i in range(12))), (51, "...")]
+    docs = [(100 * i + j, f"{fresh(37 + j)} {t.upper()} {fresh(40)}") for i, t in items[:9] for j in range(4)]
+    docs += [(5000 + i, fresh(30) + " " + items[9][1] + " " + fresh(30)) for i in range(100)]
+    docs += [(9000, items[1][1].split()[0] + " x " + items[1][1].split()[2])]
+    got = {(r["doc_id"], r["item_id"]) for r in latent.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(100 * i + j, i) for i in range(9) for j in range(4)} | {(5000 + i, 50) for i in range(100)}
+    short = spark.createDataFrame(items[:2], "item_id long, text string")
+    assert latent.decontaminated(spark.createDataFrame(docs, "doc_id long, text string"), short).count() == len(docs) - 8
+
+
 def test_latent_retrieval_keeps_pace_with_the_benchmark(spark):
     draw = random.Random(8)
     fresh = lambda n: " ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(n))
