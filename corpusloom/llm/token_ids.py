@@ -32,6 +32,8 @@ FILE_SCHEMA = "shard int, before long, doc_ids array<long>, sizes array<int>, bl
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
+#: White space of any script, and the separators that Python alone counts to it.
+_GAP = re.compile(r"\s")
 
 
 class _Known(dict):
@@ -79,23 +81,31 @@ class Encoder:
         self.piece_ids, self.piece_at = self.ids, self.at
 
     def _pieces(self, words: list[bytes]) -> list[list[str]]:
-        """The split of each word, plain ASCII by the pattern's ASCII form, all others by the tokenizer, many at a time."""
+        """The split of each word, plain ASCII by the pattern's ASCII form, all others by the tokenizer, many at a time.
+
+        Words without white space of any script are joined by blanks: the normaliser keeps each of them one word, so
+        the parts of the normalised text are theirs in order. A word that holds such white space goes alone, as it
+        may vanish or fall into several.
+        """
         out = [_ASCII.findall(w.decode()) if _PLAIN.fullmatch(w) else None for w in words]
         rest = [i for i, x in enumerate(out) if x is None]
-        for start in range(0, len(rest), 500):
-            own = rest[start : start + 500]
-            texts = [words[i].decode("utf-8", "surrogatepass") for i in own]
-            whole = self.whole.normalizer.normalize_str(" ".join(texts))
-            parts = whole.split(" ")
-            if len(parts) != len(own):  # white space beyond ASCII within a word
-                for i, t in zip(own, texts):
-                    out[i] = [x for x, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(t))]
-                continue
+        texts = {i: words[i].decode("utf-8", "surrogatepass") for i in rest}
+        normal, split = self.whole.normalizer.normalize_str, self.whole.pre_tokenizer.pre_tokenize_str
+        for i in rest:
+            if _GAP.search(texts[i]):
+                out[i] = [x for x, _ in split(normal(texts[i]))]
+        whole = [i for i in rest if out[i] is None]
+        for start in range(0, len(whole), 500):
+            own = whole[start : start + 500]
+            text = normal(" ".join(texts[i] for i in own))
+            parts = text.split(" ")
+            if len(parts) != len(own):
+                raise ValueError("the normaliser changed the number of words")
             for i in own:
                 out[i] = []
             ends = np.cumsum([len(p) + 1 for p in parts])
-            split = self.whole.pre_tokenizer.pre_tokenize_str(whole)
-            for (piece, _), k in zip(split, np.searchsorted(ends, [at[0] for _, at in split], "right").tolist()):
+            pieces = split(text)
+            for (piece, _), k in zip(pieces, np.searchsorted(ends, [at[0] for _, at in pieces], "right").tolist()):
                 out[own[k]].append(piece)
         return out
 
@@ -107,7 +117,7 @@ class Encoder:
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)])
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(fresh):
-                own = [np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(fresh, add_special_tokens=False)]
+                own = [np.array(e.ids, np.uint32) for p in fresh for e in [self.bare.encode(p, add_special_tokens=False)]]
                 ids, ends = np.concatenate(own), np.cumsum([len(x) for x in own])
             place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
             self.piece_at = np.concatenate((self.piece_at, self.piece_at[-1] + ends))
@@ -130,7 +140,9 @@ class Encoder:
             self.forget()
         known, found = self.known, []
         for t in texts:
-            words = t.encode("utf-8", "surrogatepass").lower().split()
+            data = t.encode("utf-8", "surrogatepass")
+            # only ASCII words may be lower-cased before the normaliser composes their marks
+            words = data.lower().split() if data.isascii() else [w.lower() if w.isascii() else w for w in data.split()]
             found.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         if known.fresh:
             self._learn(known.fresh)
