@@ -7,30 +7,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom import runtime
 from corpusloom.functions.text import normalised
-from corpusloom.runtime import unused
 
 # Shingle length, permutations, bands, prime, and 109 of 128 equal places (0.85 or more).
 SHINGLE, PERMUTATIONS, BANDS, PRIME, SEED, LEAST_EQUAL = 5, 128, 32, (1 << 31) - 1, 42, 109
+#: Shingles that a task remembers with their hashes.
+REMEMBERED = 500_000
+#: Rows that meet in a task, and the keys by which a later match is looked for first.
+BLOCK, QUICK_KEYS = 1024, 3
+
+
+def hashes(question: Column, answer: Column) -> tuple[Column, Column]:
+    """(hash of the normalised question, hash of question and answer); null counts as ""."""
+    q, a = F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit(""))
+    return F.md5(normalised(q)), F.md5(F.concat(q, F.lit("|||"), a))
+
+
+def repeats(hashed: DataFrame, seq: str, key: str, pair: str) -> DataFrame:
+    """seq, dup_reason of the rows of a written table that repeat an earlier question.
+
+    The first row of each key comes from a partial aggregate, not a window, and keys that many rows share are
+    broadcast (runtime.spread_join), so a question that a third of the rows share is no task of its own.
+    """
+    first = F.min(F.struct(F.col(seq).alias("s"), F.col(pair).alias("p"))).alias("first_row")
+    firsts = runtime.written(hashed.groupBy(key).agg(first, F.count("*").alias("n")).where("n > 1"), "first-rows")
+    joined = runtime.spread_join(hashed, firsts, [key]).where(F.col("first_row.s") != F.col(seq))
+    return joined.select(seq, F.when(F.col("first_row.p") == F.col(pair), "duplicate_qa").otherwise("duplicate_question").alias("dup_reason"))
 
 
 def exact_reasons(rows: DataFrame, question: str = "question", answer: str = "answer", seq: str = "seq") -> DataFrame:
     """rows with dup_reason: null for the first row of each normalised question, else duplicate_qa if question and
     answer are the first row's, else duplicate_question.
 
-    The first row comes from a partial aggregate, not a window, so a question that a third of the rows share is no
-    task of its own. Two questions whose texts with the answer coincide around the separator are not told apart.
+    seq is unique. Two questions whose texts with the answer coincide around the separator are not told apart.
     """
-    pair, key, first = (unused(rows.columns, x) for x in ("pair_hash", "question_hash", "first_row"))
-    q, a = F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit(""))
-    hashed = rows.withColumn(pair, F.md5(F.concat(q, F.lit("|||"), a))).withColumn(key, F.md5(normalised(q)))
-    firsts = hashed.groupBy(key).agg(F.min(F.struct(F.col(seq).alias("s"), F.col(pair).alias("p"))).alias(first))
-    joined = hashed.join(firsts, key)
-    why = F.when(F.col(first)["s"] == F.col(seq), None).when(F.col(first)["p"] == F.col(pair), "duplicate_qa").otherwise("duplicate_question")
-    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), why.alias("dup_reason"))
+    key, pair = hashes(F.col(question), F.col(answer))
+    hashed = runtime.written(rows.select(F.col(seq), key.alias("question_hash"), pair.alias("pair_hash")), "question-hashes")
+    return rows.join(repeats(hashed, seq, "question_hash", "pair_hash"), seq, "left").select(*(F.col(f"`{c}`") for c in rows.columns), "dup_reason")
 
 
 def first_per_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
@@ -46,12 +63,22 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
     return np.array([a for a, _ in drawn], np.int64), np.array([b for _, b in drawn], np.int64)
 
 
-def shingle_hashes(text: str) -> np.ndarray:
-    """Hashes (31 bits of MD5, so that SQL has them too) of the distinct shingles of a normalised text."""
-    from hashlib import md5
+class Hashed(dict):
+    """Shingle -> its hash: 31 bits of MD5, so that SQL has them too. Shingles are few against their occurrences."""
+
+    def __missing__(self, gram: str) -> int:
+        from hashlib import md5
 
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[gram] = h = int.from_bytes(md5(gram.encode("utf-8", "surrogatepass")).digest()[:4], "big") & 0x7FFFFFFF
+        return h
+
+
+def shingle_hashes(text: str, known: Hashed) -> np.ndarray:
+    """Hashes of the distinct shingles of a normalised text."""
     grams = {text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1)}
-    return np.fromiter((int.from_bytes(md5(g.encode("utf-8", "surrogatepass")).digest()[:4], "big") & 0x7FFFFFFF for g in grams), np.int64, len(grams))
+    return np.fromiter((known[g] for g in grams), np.int64, len(grams))
 
 
 def signatures(rows: DataFrame, text: str, seq: str = "seq") -> DataFrame:
@@ -59,10 +86,11 @@ def signatures(rows: DataFrame, text: str, seq: str = "seq") -> DataFrame:
     a, b = permutations()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashed()
         for batch in batches:
             sizes, out = [], np.zeros((len(batch), PERMUTATIONS), np.int64)
             for i, t in enumerate(batch.column(1).to_pylist()):
-                h = shingle_hashes(t or "")
+                h = shingle_hashes(t or "", known)
                 sizes.append(len(h))
                 if len(h):
                     low = np.full(PERMUTATIONS, PRIME, np.int64)
@@ -83,28 +111,134 @@ def buckets(signed: DataFrame) -> DataFrame:
     return signed.select("seq", F.explode(bands).alias("b")).select("seq", "b.band", "b.key")
 
 
+def _keys(signed: DataFrame) -> DataFrame:
+    """key, seq, signature: one row for each of PERMUTATIONS - LEAST_EQUAL + 1 groups of places.
+
+    Two signatures with LEAST_EQUAL equal places differ in fewer places than there are groups, so at least one group is
+    equal as a whole. Such signatures share bands too (at most 19 of the 32 can differ), so nothing is added or lost
+    against bands, and longer keys bring far fewer rows together.
+    """
+    groups = PERMUTATIONS - LEAST_EQUAL + 1
+    cuts = [PERMUTATIONS * g // groups for g in range(groups + 1)]
+    keys = [F.xxhash64(F.lit(g), F.slice("signature", a + 1, b - a)) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+    return signed.select("seq", F.col("signature").cast("array<int>").alias("signature"), F.posexplode(F.array(*keys)).alias("place", "key"))
+
+
+def later_matches(asked: np.ndarray, seqs: np.ndarray, wanted: np.ndarray, signed: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in asked, place in seqs, equal places) of matches with a larger seq; if first, one for each asked row at most."""
+    low = lambda x: np.ascontiguousarray(((x ^ x >> 8 ^ x >> 16 ^ x >> 24) & 255).astype(np.uint8).T)
+    ours, theirs = low(wanted), low(signed)  # a byte for each place; equal values have equal bytes
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    open_, start, step = np.arange(len(asked)), 0, 64
+    while start < len(seqs) and len(open_):
+        part = slice(start, start + step)
+        found_i, found_j, found_n = [], [], []
+        for at in range(0, len(open_), 64):
+            rows = open_[at : at + 64]
+            equal = np.zeros((len(rows), len(seqs[part])), np.uint8)
+            for x, y in zip(ours[:, rows], theirs[:, part]):
+                equal += x[:, None] == y
+            i, j = np.nonzero((equal >= LEAST_EQUAL) & (seqs[None, part] > asked[rows, None]))
+            n = (wanted[rows[i]] == signed[j + start]).sum(1)
+            good = n >= LEAST_EQUAL
+            i, j, n = i[good], j[good], n[good]
+            if first:
+                i, own = np.unique(i, return_index=True)
+                j, n = j[own], n[own]
+            found_i.append(i + at)
+            found_j.append(j + start)
+            found_n.append(n)
+        i = np.concatenate(found_i)
+        out.append((open_[i], np.concatenate(found_j), np.concatenate(found_n)))
+        if first:
+            open_ = np.delete(open_, i)
+        start, step = start + step, min(step * 4, 1024)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _met(dealt: DataFrame, first: bool) -> DataFrame:
+    """j, i, n_equal: rows that were asked (side 0) and later rows of the same task (side 1, or 2 for both) that match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            side, seq = t.column("side").to_numpy(), t.column("seq").to_numpy()
+            flat = t.column("signature").combine_chunks()
+            signed = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+            a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            x, y, n = later_matches(seq[a], seq[b], signed[a], signed[b], first)
+            yield pa.RecordBatch.from_arrays([pa.array(seq[a][x]), pa.array(seq[b][y]), pa.array(n.astype(np.int32))], ["j", "i", "n_equal"])
+
+        for b in batches:
+            tasks = b.column(0).to_numpy()
+            ends = [*(np.flatnonzero(np.diff(tasks)) + 1), len(b)]
+            for start, end in zip([0, *ends[:-1]], ends):
+                if held and held[0].column(0)[0].as_py() != tasks[start]:
+                    yield from done()
+                    held.clear()
+                held.append(b.slice(start, end - start))
+        if held:
+            yield from done()
+
+    parts = runtime.shuffle_partitions(dealt.sparkSession)
+    rows = dealt.select("task", "side", "seq", "signature").repartition(parts, "task").sortWithinPartitions("task", F.desc("seq"))
+    return rows.mapInArrow(run, "j long, i long, n_equal int")
+
+
+def _searched(asked: DataFrame, signed: DataFrame, first: bool) -> DataFrame:
+    """j, i, n_equal of the asked rows and their later matches in signed: rows of a key meet in blocks of BLOCK."""
+    own = _keys(signed)
+    wanted = _keys(asked).select("key", "seq", "signature")
+    sizes = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = runtime.written(sizes.join(wanted.groupBy("key").agg(F.count("*").alias("m")), "key"), "key-sizes")
+    blocks, sides = (F.ceil(F.col(x) / BLOCK).cast("int") for x in "nm")
+    place = lambda n, salt: F.pmod(F.xxhash64("seq", F.lit(salt)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    task = F.xxhash64("key", "side_no", "block_no").alias("task")
+    left = wanted.join(sizes, "key").select("*", place(sides, 1).alias("side_no"), every(blocks).alias("block_no")).select(task, F.lit(0).alias("side"), "seq", "signature")
+    right = own.join(sizes, "key").select("*", place(blocks, 2).alias("block_no"), every(sides).alias("side_no")).select(task, F.lit(1).alias("side"), "seq", "signature")
+    return _met(left.unionByName(right), first)
+
+
+def near_classes(signed: DataFrame) -> DataFrame:
+    """seq, last: the last row with the same signature."""
+    last = runtime.written(signed.groupBy("signature").agg(F.max("seq").alias("last"), F.count("*").alias("n")), "signature-classes")
+    return runtime.spread_join(signed.select("seq", "signature"), last, ["signature"]).select("seq", "last")
+
+
+def representatives(signed: DataFrame) -> DataFrame:
+    """seq, signature: the last row of each signature."""
+    return runtime.written(signed.groupBy("signature").agg(F.max("seq").alias("seq")).select("seq", "signature"), "representatives")
+
+
 def near_pairs(signed: DataFrame) -> DataFrame:
-    """i, j (i > j), n_equal: rows that share a band and have 109 places or more in common."""
-    own = buckets(signed)
-    later, earlier = own.withColumnRenamed("seq", "i"), own.withColumnRenamed("seq", "j")
-    found = later.join(earlier, ["band", "key"]).where("i > j").select("i", "j").distinct()
-    left, right = (signed.select(F.col("seq").alias(x), F.col("signature").alias(f"s{x}")) for x in "ij")
-    equal = F.size(F.filter(F.zip_with("si", "sj", lambda x, y: x == y), lambda x: x))
-    return found.join(left, "i").join(right, "j").select("i", "j", equal.alias("n_equal")).where(F.col("n_equal") >= LEAST_EQUAL)
+    """i, j (i > j), n_equal: the representatives of two signatures with 109 places or more in common."""
+    own = representatives(signed)
+    return _searched(own, own, False).distinct().select("i", "j", "n_equal")
 
 
 def near_dropped(signed: DataFrame) -> DataFrame:
-    """seq of every row with a later near duplicate.
+    """seq of every row of a written table with a later near duplicate.
 
-    Rows of one signature are told by an aggregate: all but the last go, and only the last is paired with other
-    signatures (a later match of any of them is a match of the last), so copies do not become pairs.
+    All but the last row of each signature go, and only that one is compared with other signatures (a later match of
+    any of them is a match of the last). One later match is enough: most rows find it in one block of a few of their
+    keys; only those that do not are held against all rows that share any key.
     """
-    last = signed.groupBy("signature").agg(F.max("seq").alias("last"))
-    copies = signed.join(last, "signature").where("seq < last").select("seq")
-    return copies.unionByName(near_pairs(last.select(F.col("last").alias("seq"), "signature")).select(F.col("j").alias("seq")).distinct())
+    own = representatives(signed)
+    copies = signed.select("seq").join(own, "seq", "left_anti")
+    quick = _keys(own).where(F.col("place") < QUICK_KEYS)
+    sizes = quick.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    block = F.pmod(F.xxhash64("seq"), F.ceil(F.col("n") / BLOCK))
+    dealt = quick.join(sizes, "key").select(F.xxhash64("key", block).alias("task"), F.lit(2).alias("side"), "seq", "signature")
+    found = runtime.written(_met(dealt, True).select(F.col("j").alias("seq")).distinct(), "near-quick")
+    rest = runtime.written(own.join(found, "seq", "left_anti"), "near-asked")
+    late = _searched(rest, own, True).select(F.col("j").alias("seq")).distinct()
+    return copies.unionByName(found).unionByName(late)
 
 
 def near_deduplicated(rows: DataFrame, text: str, seq: str = "seq") -> DataFrame:
     """rows without those that have a later near duplicate."""
-    gone = near_dropped(signatures(rows, text, seq)).withColumnRenamed("seq", seq)
+    gone = near_dropped(runtime.written(signatures(rows, text, seq), "signatures")).withColumnRenamed("seq", seq)
     return rows.join(gone, seq, "left_anti")

@@ -87,6 +87,10 @@ def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_pairs(runtime.written(dedup.signatures(_questions(spark, sf_dir), "question"), "signatures"))
 
 
+def neardup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_classes(runtime.written(dedup.signatures(_questions(spark, sf_dir), "question"), "signatures"))
+
+
 def neardup_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
     return dedup.near_dropped(runtime.written(dedup.signatures(rows, "text"), "signatures"))
@@ -307,7 +311,8 @@ def oracle_sql() -> dict[str, str]:
         "shingle_counts": f"WITH {_TURNS_SQL}, q AS (SELECT conv_id AS seq, question FROM turns), {_signature_sql('q', 'question')} SELECT n.seq, CAST(count(g.g) AS INT) AS n_shingles FROM normal n LEFT JOIN grams g USING (seq) GROUP BY n.seq",
         "minhash_signature": f"WITH {_TURNS_SQL}, q AS (SELECT conv_id AS seq, question FROM turns), {_signature_sql('q', 'question')} SELECT seq, place, value FROM sig",
         "lsh_buckets": f"WITH {_TURNS_SQL}, q AS (SELECT conv_id AS seq, question FROM turns), {_signature_sql('q', 'question')} SELECT seq, CAST(place // 4 AS INT) AS band, string_agg(value::varchar, ',' ORDER BY place) AS key FROM sig GROUP BY seq, place // 4",
-        "neardup_pairs": f"WITH {_TURNS_SQL}, q AS (SELECT conv_id AS seq, question FROM turns), {_signature_sql('q', 'question')} SELECT i, j, CAST(n_equal AS INT) AS n_equal FROM found",
+        "neardup_pairs": f"WITH {_TURNS_SQL}, q AS (SELECT conv_id AS seq, question FROM turns), {_signature_sql('q', 'question')} SELECT i, j, CAST(n_equal AS INT) AS n_equal FROM found WHERE i IN (SELECT max(seq) FROM sigs GROUP BY s) AND j IN (SELECT max(seq) FROM sigs GROUP BY s)",
+        "neardup_classes": f"WITH {_TURNS_SQL}, q AS (SELECT conv_id AS seq, question FROM turns), {_signature_sql('q', 'question')} SELECT seq, max(seq) OVER (PARTITION BY s) AS last FROM sigs",
         "neardup_dropped": f"WITH q AS (SELECT doc_id AS seq, coalesce(text, '') AS text FROM documents), {_signature_sql('q', 'text')} SELECT DISTINCT j AS seq FROM found",
         "clean_pipeline": f"{clean_sql} SELECT seq, source, lang FROM single WHERE seq NOT IN (SELECT j FROM gone)",
         "drop_report": f"{clean_sql} SELECT reason, count(*) AS n FROM (SELECT 'quality:' || reason AS reason FROM checked WHERE reason <> '' UNION ALL SELECT 'exact:' || dup_reason FROM marked WHERE dup_reason <> '' UNION ALL SELECT 'neardup:similar_question' FROM gone) GROUP BY 1",

@@ -43,6 +43,25 @@ def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Keys that may be broadcast as heavy: each holds more than one part in so many of the rows, so there are no more of them.
+MOST_HEAVY = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", n: str = "n") -> DataFrame:
+    """left joined with right (how: inner or left), without a task that holds a heavy key.
+
+    right has one row for each key, with the number n of left's rows that have it, and is a written table, as left
+    should be: both are read twice. Keys with more than one in MOST_HEAVY of these rows are broadcast, all others are
+    joined by a shuffle, of which a key then is a small part. n is not in the result.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    heavy, light = F.col(n) > total / MOST_HEAVY, right.where(F.col(n) <= total / MOST_HEAVY).drop(n)
+    named = F.broadcast(right.where(heavy).drop(n))
+    if not right.where(heavy).limit(1).count():
+        return left.join(light, keys, how)
+    return left.join(named, keys).unionByName(left.join(named.select(*keys), keys, "left_anti").join(light, keys, how))
+
+
 def local_path(uri: str) -> str:
     """The mounted path of a file: URI or plain path; raises for stores that cannot be mapped into memory."""
     if uri.startswith("file:"):

@@ -51,7 +51,7 @@ def test_near_dedup_is_the_brute_force_set(spark, parts):
     texts = [t[:k] + "".join(draw.choices("xyz", k=draw.randint(0, 3))) + t[k:] for t in base for k in draw.choices(range(120), k=8)] + ["", "ab", "cd", base[0], base[0]]
     draw.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string").repartition(parts)
-    signed = dedup.signatures(df, "text")
+    signed = dedup.signatures(df, "text").cache()
     got = {r["seq"] for r in dedup.near_dropped(signed).collect()}
     assert got == brute_dropped(signed.collect()) and got
     assert dedup.near_deduplicated(df, "text").count() == len(texts) - len(got)
