@@ -1,31 +1,66 @@
-"""Commands for spark-submit: extract, clean, evaluate, compare."""
+"""Commands for spark-submit: extract, synthesise, clean, evaluate, compare."""
 
 from __future__ import annotations
 
 import argparse
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import runtime, schemas
 from corpusloom.functions.text import first_turn
-from corpusloom.operators import chunkers, evaluate, generate
+from corpusloom.operators import chunkers, endpoint, evaluate, generate, prompts
 from corpusloom.plans import clean, reports
 from corpusloom.sources import files, jsonl
 
 
+SYSTEM = "Answer the task."
+
+
+def _endpoint(x: argparse.ArgumentParser) -> None:
+    x.add_argument("--model-name", default="echo")
+    x.add_argument("--url", help="chat-completions endpoint; without it, the caller's provider answers")
+    x.add_argument("--seconds", type=float, default=endpoint.SECONDS)
+    x.add_argument("--tokens", type=int, default=endpoint.MOST_TOKENS)
+
+
+def synthesised(spark: SparkSession, chunks: str, samples: str, failures: str, provider: generate.Provider, threads: int = 12, tries: int = generate.TRIES) -> str:
+    """Ask for the chunks without a sample; malformed lines of either file are passed over. The report counts what was done."""
+    rows = jsonl.read_silent(spark, chunks, schemas.CHUNK)
+    try:
+        done = jsonl.read_silent(spark, samples, schemas.SAMPLE).select("source_chunk_id")
+    except AnalysisException as e:  # no sample yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = spark.createDataFrame([], "source_chunk_id string")
+    left = runtime.written(generate.pending(rows, done), "pending")
+    answers = runtime.written(generate.generated(prompts.expanded(left), provider, SYSTEM, threads, tries), "answers")
+    jsonl.write(generate.samples(answers, SYSTEM), samples, append=True)
+    jsonl.write(generate.failures(answers), failures, append=True)
+    n = answers.agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("bad")).first()
+    return f"Chunks pending : {left.count()}\nSamples        : {n['good']}\nFailures       : {n['bad']}"
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="corpusloom", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
     x = sub.add_parser("extract", help="chunks of source trees")
     x.add_argument("base")
     x.add_argument("out")
+    x = sub.add_parser("synthesise", help="ask for samples of chunks that have none yet; appends to both outputs")
+    x.add_argument("chunks")
+    x.add_argument("samples")
+    x.add_argument("failures")
+    x.add_argument("--threads", type=int, default=12)
+    x.add_argument("--tries", type=int, default=generate.TRIES)
+    _endpoint(x)
     x = sub.add_parser("clean", help="quality rules, exact and near deduplication of samples")
     x.add_argument("samples")
     x.add_argument("out")
     x = sub.add_parser("evaluate", help="ask, check and report")
-    x.add_argument("--model-name", default="echo")
+    _endpoint(x)
     x.add_argument("--tag", required=True)
     x.add_argument("--problems", required=True)
     x.add_argument("--category")
@@ -39,21 +74,26 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None, provider: generate.Provider = generate.echo) -> str:
     """Run a command; the provider of answers is injected by the caller."""
     a, spark = parser().parse_args(args), SparkSession.builder.getOrCreate()
+    if getattr(a, "url", None):
+        provider = endpoint.chat(a.url, a.model_name, seconds=a.seconds, tokens=a.tokens)
     if a.command == "extract":
         found = runtime.written(chunkers.chunked(files.scanned(spark, a.base, files.repositories(spark))), "chunks")
         jsonl.write(found, a.out)
         report = reports.chunks_by_repo(chunkers.summary(found))
+    elif a.command == "synthesise":
+        report = synthesised(spark, a.chunks, a.samples, a.failures, provider, a.threads, a.tries)
     elif a.command == "clean":
         good, _ = jsonl.read_tolerant(spark, a.samples, schemas.SAMPLE)
         rows = good.withColumns({"question": first_turn("conversations", "human"), "answer": first_turn("conversations", "gpt"), "seq": F.monotonically_increasing_id()})
         rows = runtime.written(rows, "samples")
         kept, drops = clean.steps(rows)
+        kept = runtime.written(kept, "kept")
         jsonl.write(kept.select("conversations", "source_chunk_id", "repo", "style"), a.out)
         report = reports.cleaning(rows.count(), kept, drops)
     elif a.command == "evaluate":
         equal = {"category": a.category} if a.category else {}
         problems = jsonl.read_strict(spark, a.problems, schemas.PROBLEM, **equal)
-        asked = evaluate.asked(problems, provider, "Answer the task.")
+        asked = evaluate.asked(problems, provider, SYSTEM)
         results = runtime.written(evaluate.checked(asked, evaluate.compilers(a.templates)), "results")
         jsonl.run_document(results, a.tag, a.model_name).coalesce(1).write.mode("overwrite").json(f"{a.out}/{a.tag}_results.json")
         report = reports.evaluation(results, a.tag, a.model_name)

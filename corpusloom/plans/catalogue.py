@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom import runtime
 from corpusloom.functions import signals, text
 from corpusloom.operators import chunkers, dedup, evaluate, generate, prompts, quality
-from corpusloom.plans import clean
+from corpusloom.plans import clean, reports, source_catalogue
 from corpusloom.runtime import table
 from corpusloom.sources import files
 
@@ -179,7 +179,7 @@ def generate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strip_think_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wrapped = F.concat(F.lit("<think>a\nb</think> ```py\n"), F.left("text", F.lit(300)), F.lit("\n```"))
+    wrapped = F.concat(F.lit("<think>a\nb</think> ```py\n"), F.col("text"), F.lit("\n```"))
     return table(spark, sf_dir, "documents").select("doc_id", text.without_fences(text.without_thoughts(wrapped)).alias("answer"))
 
 
@@ -194,45 +194,23 @@ def paragraph_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "part", F.length("body").alias("n_chars"), F.md5("body").alias("body_md5"))
 
 
-def _files(rows: DataFrame) -> DataFrame:
-    return rows.select("repo", "path", F.concat(F.lit("t/"), "path").alias("file"), "suffix", "text", F.array("suffix").alias("langs"), F.lit(True).alias("include_md"))
-
-
-def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = F.concat(F.lit("bpf preamble\n# Part A\n"), F.regexp_replace("text", "[#`]", ""), F.lit("\n```C\nint main(void) { return 0; } // code\n```\n## Part B\n"), F.lit("short"))
-    rows = table(spark, sf_dir, "documents").select(F.lit("r").alias("repo"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("md").alias("suffix"), doc.alias("text"))
-    found = chunkers.chunked(_files(rows)).where("title = 'Part A'")
-    return found.select("id", "file", "kind", F.size("code").alias("n_code"), F.element_at("code", 1).alias("code"))
-
-
-_CODE = {
-    "rs": ("use aya::x;\n/// Adds.\nfn add(a: u32) -> u32 { if a > 1 { a } else { 2 } }\n", "rust", "doc_code", "add", "Adds.", "fn add(a: u32) -> u32 {\n{ if a > 1 { a } else { 2 } }"),
-    "c": ("#include <vmlinux.h>\nint run(void *ctx) { bpf_printk(1); return 0; }\n", "c", "raw_code", "run", "", "int run(void *ctx) {\n{ bpf_printk(1); return 0; }"),
-    "go": ('import "github.com/cilium/ebpf"\n// Runs it.\nfunc Run(n int) error { return nil }\n', "go", "doc_code", "Run", "Runs it.", "func Run(n int) error {\n{ return nil }"),
-    "py": ("from bcc import BPF\nb = BPF(text='x')\n", "python", "raw_code", "f", "", "from bcc import BPF\nb = BPF(text='x')\n"),
-}
-
-
-def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("r", f"f.{s}", s, v[0]) for s, v in _CODE.items()], "repo string, path string, suffix string, text string")
-    return chunkers.chunked(_files(rows)).select("lang", "kind", "title", "body", F.element_at("code", 1).alias("code"))
-
-
 def chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.summary(_chunks(spark, sf_dir))
 
 
-def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = runtime.scratch_path(spark, "jsonl")
-    table(spark, sf_dir, "conversations").write.json(path)
-    return spark.read.schema("conv_id long, turn long, role string, text string").json(path)
+def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pairs(spark, sf_dir)
+    kept, drops = clean.steps(rows, TOPIC)
+    report = reports.cleaning(rows.count(), kept, drops, ("source", "lang"))
+    return spark.createDataFrame([(i, x.rstrip()) for i, x in enumerate(report.split("\n"))], "line_no int, line string")
 
 
 _NOT_QUERIES = {"table", "queries", "oracle_sql"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if getattr(v, "__module__", "") == __name__ and re.match("[a-z]", k) and k not in _NOT_QUERIES}
+    own = {k: v for k, v in globals().items() if getattr(v, "__module__", "") == __name__ and re.match("[a-z]", k) and k not in _NOT_QUERIES}
+    return own | source_catalogue.queries()
 
 
 _WORDS = "len(list_filter(string_split_regex({}, '\\s+'), lambda x: x <> ''))"
@@ -299,7 +277,6 @@ def oracle_sql() -> dict[str, str]:
     skip = "[" + ", ".join(f"'{x}'" for x in signals.SKIP_DIRS) + "]"
     names = "[" + ", ".join(f"'{x}'" for x in signals.SKIP_MD_NAMES) + "]"
     paths = "paths AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || '/' || ['vendor/a.c', 'src/README.md', 'src/Code-of-Conduct.md', 'src/vendor.c', 'docs/guide.md'][page_id % 5 + 1] AS path FROM pages)"
-    code = ", ".join("(" + ", ".join("'" + e(x) + "'" for x in v[1:]) + ")" for v in _CODE.values())
     return {
         "quality_reasons": f"WITH {_PAIRS_SQL} SELECT seq, {_reason_sql(topic)} AS reason FROM pairs",
         "quality_counts": f"WITH {_PAIRS_SQL} SELECT {_reason_sql(TOPIC_SQL)} AS reason, count(*) AS n FROM pairs GROUP BY 1",
@@ -329,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
         "framework_lookup": f"WITH {chunks} SELECT id, {name} AS framework FROM chunks",
         "prompt_expand": f"WITH {chunks}, {made} SELECT id, prompt_no, style, temperature, message FROM asked",
         "generate_samples": f"WITH {chunks}, {made} SELECT id AS source_chunk_id, style, regexp_replace('Asked at ' || temperature || ': ' || message, '^\\s+|\\s+$', '', 'g') AS answer FROM asked",
-        "strip_think_fences": "SELECT doc_id, regexp_replace(left(text, 300), '^\\s+|\\s+$', '', 'g') AS answer FROM documents",
+        "strip_think_fences": "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS answer FROM documents",
         "path_filter": f"""WITH {paths} SELECT page_id, list_has_any(string_split(path, '/'), {skip}) OR (lower(path) LIKE '%.md' AND list_contains({names}, replace(lower(regexp_extract(path, '([^/]+)\\.[^./]+$', 1)), '-', '_'))) AS skipped,
     regexp_extract(path, '[^/]\\.([^./]+)$', 1) AS suffix FROM paths""",
         "paragraph_pack": """WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents),
@@ -337,8 +314,13 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT s.doc_id, s.i + 1, CASE WHEN s.size + length(d.p[s.i + 1]) > 4000 THEN s.part + 1 ELSE s.part END, CASE WHEN s.size + length(d.p[s.i + 1]) > 4000 THEN length(d.p[s.i + 1]) ELSE s.size + length(d.p[s.i + 1]) END FROM s JOIN d USING (doc_id) WHERE s.i < len(d.p)),
     b AS (SELECT s.doc_id, s.part, string_agg(d.p[s.i], chr(10) ORDER BY s.i) AS body FROM s JOIN d USING (doc_id) GROUP BY s.doc_id, s.part UNION ALL SELECT doc_id, 0, text FROM d WHERE length(text) <= 4000)
     SELECT doc_id, CAST(part AS INT) AS part, CAST(length(body) AS INT) AS n_chars, md5(body) AS body_md5 FROM b""",
-        "markdown_sections": "SELECT substr(sha1('r:d' || doc_id || '.md:Part A_0'), 1, 12) AS id, 't/d' || doc_id || '.md' AS file, 'tutorial_section' AS kind, 1::INT AS n_code, 'int main(void) { return 0; } // code' AS code FROM documents",
-        "code_chunks": f"SELECT * FROM (VALUES {code}) AS v(lang, kind, title, body, code)",
         "chunk_summary": f"WITH {chunks} SELECT repo, kind, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY repo) AS BIGINT) AS repo_total FROM chunks GROUP BY repo, kind",
-        "jsonl_roundtrip": "SELECT conv_id, turn, role, text FROM conversations",
-    }
+        "cleaning_report": f"""{clean_sql}, kept AS (SELECT * FROM single WHERE seq NOT IN (SELECT j FROM gone)), n AS (SELECT (SELECT count(*) FROM kept) AS k, (SELECT count(*) FROM pairs) AS a),
+    reasons AS (SELECT reason, count(*) AS n FROM (SELECT 'quality:' || reason AS reason FROM checked WHERE reason <> '' UNION ALL SELECT 'exact:' || dup_reason FROM marked WHERE dup_reason <> '' UNION ALL SELECT 'neardup:similar_question' FROM gone) GROUP BY 1),
+    lines AS (SELECT 0 AS p, 0 AS r, [format('FINAL DATASET: {{:,}} samples', k), format('Removed      : {{:,}} ({{}}%)', a - k, printf('%.1f', 100 * (a - k) / a)), '', 'Drop reasons:'] AS l FROM n
+      UNION ALL SELECT 1, row_number() OVER (ORDER BY n DESC, reason), [format('  {{:<35}} {{:>6}}', reason, n)] FROM reasons
+      UNION ALL SELECT 2, 0, ['', 'Final samples by source:'] UNION ALL SELECT 4, 0, ['', 'Final samples by lang:']
+      UNION ALL SELECT 3, row_number() OVER (ORDER BY count(*) DESC, v), [format('  {{:<30}} {{:>6}}  ({{}}%)', v, count(*), printf('%.1f', 100.0::double * count(*) / (SELECT k FROM n)))] FROM (SELECT coalesce(source, 'unknown') AS v FROM kept) GROUP BY v
+      UNION ALL SELECT 5, row_number() OVER (ORDER BY count(*) DESC, v), [format('  {{:<30}} {{:>6}}  ({{}}%)', v, count(*), printf('%.1f', 100.0::double * count(*) / (SELECT k FROM n)))] FROM (SELECT coalesce(lang, 'unknown') AS v FROM kept) GROUP BY v),
+    flat AS (SELECT p, r, generate_subscripts(l, 1) AS c, unnest(l) AS line FROM lines) SELECT CAST(row_number() OVER (ORDER BY p, r, c) - 1 AS INT) AS line_no, regexp_replace(line, '\\s+$', '') AS line FROM flat""",
+    } | source_catalogue.oracle_sql()
