@@ -2,10 +2,14 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes; sets of two words or fewer are one shingle), a
    128-bit fingerprint of the set, and the keys of its signature's bands. 2. Texts with equal sets form a class and go
-   on as one representative, the smallest id. 3. Representatives that share a band key hang on the key's smallest one;
-   the components of these candidate links are the clusters in which links can lie (a miss of all bands at the
-   threshold has a chance of MISS or less). 4. Inside each cluster links are confirmed on the full sets, and each task
-   hands on a spanning forest, not pairs. A cluster of over CLUSTER texts is dealt in blocks: all meet a block of
+   on as one representative, the smallest id. 3. Representatives
+   that share a band key hang on the key's smallest one; the components of these candidate links are the clusters in
+   which links can lie (a miss of all bands at the threshold has a chance of MISS or less). 4. Inside each cluster
+   links are confirmed on the full sets, and each task hands on a spanning forest, not pairs. A cluster that is too
+   large for a task need not hold a link at all, as candidates chain (texts with much boilerplate in common). It is
+   parted by prefixes: two sets that are similar enough share one of the 1 - t rarest parts of their shingles, which
+   boilerplate is not. Texts that share a rare prefix shingle are confirmed pair by pair; those that share one with
+   over GROUP others form a cluster of their own, which, if still too large, is dealt in blocks: all meet a block of
    pivots, and only texts that this leaves outside the cluster's largest component meet all blocks, so that a group
    of near copies costs in proportion to its size. 5. The components of the confirmed links give the classes.
 
@@ -31,6 +35,10 @@ from corpusloom.llm.components import components, forest
 ROWS, MISS = 4, 1e-8
 #: Texts of a cluster that are compared with each other in one task.
 CLUSTER = 512
+#: Bytes of their sets (6 for each shingle); a larger set is compared alone with each block.
+CLUSTER_BYTES = 48_000_000
+#: Texts that share a prefix shingle and are confirmed pair by pair; counts that order shingles by how rare they are.
+GROUP, COUNTS = 64, 1 << 20
 #: Ids of candidate texts that may be broadcast (16 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -200,7 +208,7 @@ def grouped(documents: DataFrame, k: int = 5, percent: int = 80, ident: str = "d
     texts = documents.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
     every = runtime.written(_described(texts, k, bands), "signatures")
     real = every.where("n_shingles > 0 and doc_id is not null")
-    classes = runtime.written(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = runtime.written(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n")), "classes")
 
     keys = classes.select("rep", F.explode("bands").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
@@ -213,33 +221,115 @@ def grouped(documents: DataFrame, k: int = 5, percent: int = 80, ident: str = "d
         members = F.broadcast(members)
     own = runtime.written(_sets(texts.join(members, "doc_id"), k), "sets")
 
-    sizes = own.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > CLUSTER)
-    large = runtime.written(sizes.withColumn("blocks", F.ceil(F.col("n") / CLUSTER).cast("int")), "large")
-    small = own.join(large, "cluster", "left_anti").select(F.col("cluster").alias("key"), F.lit(0).alias("side"), "doc_id", "words")
-    links = _confirmed(small, percent, parts)
-    if large.count():
-        blocked = own.join(large, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-        pivots = blocked.where("block = 0").select("*", every_block).select(F.xxhash64("cluster", "with").alias("key"), F.lit(0).alias("side"), "doc_id", "words")
-        others = blocked.where("block > 0").select(F.xxhash64("cluster", "block").alias("key"), F.lit(1).alias("side"), "doc_id", "words")
-        first = runtime.written(_confirmed(pivots.unionByName(others), percent, parts), "first-links")
-        named = _labelled(blocked, components(first))
-        shares = named.groupBy("cluster", "label").agg(F.count("*").alias("c"))
-        main = shares.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
-        split = runtime.written(named.join(main, "cluster").withColumn("out", F.col("label") != F.col("main")).drop("label", "main"), "split")
-        left = split.where("out")
-        rest = left.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("sides"))
-        left = left.join(rest, "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("sides")).cast("int"))
-        asked = left.select("*", every_block).select(F.xxhash64("cluster", "part", "with").alias("key"), F.lit(0).alias("side"), "doc_id", "words")
-        against = split.join(rest, "cluster").select("*", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("part")).select(F.xxhash64("cluster", "part", "block").alias("key"), F.lit(1).alias("side"), "doc_id", "words")
-        links = links.unionByName(first).unionByName(_confirmed(asked.unionByName(against), percent, parts))
-    roots = components(links)
-
-    named = classes.select("f1", "f2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("component"))
-    whole = every.join(named, ["f1", "f2"], "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
-    return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    large = _too_large(own)
+    small = own.join(large, "cluster", "left_anti")
+    links = None
+    if large.limit(1).count():
+        parted, links = _parted(own.join(large.select("cluster"), "cluster", "left_semi"), percent)
+        large = _too_large(parted)
+        small = small.unionByName(parted.join(large, "cluster", "left_anti"))
+        if large.limit(1).count():
+            links = links.unionByName(_in_blocks(parted.join(large, "cluster"), percent, parts))
+    found = _confirmed(small.select(F.col("cluster").alias("key"), F.lit(0).alias("side"), "doc_id", "words"), percent, parts)
+    roots = components(found if links is None else links.unionByName(found))
+
+    named = classes.select("f1", "f2", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    named = runtime.written(named.select("f1", "f2", "n", F.coalesce("root", "rep").alias("component")), "class-components")
+    whole = runtime.spread_join(real, named, ["f1", "f2"])
+    whole = whole.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    alone = every.where("not (n_shingles > 0 and doc_id is not null)")
+    return whole.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def _too_large(own: DataFrame) -> DataFrame:
+    """cluster, blocks of the clusters with over CLUSTER texts or CLUSTER_BYTES bytes."""
+    sizes = own.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("words")).alias("b"))
+    blocks = F.greatest(F.ceil(F.col("n") / CLUSTER), F.ceil(F.col("b") / CLUSTER_BYTES)).cast("int")
+    return runtime.written(sizes.select("cluster", blocks.alias("blocks")).where("blocks > 1"), "large")
+
+
+def _rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (48 bits) of a column of packed sets, and n + 1 offsets."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    out = np.zeros(((at[-1] - at[0]) // 6, 8), np.uint8)
+    if len(out):
+        out[:, :6] = np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, 6)
+    return out.reshape(-1).view("<u8"), (at - at[0]) // 6
+
+
+def _parted(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cluster, words of the texts with frequent prefix shingles, in new clusters; confirmed links u, v of all others)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTS, np.int64)
+        for b in batches:
+            total += np.bincount((_rows_of(b.column(0))[0] % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["place", "n"])
+
+    counted = own.select("words").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows at most
+    often = np.zeros(COUNTS, np.int64)
+    often[counted.column("place").to_numpy()] = counted.column("n").to_numpy()
+    shared = own.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = shared.value
+        for b in batches:
+            value, at = _rows_of(b.column(2))
+            size = np.diff(at)
+            row = np.repeat(np.arange(len(b)), size)
+            order = np.lexsort((value, n[(value % np.uint64(COUNTS)).astype(np.int64)], row))
+            keep = np.arange(len(value)) - at[row] < (size + (-percent * size) // 100 + 1)[row]
+            value, row = value[order][keep], row[keep]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(value.view(np.int64)), pa.array(size[row])], ["doc_id", "cluster", "word", "size"])
+
+    rows = runtime.written(own.select("doc_id", "cluster", "words").mapInArrow(prefixes, "doc_id long, cluster long, word long, size long"), "prefixes")
+    groups = rows.groupBy("cluster", "word").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
+    groups = runtime.written(groups, "prefix-groups")
+    few = rows.join(groups.where(F.col("n") <= GROUP).select("cluster", "word"), ["cluster", "word"])
+    one, two = (few.select("cluster", "word", F.col("doc_id").alias(x), F.col("size").alias(f"n_{x}")) for x in "uv")
+    alike = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
+    pairs = runtime.written(one.join(two, ["cluster", "word"]).where(F.col("u") < F.col("v")).where(alike).select("u", "v").distinct(), "pairs")
+    for x in "uv":
+        pairs = pairs.join(own.select(F.col("doc_id").alias(x), F.col("words").alias(f"words_{x}")), x)
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = np.zeros(len(b), bool)
+            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
+                x, y = _unpacked(x.as_py()), _unpacked(y.as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            u, v = forest(b.column(0).to_numpy()[good], b.column(1).to_numpy()[good])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    links = runtime.written(pairs.select("u", "v", "words_u", "words_v").mapInArrow(confirm, "u long, v long"), "pair-links")
+    many = rows.join(groups.where(F.col("n") > GROUP), ["cluster", "word"]).select("doc_id", "leader").distinct()
+    near = components(many)
+    members = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    parted = own.drop("cluster").join(members.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), "doc_id")
+    return runtime.written(parted.select("doc_id", "cluster", "words"), "parted"), links
+
+
+def _in_blocks(own: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Spanning forests of the links in clusters that are dealt in blocks (column blocks)."""
+    blocked = own.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
+    pivots = blocked.where("block = 0").select("*", every_block).select(F.xxhash64("cluster", "with").alias("key"), F.lit(0).alias("side"), "doc_id", "words")
+    others = blocked.where("block > 0").select(F.xxhash64("cluster", "block").alias("key"), F.lit(1).alias("side"), "doc_id", "words")
+    first = runtime.written(_confirmed(pivots.unionByName(others), percent, parts), "first-links")
+    named = _labelled(blocked, components(first))
+    shares = named.groupBy("cluster", "label").agg(F.count("*").alias("c"))
+    main = shares.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
+    split = runtime.written(named.join(main, "cluster").withColumn("out", F.col("label") != F.col("main")).drop("label", "main"), "split")
+    left = split.where("out")
+    rest = left.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER), F.ceil(F.sum(F.length("words")) / CLUSTER_BYTES)).cast("int").alias("sides"))
+    left = left.join(rest, "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("sides")).cast("int"))
+    asked = left.select("*", every_block).select(F.xxhash64("cluster", "part", "with").alias("key"), F.lit(0).alias("side"), "doc_id", "words")
+    against = split.join(rest, "cluster").select("*", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("part")).select(F.xxhash64("cluster", "part", "block").alias("key"), F.lit(1).alias("side"), "doc_id", "words")
+    return first.unionByName(_confirmed(asked.unionByName(against), percent, parts))
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
