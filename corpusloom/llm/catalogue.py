@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom import runtime
 from corpusloom.runtime import table
 
 #: File of the public vocabulary; a parameter, as the package holds none.
@@ -83,8 +83,41 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def toxicity_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op1's rows: ids, folds, ranges, and that predictions follow scores."""
+    got = op1_toxicity(spark, sf_dir)
+    return got.select("doc_id", "held_out", F.col("score").between(0, 1).alias("in_range"), (F.col("predicted") == (F.col("score") >= 0.5).cast("int")).alias("follows"))
+
+
+def packing_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's invariants by document: all tokens packed in as many pieces as needed, in bins that fit and hold a source once."""
+    from corpusloom.llm import packing
+
+    rows = runtime.written(op4_best_fit(spark, sf_dir), "packed")
+    ends = F.max(F.col("bin_start") + F.col("n_tokens"))
+    bins = rows.groupBy("bin_id").agg(((F.sum("n_tokens") == ends) & (ends <= packing.CAPACITY)).alias("fits"), (F.count("source") == F.count_distinct("source")).alias("apart"))
+    both = rows.join(bins, "bin_id").groupBy("doc_id")
+    return both.agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"), F.bool_and("fits").alias("fits"), F.bool_and("apart").alias("apart"))
+
+
+def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that do not hang on the model's order; the base score to three digits, as sums of logarithms differ in the last ones."""
+    got = op6_kneser_ney(spark, sf_dir)
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def langid_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op8's rows: ids, folds, ranges, texts without letters, and that languages are learned ones."""
+    known = table(spark, sf_dir, "documents").select("lang").where("lang is not null").distinct()
+    got = op8_langid(spark, sf_dir).join(F.broadcast(known.limit(1000).select(F.col("lang").alias("lang_pred"), F.lit(True).alias("known"))), "lang_pred", "left")
+    return got.select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("und"), F.coalesce("known", F.lit(False)).alias("known"), F.col("score").between(0, 1).alias("in_range"))
+
+
+_NOT_QUERIES = {"queries", "oracle_sql", "table"}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if callable(v) and (re.match(r"op\d+_", k) or k == "pipeline")}
+    return {k: v for k, v in globals().items() if getattr(v, "__module__", "") == __name__ and k[0].islower() and k not in _NOT_QUERIES}
 
 
 OP5_SQL = """
@@ -100,5 +133,40 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_WORDS_CTE = f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents)"
+#: Remainders of a byte, and the checksum of each id as text.
+_CRC = """steps AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+crc AS (SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, steps)"""
+
+OP9_SQL = f"""
+WITH RECURSIVE {_WORDS_CTE},
+g AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id WHERE r.root < e.v),
+m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, doc_id = root AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+NGRAM_SQL = f"""
+WITH {_WORDS_CTE}, {_CRC},
+t AS (SELECT doc_id, crc % 7 = 2 AS held_out, unnest(list_append(w, ' ')) AS x FROM w JOIN crc USING (doc_id)),
+c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x), s AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c, 0) + 1)::DOUBLE / (n + v + 1))), 3) AS base_score
+FROM t LEFT JOIN c USING (x), s GROUP BY doc_id, held_out, n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL}
+    return {
+        "op5_topk": OP5_SQL,
+        "op9_superminhash": OP9_SQL,
+        "ngram_counts": NGRAM_SQL,
+        "toxicity_folds": f"WITH {_CRC} SELECT doc_id, crc % 5 = 0 AS held_out, true AS in_range, true AS follows FROM crc",
+        "langid_folds": f"WITH {_CRC} SELECT doc_id, crc % 4 = 2 AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS und, regexp_matches(coalesce(text, ''), '\\p{{L}}') AS known, true AS in_range FROM crc JOIN documents USING (doc_id)",
+        "packing_bins": f"WITH {_WORDS_CTE}, n AS (SELECT doc_id, len(w) + 1 AS n FROM w) SELECT doc_id, n::BIGINT AS n_tokens, CAST((n + 2047) // 2048 AS BIGINT) AS n_pieces, true AS fits, true AS apart FROM n",
+    }

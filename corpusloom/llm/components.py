@@ -48,7 +48,7 @@ def components(links: DataFrame) -> DataFrame:
     a, b = links.columns
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(_local, "u long, v long")
     edges, seen = runtime.written(edges.distinct(), "links"), None
-    while True:
+    while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -57,5 +57,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = runtime.written(small.where("u <> v").distinct(), "links")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         seen = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

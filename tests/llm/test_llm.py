@@ -399,13 +399,15 @@ def test_tree_matching():
     assert wrappers.match(["a", []], ["b", []]) == {}
 
 
-def test_topk_oracle(spark):
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+def test_oracles(spark, name):
     con = duckdb.connect()
     for p in Path(DATA).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
-    want = con.execute(catalogue.oracle_sql()["op5_topk"]).fetchall()
-    got = catalogue.op5_topk(spark, DATA).select("query_id", "rank", "vec_id", "score").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    theirs, ours = con.execute(catalogue.oracle_sql()[name]).fetchdf(), catalogue.queries()[name](spark, DATA).toPandas()
+    columns = sorted(theirs.columns)
+    a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (ours, theirs))
+    assert sorted(ours.columns) == columns and a.equals(b)
 
 
 def test_pipeline_stages(spark):
