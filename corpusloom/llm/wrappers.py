@@ -7,7 +7,8 @@ distinct skeleton) and stands with the seed of which it matches most. A block th
 same node on most of a seed's distinct pages is template, inside a marked article as well as outside; what varies is
 content. Pages are distinct by the text of their blocks, so copies of one page count once. Elements that HTML marks as
 no article (nav, footer, forms, ...) are left out before, and so are those that their names call adverts, notices,
-sidebars and the like, unless an article or most of the page's text lies in them (reader comments always go). A seed
+sidebars and the like, unless an article lies in them, or, on a page without a marked one, most of its text (reader
+comments always go). A seed
 with fewer than PAGES distinct pages has no template. Children are matched within BAND places of the diagonal, so that
 no page costs the square of its size.
 
@@ -157,8 +158,9 @@ class Page:
         for n in range(count - 1, 0, -1):
             size[self.parents[n]] += size[n]
             holds[self.parents[n]] |= holds[n]
+        marked = any(m and size[n] and not out[n] for n, m in enumerate(self.main))
         for n in range(1, count):
-            out[n] = out[n] or out[self.parents[n]] or self.named[n] and not holds[n] and 2 * size[n] <= size[0]
+            out[n] = out[n] or out[self.parents[n]] or self.named[n] and not holds[n] and (marked or 2 * size[n] <= size[0])
         heading = [re.match(r"h[1-6](?:\.|$)", x) is not None for x in self.labels]
         return [not out[n] and not (head[n] and not (heading[n] and main[n])) for n, _ in blocks]
 
