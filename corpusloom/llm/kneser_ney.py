@@ -31,6 +31,8 @@ from corpusloom.llm.arrays import Words, chunks, mix, remainder, sums
 
 #: Tokens that a task counts at a time.
 FLUSH = 3_000_000
+#: Bytes of text behind each file of words and of pairs.
+BUCKET_BYTES = 32_000_000
 _ROW = "bucket int, kind int, payload binary"
 COUNTS, CONTEXTS, CONTINUED, TOTALS = range(4)
 
@@ -111,10 +113,11 @@ def _save(folder: str, name: str, *parts: np.ndarray) -> None:
     os.replace(own, to)
 
 
-def _map(folder: str, name: str, kinds: list[str]) -> list[np.ndarray] | None:
+def _map(folder: str, name: str, kinds: list[str]) -> list[np.ndarray]:
+    """The arrays of a file that was written; one that is not there is an error, as its counts are not 0."""
     path = os.path.join(folder, name)
     if not os.path.exists(path):
-        return None
+        raise FileNotFoundError(f"{path}: spark.checkpoint.dir must be mounted on all machines")
     whole = np.memmap(path, np.uint8, "r")
     out, at = [], 64
     for n, kind in zip(whole[:64].view("<u8"), kinds):
@@ -137,16 +140,18 @@ class Model:
     pair_discounts: np.ndarray  # of counts 0, 1, 2 and 3 or more
     word_discounts: np.ndarray
     continuations: int
+    written: dict[str, frozenset[int]]  # buckets that have a file, by kind: words, pairs
     word_mass: float  # share of the lower order that the uniform distribution gets
 
     def _words(self, ids: np.ndarray, files: dict) -> list[np.ndarray]:
         """Of sorted distinct ids: count, continuations, pairs with count 1, 2, 3 or more after it."""
         out = [np.zeros(len(ids)) for _ in range(5)]
         for b, i, j in _cut(_range(ids, self.buckets)):
+            if b not in self.written["words"]:
+                continue
             if ("w", b) not in files:
                 files["w", b] = _map(self.folder, f"words-{b:06d}", WORDS)
-            if (f := files["w", b]) is None:
-                continue
+            f = files["w", b]
             at = np.minimum(np.searchsorted(f[0], ids[i:j]), len(f[0]) - 1)
             hit = f[0][at] == ids[i:j]
             for o, column in zip(out, f[1:]):
@@ -160,11 +165,11 @@ class Model:
         bucket = np.where(hot, _range(h, self.buckets, 64), _range(v, self.buckets))
         order = np.lexsort((h, bucket))
         for b, i, j in _cut(bucket[order]):
+            if b not in self.written["pairs"]:
+                continue
             if ("p", b) not in files:
                 files["p", b] = _map(self.folder, f"pairs-{b:06d}", PAIRS)
-            if (f := files["p", b]) is None or not len(f[0]):
-                continue
-            high, low, count, where, large = f
+            high, low, count, where, large = files["p", b]
             q = h[order[i:j]]
             q_high, q_low = (q >> np.uint64(32)).astype(np.uint32), ((q >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)
             at = np.searchsorted(high, q_high)
@@ -230,9 +235,9 @@ def _flushed(column_of, emit) -> object:
 
 
 def train(texts: DataFrame, text: str = "text", buckets: int | None = None) -> Model:
-    """Count all texts; buckets: files of each kind, the shuffle partitions by default, to be set so that a bucket's pairs fit a task."""
+    """Count all texts; buckets: files of each kind, one for each BUCKET_BYTES of text by default, so that a bucket fits a task at any size."""
     spark = texts.sparkSession
-    nb = buckets or max(4, runtime.shuffle_partitions(spark))
+    nb = buckets or max(4, -(-(texts.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BUCKET_BYTES))
     shared = runtime.scratch_path(spark, "kneser-ney")
     folder = runtime.local_path(shared)
     os.makedirs(folder)
@@ -311,15 +316,17 @@ def train(texts: DataFrame, text: str = "text", buckets: int | None = None) -> M
             i, c, cont, n1, n2, n3 = _summed(np.concatenate(ids), *np.concatenate(values, 1))
             _save(folder, f"words-{t.column('bucket')[0].as_py():06d}", i.astype("<u8"), c.astype("<u8"), *(x.astype("<u4") for x in (cont, n1, n2, n3)))
         by = [int((cont == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table({"pairs": pa.array([of.tolist()], pa.list_(pa.int64())), "words": pa.array([[*by, int((cont >= 3).sum()), int(cont.sum())]], pa.list_(pa.int64()))})
+        kinds = t.column("kind").to_pylist()
+        return pa.table({"bucket": t.column("bucket").slice(0, 1).cast(pa.int32()), "has_words": pa.array([bool(ids)]), "has_pairs": pa.array([TOTALS in kinds]), "pairs": pa.array([of.tolist()], pa.list_(pa.int64())), "words": pa.array([[*by, int((cont >= 3).sum()), int(cont.sum())]], pa.list_(pa.int64()))})
 
     kept = source.mapInArrow(_flushed("pairs", pairs), _ROW).groupBy("bucket").applyInArrow(shard, _ROW)
-    ends = kept.unionByName(counted.select("bucket", "kind", "payload")).groupBy("bucket").applyInArrow(finish, "pairs array<long>, words array<long>").collect()
+    ends = kept.unionByName(counted.select("bucket", "kind", "payload")).groupBy("bucket").applyInArrow(finish, "bucket int, has_words boolean, has_pairs boolean, pairs array<long>, words array<long>").collect()
     of_pairs = np.array([r["pairs"] for r in ends] or [[0] * 4]).sum(0).tolist()
     of_words = np.array([r["words"] for r in ends] or [[0] * 6]).sum(0).tolist()
     word_discounts, continuations = _discounts(of_words[:4]), of_words[5]
     mass = (word_discounts[1] * of_words[0] + word_discounts[2] * of_words[1] + word_discounts[3] * of_words[4]) / max(continuations, 1)
-    return Model(folder, nb, hot, tokens, types, _discounts(of_pairs), word_discounts, continuations, float(mass))
+    files = {k: frozenset(r["bucket"] for r in ends if r[f"has_{k}"]) for k in ("words", "pairs")}
+    return Model(folder, nb, hot, tokens, types, _discounts(of_pairs), word_discounts, continuations, files, float(mass))
 
 
 def scored(documents: DataFrame, model: Model, ident: str = "doc_id", text: str = "text", fold: int = 7, held: int = 2) -> DataFrame:
