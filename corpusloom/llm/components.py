@@ -1,4 +1,4 @@
-"""Connected components of a link table by alternating large and small stars, all as joins and partial aggregates."""
+"""Connected components of a link table by alternating large and small stars, all as windows over a node's links."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom import runtime
 
 
+#: Links (16 bytes each) that one task reduces at once; more are reduced in rounds over all tasks, with the same result.
+LOCAL_LINKS = 1_000_000
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) of the links a-b, but for the roots: union-find."""
     nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -38,25 +42,33 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        u, v = forest(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that is not its component's smallest; links: two long columns.
 
-    Links of a task are first reduced to a forest. Then large stars (every larger neighbour hangs on the smallest
-    known node) and small stars (every smaller neighbour does) alternate until the links stay the same, which takes a
-    number of rounds in the order of log(n); each round ends in a table in the shared folder.
+    Links of a task are first reduced to a forest. If no more than LOCAL_LINKS are left, one task reduces them. Else
+    large stars (every larger neighbour hangs on the smallest known node) and small stars (every smaller neighbour
+    does) alternate until the links stay the same, which takes a number of rounds in the order of log(n); each round
+    ends in a table in the shared folder.
     """
     a, b = links.columns
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(_local, "u long, v long")
-    edges, seen = runtime.written(edges.distinct(), "links"), None
-    while edges.limit(1).count():
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = runtime.written(small.where("u <> v").distinct(), "links")
+    edges, seen = runtime.written(edges, "links"), (0, None)
+    if edges.count() <= LOCAL_LINKS:
+        return edges.coalesce(1).mapInArrow(_whole, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    edges = edges.distinct()
+    least, of_u = F.min("v").over(Window.partitionBy("u")), F.struct("u", F.col("m").alias("v"))  # one shuffle by u, no join
+    while True:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
-            break
-        seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.withColumn("m", F.least("u", least)).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", least).select(F.explode(F.array(of_u, F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges, seen = runtime.written(small.where("u <> v").distinct(), "links"), now

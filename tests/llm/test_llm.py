@@ -111,7 +111,9 @@ def test_superminhash_estimates():
     assert (tiny[0] >> np.uint64(32)).max() < 64 and (tiny[1] == np.iinfo(np.uint64).max).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
     links = [(i, i + 1) for i in range(40) if i != 20] + [(100, 7), (50, 50)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 21)}, **{i: 21 for i in range(22, 41)}, 100: 0}
