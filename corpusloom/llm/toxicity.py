@@ -62,6 +62,10 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0, -z))
+
+
 def _integers(column: pa.Array) -> list[np.ndarray]:
     """The rows of a binary column as writable views of one array of 32-bit integers."""
     _, offsets, data = column.buffers()
@@ -128,7 +132,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", train_row
             sentence_at = np.concatenate([d[1][:-1] + w for d, w in zip(part, words)] + [words[-1:]])
             text_at = np.cumsum([0] + [len(d[1]) - 1 for d in part])
             z = _logits(weight, bias, bucket, sentence_at)
-            p = 1 / (1 + np.exp(-z))
+            p = _sigmoid(z)
             whole = -np.expm1(-sums(_softplus(z), text_at))
             pull = np.where(y == 1, 1 - 1 / np.maximum(whole, 1e-9), 1.0) * np.array([balance[v] for v in y]) / len(part)
             slope = p * np.repeat(pull, np.diff(text_at))
@@ -166,7 +170,7 @@ def score(df: DataFrame, weight: np.ndarray, bias: float, ident: str = "doc_id",
                     order = np.lexsort((-np.arange(len(z)), z, row))
                     top[row[order]] = order
                 has = top >= 0
-                worst.append(np.where(has, 1 / (1 + np.exp(-z[top])), 0.0) if len(z) else np.zeros(len(top)))
+                worst.append(np.where(has, _sigmoid(z[top]), 0.0) if len(z) else np.zeros(len(top)))
                 where.append(np.where(has, place[sentence_at[np.maximum(top, 0)], 0] - at[:-1], -1) if len(z) else np.full(len(top), -1))
             got = np.concatenate(whole) if whole else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(remainder(b.column(0), fold) == held), pa.array(np.clip(got, 0, 1)), pa.array((got >= 0.5).astype(np.int32)), *(pa.array((np.concatenate(x) if x else np.zeros(0)).astype(t)) for x, t in ((n, np.int32), (where, np.int64), (worst, np.float64)))], ["doc_id", "held_out", "score", "predicted", "n_sentences", "worst_start", "worst_score"])
@@ -184,7 +188,7 @@ def sentences(df: DataFrame, weight: np.ndarray, bias: float, least: float = 0.5
         for b in batches:
             for first, _, raw, at in chunks(b.column(1)):
                 bucket, sentence_at, text_at, place = features(raw, at)
-                p = 1 / (1 + np.exp(-_logits(w, b0, bucket, sentence_at)))
+                p = _sigmoid(_logits(w, b0, bucket, sentence_at))
                 own = np.flatnonzero(p >= least)
                 row = np.searchsorted(text_at, own, "right") - 1
                 start, end = place[sentence_at[own], 0], place[sentence_at[own + 1] - 1, 1]
