@@ -33,6 +33,8 @@ DEPTH, FIXED, AGREE = 3, 0.5, 0.5
 MIN_DOCS, MIN_WORDS = 3, 3
 #: Rounds of templates and splits in a leaf; characters that make a line of few words long enough.
 ROUNDS, LONG = 4, 40
+#: Bytes of lost lines' numbers that may be broadcast.
+MOST_BROADCAST = 32_000_000
 WILD = "<*>"
 
 
@@ -127,8 +129,9 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, min_words: int = M
 def deduplicated(documents: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """The documents with the lines of recurring templates taken out of their texts (and n_dropped, if counts).
 
-    A text's lost lines are one row, whatever the number of its copies. Texts of which there are many copies are
-    broadcast with their lines, so that no task gathers them (runtime.spread_join).
+    A text's lost lines are one row, whatever the number of its copies. All of them are broadcast if they have
+    MOST_BROADCAST bytes or less; else those of texts with many copies are, so that no task gathers these copies
+    (runtime.spread_join).
     """
     hashed, often = recurring(documents, min_docs, min_words)
     out = hashed.join(runtime.sized(often), ["line", "line2"]).where("t <> first or t2 <> first2")
@@ -138,7 +141,11 @@ def deduplicated(documents: DataFrame, min_docs: int = MIN_DOCS, min_words: int
     columns = [F.col(f"`{c}`") for c in documents.columns]
     keyed = documents.select(*columns, t.alias(own), t2.alias(own2))
     out = runtime.written(out.select(F.col("t").alias(own), F.col("t2").alias(own2), F.col("out").alias(drop), (F.col("lost") / F.size("out")).cast("long").alias(n)), "lost-lines")
-    joined = runtime.spread_join(keyed, out, [own, own2], "left", n)
+    size = out.agg(F.sum(48 + 4 * F.size(drop))).first()[0] or 0
+    if size <= MOST_BROADCAST:
+        joined = keyed.join(F.broadcast(out.drop(n)), [own, own2], "left")
+    else:
+        joined = runtime.spread_join(keyed, out, [own, own2], "left", n)
     # both arrays are bound once for a text, not looked up anew for each line
     kept = lambda ls, gone: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)), "\n")
     text = F.get(F.transform(F.array(F.split("text", "\n")), lambda ls: kept(ls, F.col(drop))), 0)

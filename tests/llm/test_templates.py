@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from corpusloom.llm import templates
 
 
@@ -14,7 +15,9 @@ def dropped(spark, texts, **options):
     return {r["doc_id"]: r["n_dropped"] for r in templates.deduplicated(documents(spark, texts), counts=True, **options).collect()}
 
 
-def test_families_of_one_leaf(spark):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_families_of_one_leaf(spark, monkeypatch, most):
+    monkeypatch.setattr(templates, "MOST_BROADCAST", most)
     draw = random.Random(1)
     word = lambda: "".join(draw.choices("abcdefgh", k=9))
     shapes = ["get the page {} from cache node {} in time", "get the page {} was sold out {} last week", "get the page {} never came back {} said they"]
