@@ -188,30 +188,41 @@ def test_language_model_is_brute_force(spark, edges, none):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
     texts = [(i, [*split(t), "<end>"]) for i, t in rows]
-    count, pairs = Counter(), Counter()
+    count, triples = Counter(), Counter()
     for i, t in texts:
         if not held(i):
             count.update(t)
-            pairs.update(zip(["<start>", *t[:-1]], t))
-    n, v, cont = sum(count.values()), len(count), Counter(w for _, w in pairs)
-    d1, d2 = (kneser_ney._discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for x in (pairs, cont))
+            triples.update(zip(["<start>", "<start>", *t[:-2]][: len(t)], ["<start>", *t[:-1]], t))
+    n, v, pairs = sum(count.values()), len(count), Counter(x[1:] for x in triples)
+    cont = Counter(w for _, w in pairs)
+    d1, d2, d3 = (kneser_ney._discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for x in (cont, pairs, triples))
     total, by = Counter(), {}
-    for (a, _), c in pairs.items():
-        total[a] += c
-        by.setdefault(a, Counter())[min(c, 3)] += 1
-    mass = sum(d2[min(c, 3)] for c in cont.values()) / len(pairs)
-
-    def p(a, w):
-        low = max(cont[w] - d2[min(cont[w], 3)], 0) / len(pairs) + mass / (v + 1)
-        c = pairs[a, w]
-        return low if not total[a] else (max(c - d1[min(c, 3)], 0) + sum(d1[k] * x for k, x in by[a].items()) * low) / total[a]
-
-    assert abs(sum(p("<start>", w) for w in count) + p("<start>", "?") - 1) < 1e-9
+    for x, c in [*pairs.items(), *triples.items()]:
+        total[x[:-1]] += c
+        by.setdefault(x[:-1], Counter())[min(c, 3)] += 1
+    mass = sum(d1[min(c, 3)] for c in cont.values()) / len(pairs)
+
+    def p(a, b, w):
+        out = max(cont[w] - d1[min(cont[w], 3)], 0) / len(pairs) + mass / (v + 1)
+        for context, c, d in (((b,), pairs[b, w], d2), ((a, b), triples[a, b, w], d3)):
+            if total[context]:
+                out = (max(c - d[min(c, 3)], 0) + sum(d[k] * x for k, x in by[context].items()) * out) / total[context]
+        return out
+
+    some = next(x for x in triples if x[0] != "<start>")
+    for a, b in (("<start>", "<start>"), some[:2], ("?", some[1])):
+        assert abs(sum(p(a, b, w) for w in count) + p(a, b, "?") - 1) < 1e-9
     want = Counter()
     for i, t in texts:
-        want[i, held(i), len(t), sum(count[w] > 0 for w in t), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), 6), round(sum(math.log10(p(a, w)) for a, w in zip(["<start>", *t[:-1]], t)), 6)] += 1
+        want[i, held(i), len(t), sum(count[w] > 0 for w in t), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), 6), round(sum(math.log10(p(a, b, w)) for a, b, w in zip(["<start>", "<start>", *t[:-2]][: len(t)], ["<start>", *t[:-1]], t)), 6)] += 1
     got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in kneser_ney.learned_and_scored(df).collect())
     assert got == want
+    scores = Counter()
+    for k, c in want.items():
+        scores[k[0], k[6]] += c
+    learned = df.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2)
+    one, many = (Counter((r["doc_id"], round(r["score"], 6)) for r in kneser_ney.scored(df, kneser_ney.train(learned, buckets=x)).collect()) for x in (1, 40))  # the more buckets, the more words are hot
+    assert one == many == scores
     assert kneser_ney.learned_and_scored(none).count() == 0
     empty = kneser_ney.scored(df, kneser_ney.train(none)).collect()
     assert all(r["score"] == r["base_score"] == 0 for r in empty)
