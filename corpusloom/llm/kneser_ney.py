@@ -3,7 +3,8 @@
 Tokens are the words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end for each text; two starts stand before
 it. A word's id is a 48-bit hash (a billion distinct words would hold about 2,000 clashing pairs).
 
-Counting. Every task turns FLUSH tokens at a time into distinct trigrams with counts, one binary row for each bucket.
+Counting. Every task turns FLUSH tokens at a time into distinct trigrams with counts, one binary row for each bucket,
+in which the OFTEN most frequent words have names of two bytes.
 A trigram (u, v, w) lies in the bucket of its middle word v, so that the followers of the context (u, v) and the words
 before the pair (v, w) are counted where it lies. Trigrams whose middle word has more than a quarter of a bucket's
 share of all tokens are dealt by their own hash instead; what each bucket knows of their contexts and pairs are sums,
@@ -38,6 +39,8 @@ from corpusloom.llm.arrays import Words, chunks, mix, remainder, sums
 
 #: Tokens that a task counts at a time.
 FLUSH = 2_000_000
+#: Frequent words that have short names (at most 65,535; they are broadcast).
+OFTEN = 65_535
 #: Bytes of text behind each bucket.
 BUCKET_BYTES = 16_000_000
 _ROW = "bucket int, kind int, payload binary"
@@ -70,6 +73,28 @@ def _load(data: bytes) -> list[np.ndarray]:
     return out
 
 
+class Names:
+    """Short names of frequent words: two bytes for each of the OFTEN most frequent ones; other words are listed behind."""
+
+    def __init__(self, by_rank: np.ndarray):
+        self.by_rank = by_rank
+        self.rank_of = np.argsort(by_rank)
+        self.ids = by_rank[self.rank_of]
+
+    def ranks(self, ids: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[at] == ids, self.rank_of[at], OFTEN).astype("<u2")
+
+    def short(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank = self.ranks(ids)
+        return rank, ids[rank == OFTEN]
+
+    def long(self, rank: np.ndarray, others: np.ndarray) -> np.ndarray:
+        out = self.by_rank[np.minimum(rank, len(self.by_rank) - 1)]
+        out[rank == OFTEN] = others
+        return out
+
+
 def _summed(ids: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct ids in order, and the sums of their values (1 each if none is given)."""
     order = np.argsort(ids)
@@ -118,6 +143,19 @@ def _dealt(kind: int, buckets: np.ndarray, *arrays: np.ndarray) -> list[tuple[in
     return [(b, kind, _dump(*(a[i:j] for a in arrays))) for b, i, j in _cut(buckets[order])]
 
 
+def _dealt_pairs(kind: int, names: Names, nb: int, hot: np.ndarray, other: np.ndarray, h: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """A row of word pairs, in the order of their hot words, and columns for each bucket of their hashes."""
+    buckets = _range(h, nb, 64)
+    order = np.lexsort((hot, buckets))
+    hot, other, columns = hot[order], other[order], [c[order] for c in columns]
+    return [(b, kind, _dump(*names.short(hot[i:j]), *names.short(other[i:j]), *(c[i:j] for c in columns))) for b, i, j in _cut(buckets[order])]
+
+
+def _loaded_pairs(names: Names, data: bytes) -> list[np.ndarray]:
+    a, a_others, b, b_others, *columns = _load(data)
+    return [names.long(a, a_others), names.long(b, b_others), *columns]
+
+
 def _save(folder: str, name: str, *parts: np.ndarray) -> None:
     """Arrays in one file that appears whole."""
     to = os.path.join(folder, name)
@@ -327,14 +365,15 @@ def train(texts: DataFrame, text: str = "text", buckets: int | None = None) -> M
     def merge(t: pa.Table) -> pa.Table:
         got = [_load(x.as_py()) for x in t.column("payload")]
         ids, n = _summed(*(np.concatenate(x) for x in zip(*got)))
-        top = np.argsort(-n.astype(np.int64), kind="stable")[:32]
+        top = np.argsort(-n.astype(np.int64), kind="stable")[: max(32, 2 * OFTEN // nb)]
         return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()], pa.int32()), "kind": pa.array([COUNTS], pa.int32()), "payload": pa.array([_dump(ids, n)], pa.binary()), "n": pa.array([int(n.sum())], pa.int64()), "v": pa.array([len(ids)], pa.int64()), "top": pa.array([ids[top].astype(np.int64).tolist()], pa.list_(pa.int64())), "top_n": pa.array([n[top].astype(np.int64).tolist()], pa.list_(pa.int64()))})
 
     counted = runtime.written(source.mapInArrow(_flushed(words, 1), _ROW).groupBy("bucket").applyInArrow(merge, f"{_ROW}, n long, v long, top array<long>, top_n array<long>"), "word-counts")
     told = counted.select("n", "v", "top", "top_n").collect()  # one row for each bucket
     tokens, types = sum(r["n"] for r in told), sum(r["v"] for r in told)
-    often = [i for r in told for i, n in zip(r["top"], r["top_n"]) if n * 4 * nb > tokens]
-    hot = np.unique(np.array([*often, START], np.uint64))  # at most 4 for each bucket
+    often, often_n = (np.array([x for r in told for x in r[c]], np.int64) for c in ("top", "top_n"))
+    hot = np.unique(np.append(often[often_n * 4 * nb > tokens].astype(np.uint64), np.uint64(START)))  # at most 4 for each bucket
+    names = spark.sparkContext.broadcast(Names(np.append(np.uint64(START), often[np.argsort(-often_n, kind="stable")][: OFTEN - 1].astype(np.uint64))))
 
     def grams(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> list[tuple[int, int, bytes]]:
         ids, place = np.unique(np.concatenate((w, [np.uint64(START)])), return_inverse=True)
@@ -350,24 +389,20 @@ def train(texts: DataFrame, text: str = "text", buckets: int | None = None) -> M
         bucket = np.where(np.isin(ids, hot)[v], _range(h, nb, 64), _range(ids, nb)[v])
         order = np.argsort(bucket * len(ids) + v)
         bucket, u, v, w, n = bucket[order], u[order], v[order], w[order], n[order].astype("<u4")
-        rows, own = [], np.zeros(len(ids), "<u4")
+        rows, rank = [], names.value.ranks(ids)
         for b, i, j in _cut(bucket):
-            seen = np.zeros(len(ids), bool)
-            for x in (u, v, w):
-                seen[x[i:j]] = True
-            used = np.flatnonzero(seen)
-            own[used] = np.arange(len(used))
-            kind = "<u2" if len(used) <= 1 << 16 else "<u4"
             starts = np.flatnonzero(np.concatenate(([True], v[i + 1 : j] != v[i : j - 1])))
             runs = np.diff(np.concatenate((starts, [j - i]))).astype("<u4")
-            rows.append((b, COUNTS, _dump(ids[used], own[v[i:j][starts]].astype(kind), runs, own[u[i:j]].astype(kind), own[w[i:j]].astype(kind), n[i:j])))
+            short = [y for x in (v[i:j][starts], u[i:j], w[i:j]) for y in (rank[x], ids[x[rank[x] == OFTEN]])]
+            rows.append((b, COUNTS, _dump(*short, runs, n[i:j])))
         return rows
 
     def shard(t: pa.Table) -> pa.Table:
         parts = []
         for x in t.column("payload"):
-            ids, firsts, runs, us, ws, ns = _load(x.as_py())
-            parts.append((ids[us], ids[np.repeat(firsts, runs)], ids[ws], ns))
+            *short, runs, ns = _load(x.as_py())
+            vs, us, ws = (names.value.long(*short[i : i + 2]) for i in (0, 2, 4))
+            parts.append((us, np.repeat(vs, runs), ws, ns))
         u, v, w, n = (np.concatenate(x) for x in zip(*parts))
         parts = None
         context = pair_hash(u, v)
@@ -376,25 +411,28 @@ def train(texts: DataFrame, text: str = "text", buckets: int | None = None) -> M
         h = h[order]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         n, h, order = np.add.reduceat(n[order].astype(np.uint64), first), h[first], order[first]
-        v, w, context, u = v[order], w[order], context[order], None
+        u, v, w, context = u[order], v[order], w[order], context[order]
         own = t.column("bucket")[0].as_py()
         _save(folder, f"trigrams-{own:06d}", *table(h, n))
         totals, h, order = [int((n == k).sum()) for k in (1, 2, 3, 4)], None, None
-        often, rows, saved = np.isin(v, hot), [], [1, 0, 0, 0, 0]
+        often, few, rows, saved = np.isin(v, hot), _few(n), [], [1, 0, 0, 0, 0]
         for here in (np.flatnonzero(~often), np.flatnonzero(often)):
             if not len(here):
                 continue
-            of_context = _summed(context[here], n[here], *_few(n[here]))
+            order = here[np.argsort(context[here])]
+            first = np.flatnonzero(np.concatenate(([True], context[order[1:]] != context[order[:-1]])))
+            of_context = [np.add.reduceat(x[order], first) for x in (n, *few)]
+            of = order[first]
             pair = pair_hash(v[here], w[here])
             order = np.argsort(pair)
             pair = pair[order]
             first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
             c, pair, order = np.diff(np.concatenate((first, [len(pair)]))), pair[first], here[order[first]]
             if often[here[0]]:
-                rows += _dealt(HOT_CONTEXTS, _range(of_context[0], nb, 64), *of_context)
-                rows += _dealt(HOT_PAIRS, _range(pair, nb, 64), v[order], w[order], c.astype("<u8"))
+                rows += _dealt_pairs(HOT_CONTEXTS, names.value, nb, v[of], u[of], context[of], *of_context)
+                rows += _dealt_pairs(HOT_PAIRS, names.value, nb, v[order], w[order], pair, c.astype("<u8"))
                 continue
-            _save(folder, f"contexts-{own:06d}", *table(*of_context))
+            _save(folder, f"contexts-{own:06d}", *table(context[of], *of_context))
             _save(folder, f"pairs-{own:06d}", *table(pair, c))
             saved[1:3] = [1, 1]
             rows += _pair_rows(v[order], w[order], c, nb)
@@ -404,9 +442,10 @@ def train(texts: DataFrame, text: str = "text", buckets: int | None = None) -> M
 
     def gather(t: pa.Table) -> pa.Table:
         own, rows, totals, saved = t.column("bucket")[0].as_py(), [], [0] * 8, [0] * 5
-        by = {k: [_load(x) for j, x in zip(t.column("kind").to_pylist(), t.column("payload").to_pylist()) if j == k] for k in (HOT_CONTEXTS, HOT_PAIRS)}
+        by = {k: [_loaded_pairs(names.value, x) for j, x in zip(t.column("kind").to_pylist(), t.column("payload").to_pylist()) if j == k] for k in (HOT_CONTEXTS, HOT_PAIRS)}
         if by[HOT_CONTEXTS]:
-            _save(folder, f"hot-contexts-{own:06d}", *table(*_summed(*(np.concatenate(x) for x in zip(*by[HOT_CONTEXTS])))))
+            v, u, *columns = (np.concatenate(x) for x in zip(*by[HOT_CONTEXTS]))
+            _save(folder, f"hot-contexts-{own:06d}", *table(*_summed(pair_hash(u, v), *columns)))
             saved[3] = 1
         if by[HOT_PAIRS]:
             v, w, c = (np.concatenate(x) for x in zip(*by[HOT_PAIRS]))
