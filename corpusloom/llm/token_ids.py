@@ -11,6 +11,7 @@ each other by the hash of their text, then the text; an empty table gives no row
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 
 from corpusloom import runtime
 from corpusloom.llm import simple8b
+from corpusloom.llm.arrays import chunks
 
 BLOB_IDS = 1 << 19
-#: Words that a worker remembers with their ids; beyond it, it starts anew.
-REMEMBERED = 900_000
+#: Words that a worker remembers with their ids, and bytes of their texts and ids; beyond either, it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 900_000, 160_000_000
 END_ID = 2
 FILE_SCHEMA = "shard int, before long, doc_ids array<long>, sizes array<int>, blob binary"
 
@@ -79,6 +81,11 @@ class Encoder:
         self.place: dict[str, int] = {}
         self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.piece_ids, self.piece_at = self.ids, self.at
+        self.text_bytes = 0
+
+    def held(self) -> int:
+        """Bytes of the remembered words and pieces and of their ids."""
+        return self.text_bytes + sum(x.nbytes for x in (self.ids, self.at, self.piece_ids, self.piece_at))
 
     def _pieces(self, words: list[bytes]) -> list[list[str]]:
         """The split of each word, plain ASCII by the pattern's ASCII form, all others by the tokenizer, many at a time.
@@ -122,6 +129,7 @@ class Encoder:
             place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
             self.piece_at = np.concatenate((self.piece_at, self.piece_at[-1] + ends))
             self.piece_ids = np.concatenate((self.piece_ids, ids))
+        self.text_bytes += sum(map(sys.getsizeof, words)) + sum(map(sys.getsizeof, fresh))
         ids, at = self.piece_ids, self.piece_at
         order = np.fromiter((place[p] for x in split for p in x), np.int64)
         flat, size = _gather(ids, at, order)
@@ -136,7 +144,7 @@ class Encoder:
         if not self.by_word or any("<|" in t for t in texts):
             own = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate(own) if own else np.zeros(0, np.uint32), np.fromiter(map(len, own), np.int64, len(own))
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.held() > REMEMBERED_BYTES:
             self.forget()
         known, found = self.known, []
         for t in texts:
@@ -162,8 +170,6 @@ def _gather(flat: np.ndarray, at: np.ndarray, order: np.ndarray) -> tuple[np.nda
 
 def encoder(path: str) -> Encoder:
     """The process's encoder for a file."""
-    import sys
-
     kept = sys.__dict__.setdefault("_corpusloom_encoders", {})
     if path not in kept:
         kept[path] = Encoder(path)
@@ -186,19 +192,13 @@ def write(documents: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
 
         for b in batches:
             shard = b.column(2)[0].as_py() if len(b) else shard
-            docs, texts, start = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and size < 1_000_000:
-                    size += len(texts[end])
-                    end += 1
-                flat, n = coder(texts[start:end])
+            for start, end, _, _ in chunks(b.column(1)):  # not all texts of a batch as Python objects
+                flat, n = coder(b.column(1).slice(start, end - start).to_pylist())
                 own = np.insert(flat, np.cumsum(n), end_id).astype(np.uint32)
                 n = n + 1
                 ids.append(own)
-                held += docs[start:end]
+                held += b.column(0).slice(start, end - start).to_pylist()
                 sizes += n.tolist()
-                start = end
                 if sum(map(len, ids)) >= blob_ids:
                     yield blob()
                     before += sum(sizes)

@@ -26,3 +26,20 @@ def test_ids_are_the_library_s_in_any_order(seed):
         at = np.concatenate(([0], np.cumsum(size)))
         for i, t in enumerate(own):
             assert ids[at[i] : at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_remembered_words_are_bounded_by_bytes(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusloom.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "REMEMBERED_BYTES", 1_000_000, raising=False)
+    path, draw = str(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
+    library, coder = Tokenizer.from_file(path), token_ids.Encoder(path)
+    for letters in ("abcdefgh", "абвгдежз"):
+        for _ in range(40):
+            text = " ".join("".join(draw.choices(letters, k=1000)) for _ in range(50))
+            ids, _ = coder([text])
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+            assert sum(map(len, coder.known)) < 1_000_000  # 2,000 and 4,000 KB came by
