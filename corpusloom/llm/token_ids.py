@@ -10,10 +10,12 @@ each other by the hash of their text, then the text; an empty table gives no row
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +32,22 @@ REMEMBERED, REMEMBERED_BYTES = 900_000, 160_000_000
 END_ID = 2
 FILE_SCHEMA = "shard int, before long, doc_ids array<long>, sizes array<int>, blob binary"
 
-#: The split pattern of the public vocabulary word_bpe_49k, as its file states it, and for plain ASCII.
+#: The split pattern of the public vocabulary word_bpe_49k, as its file states it, and for lower-case words of
+#: ASCII and Latin-1 letters, which the normaliser only lower-cases.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_PLAIN = re.compile(rb"[\x21-\x7e]+")
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 #: White space of any script, and the separators that Python alone counts to it.
 _GAP = re.compile(r"\s")
 
 
 class _Known(dict):
-    """Word -> number, given out as words come; fresh: those not encoded yet."""
+    """Word or piece -> number, given out as they come; fresh: those not encoded yet."""
 
     def __init__(self) -> None:
-        self.fresh: list[bytes] = []
+        self.fresh: list = []
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         self[word] = n = len(self)
         self.fresh.append(word)
         return n
@@ -71,14 +74,14 @@ class Encoder:
         if self.by_word:
             self.bare = Tokenizer(self.whole.model)
             self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.as_bytes = {ord(c): self.whole.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
             self.last = np.zeros(self.whole.get_vocab_size() + 1, bool)
             for token, i in self.whole.get_vocab(with_added_tokens=False).items():
                 self.last[i] = token.endswith("</w>")
             self.forget()
 
     def forget(self) -> None:
-        self.known = _Known()
-        self.place: dict[str, int] = {}
+        self.known, self.place = _Known(), _Known()
         self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.piece_ids, self.piece_at = self.ids, self.at
         self.text_bytes = 0
@@ -88,15 +91,18 @@ class Encoder:
         return self.text_bytes + sum(x.nbytes for x in (self.ids, self.at, self.piece_ids, self.piece_at))
 
     def _pieces(self, words: list[bytes]) -> list[list[str]]:
-        """The split of each word, plain ASCII by the pattern's ASCII form, all others by the tokenizer, many at a time.
+        """The split of each word, ASCII and Latin-1 letters by the pattern's form for them, others by the tokenizer, many at a time.
 
         Words without white space of any script are joined by blanks: the normaliser keeps each of them one word, so
         the parts of the normalised text are theirs in order. A word that holds such white space goes alone, as it
         may vanish or fall into several.
         """
-        out = [_ASCII.findall(w.decode()) if _PLAIN.fullmatch(w) else None for w in words]
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        out = [_LATIN.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
+        for i, t in enumerate(texts):
+            if out[i] is not None and not t.isascii():
+                out[i] = [p.translate(self.as_bytes) for p in out[i]]
         rest = [i for i, x in enumerate(out) if x is None]
-        texts = {i: words[i].decode("utf-8", "surrogatepass") for i in rest}
         normal, split = self.whole.normalizer.normalize_str, self.whole.pre_tokenizer.pre_tokenize_str
         for i in rest:
             if _GAP.search(texts[i]):
@@ -117,8 +123,9 @@ class Encoder:
         return out
 
     def _learn(self, words: list[bytes]) -> None:
-        split, place = self._pieces(words), self.place
-        fresh = list(dict.fromkeys(p for x in split for p in x if p not in place))
+        split = self._pieces(words)
+        order = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64)
+        fresh, self.place.fresh = self.place.fresh, []
         if fresh:
             lines = [" ".join(fresh[i : i + 1000]) for i in range(0, len(fresh), 1000)]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)])
@@ -126,12 +133,10 @@ class Encoder:
             if len(ends) != len(fresh):
                 own = [np.array(e.ids, np.uint32) for p in fresh for e in [self.bare.encode(p, add_special_tokens=False)]]
                 ids, ends = np.concatenate(own), np.cumsum([len(x) for x in own])
-            place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
             self.piece_at = np.concatenate((self.piece_at, self.piece_at[-1] + ends))
             self.piece_ids = np.concatenate((self.piece_ids, ids))
         self.text_bytes += sum(map(sys.getsizeof, words)) + sum(map(sys.getsizeof, fresh))
         ids, at = self.piece_ids, self.piece_at
-        order = np.fromiter((place[p] for x in split for p in x), np.int64)
         flat, size = _gather(ids, at, order)
         per_word = np.fromiter(map(len, split), np.int64, len(split))
         ends = np.cumsum(size)[np.cumsum(per_word) - 1] if len(order) else np.zeros(len(split), np.int64)
@@ -170,6 +175,7 @@ def _gather(flat: np.ndarray, at: np.ndarray, order: np.ndarray) -> tuple[np.nda
 
 def encoder(path: str) -> Encoder:
     """The process's encoder for a file."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core; it need not start a thread for each of the machine's
     kept = sys.__dict__.setdefault("_corpusloom_encoders", {})
     if path not in kept:
         kept[path] = Encoder(path)

@@ -43,3 +43,16 @@ def test_remembered_words_are_bounded_by_bytes(monkeypatch):
             ids, _ = coder([text])
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
             assert sum(map(len, coder.known)) < 1_000_000  # 2,000 and 4,000 KB came by
+
+
+def test_ids_of_every_latin_1_character_are_the_library_s():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusloom.llm.token_ids import Encoder
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    library, coder = Tokenizer.from_file(path), Encoder(path)
+    for c in map(chr, range(1, 0x180)):
+        for text in (f"a{c}B {c} {c}{c}1{c}'s", f"\xc9{c}\xdf'{c} X{c}\u0301 \xf7{c}"):
+            assert coder([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
