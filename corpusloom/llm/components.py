@@ -49,17 +49,18 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, reduced: bool = False) -> DataFrame:
     """(node, root) of every node that is not its component's smallest; links: two long columns.
 
-    Links of a task are first reduced to a forest. If no more than LOCAL_LINKS are left, one task reduces them. Else
-    large stars (every larger neighbour hangs on the smallest known node) and small stars (every smaller neighbour
-    does) alternate until the links stay the same, which takes a number of rounds in the order of log(n); each round
-    ends in a table in the shared folder.
+    Links of a task are first reduced to a forest, unless a worker made them as forests (reduced): a task that hands
+    them from one worker to the next keeps two alive, and both stay for later tasks. If no more than LOCAL_LINKS are
+    left, one task reduces them. Else large stars (every larger neighbour hangs on the smallest known node) and small
+    stars (every smaller neighbour does) alternate until the links stay the same, which takes a number of rounds in the
+    order of log(n); each round ends in a table in the shared folder.
     """
     a, b = links.columns
-    edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(_local, "u long, v long")
-    edges, seen = runtime.written(edges, "links"), (0, None)
+    edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
+    edges, seen = runtime.written(edges if reduced else edges.mapInArrow(_local, "u long, v long"), "links"), (0, None)
     if edges.count() <= LOCAL_LINKS:
         return edges.coalesce(1).mapInArrow(_whole, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("root"))
     edges = edges.distinct()

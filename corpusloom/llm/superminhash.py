@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom import runtime
-from corpusloom.llm.arrays import Words, chunks, mix, sums
+from corpusloom.llm.arrays import Words, chunks, mix, released, sums
 from corpusloom.llm.components import components, forest
 
 #: Signature values in a band, and the chance of missing a pair at the threshold that sets the number of bands.
@@ -41,6 +41,8 @@ CLUSTER_BYTES = 48_000_000
 GROUP, COUNTS = 64, 1 << 20
 #: Ids of candidate texts that may be broadcast (16 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
+#: Confirmed links (16 bytes each) that are reduced to one forest, whatever the task keys they come from.
+FOREST = 10_000
 
 
 def bands_for(threshold: float) -> int:
@@ -127,7 +129,7 @@ def _described(df: DataFrame, k: int, bands: int) -> DataFrame:
                 prints = [sums(mix(value ^ np.uint64(s)), own).view(np.int64) for s in (0x5BD1E995, 0xC2B2AE35)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), lists], ["doc_id", "n_shingles", "f1", "f2", "bands"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return df.mapInArrow(released(run), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def _sets(df: DataFrame, k: int) -> DataFrame:
@@ -142,7 +144,7 @@ def _sets(df: DataFrame, k: int) -> DataFrame:
                 data = [packed[6 * i : 6 * j] for i, j in zip(own[:-1], own[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), b.column(2).slice(start, end - start), pa.array(data, pa.binary())], ["doc_id", "cluster", "words"])
 
-    return df.select("doc_id", "text", "cluster").mapInArrow(run, "doc_id long, cluster long, words binary")
+    return df.select("doc_id", "text", "cluster").mapInArrow(released(run), "doc_id long, cluster long, words binary")
 
 
 def linked(sets: list[np.ndarray], left: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,30 +171,41 @@ def linked(sets: list[np.ndarray], left: int, percent: int) -> tuple[np.ndarray,
 
 
 def _confirmed(rows: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Spanning forests (u, v) of the links in each task key; rows: key, side (0: all links, 1: only with side 0), doc_id, words."""
+    """Spanning forests (u, v) of the links in runs of task keys; rows: key, side (0: all links, 1: only with side 0), doc_id, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, met, n = None, [], [], 0
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done() -> int:
             left = sum(x[0] == 0 for x in held)
             if left and len(held) > 1:
                 sets = [_unpacked(x[2]) for x in held]
                 ids = np.array([x[1] for x in held], np.int64)
                 i, j = linked(sets, left, percent)
-                u, v = forest(ids[i], ids[j])
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                if len(i):
+                    met.append(forest(ids[i], ids[j]))
+                    return len(met[-1][0])
+            return 0
+
+        def reduced() -> pa.RecordBatch:
+            u, v = forest(*(np.concatenate(x) for x in zip(*met)))
+            met.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for b in batches:
             for k, side, doc, words in zip(*(c.to_pylist() for c in b.columns)):
                 if k != key:
-                    yield from done()
+                    n += done()
+                    if n >= FOREST:
+                        yield reduced()
+                        n = 0
                     key, held = k, []
                 held.append((side, doc, words))
-        yield from done()
+        if n + done():
+            yield reduced()
 
     dealt = rows.select("key", "side", "doc_id", "words").repartition(parts, "key").sortWithinPartitions("key", "side", "doc_id")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(released(run), "u long, v long")
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -231,7 +244,7 @@ def grouped(documents: DataFrame, k: int = 5, percent: int = 80, ident: str = "d
         if large.limit(1).count():
             links = links.unionByName(_in_blocks(parted.join(large, "cluster"), percent, parts))
     found = _confirmed(small.select(F.col("cluster").alias("key"), F.lit(0).alias("side"), "doc_id", "words"), percent, parts)
-    roots = components(found if links is None else links.unionByName(found))
+    roots = components(found if links is None else links.unionByName(found), reduced=True)
 
     named = classes.select("f1", "f2", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     named = runtime.written(named.select("f1", "f2", "n", F.coalesce("root", "rep").alias("component")), "class-components")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.arrays import MARKS, Words, chunks, mix, remainder, sums
+from corpusloom.llm.arrays import MARKS, Words, chunks, mix, released, remainder, sums
 
 #: Expected number of labelled rows of each label to learn from.
 TRAIN_ROWS = 4000
@@ -228,4 +228,4 @@ def accepted(documents: DataFrame, weight: np.ndarray, bias: float, least: float
             if keep:
                 yield b.filter(pa.array(np.concatenate(keep)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(released(run), documents.schema)

@@ -1,9 +1,13 @@
 """Large clusters of near-duplicate candidates: boilerplate without links, families with links, all against brute force."""
 
 import random
+import re
+from pathlib import Path
 
+import numpy as np
 import pytest
-from corpusloom.llm import superminhash
+from corpusloom import runtime
+from corpusloom.llm import arrays, superminhash
 
 
 def texts_with_boilerplate(n, own, shared, seed=1):
@@ -56,3 +60,46 @@ def test_boilerplate_is_no_cluster(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts_with_boilerplate(1200, 60, 70))), "doc_id long, text string")
     assert superminhash.grouped(df, 5, 80).where("kept").count() == 1200
     assert not met
+
+
+def test_a_task_needs_one_worker(spark, monkeypatch):
+    """No task hands rows from one Python worker to another: each that did would keep a second one alive, beside the JVM."""
+    monkeypatch.setattr(superminhash, "CLUSTER", 8)
+    monkeypatch.setattr(superminhash, "FOREST", 4, raising=False)
+    plans = []
+    written = runtime.written
+    monkeypatch.setattr(runtime, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan()) or written(df, name))
+    texts = texts_with_boilerplate(30, 30, 40) * 2
+    texts += [x.rsplit(" ", 1)[0] + f" new{i}" for i, x in enumerate(texts[:25] * 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def workers(node):
+        below = [workers(node.children().apply(i)) for i in range(node.children().size())]
+        own = max(below, default=0) + ("InArrow" in node.nodeName())
+        assert own < 2, node.treeString()
+        return 0 if "Exchange" in node.nodeName() else own
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else a plan shows its stages only after it ran
+    try:
+        whole = superminhash.grouped(df, 3, 85)
+        plans.append(whole._jdf.queryExecution().executedPlan())
+        got = {r["doc_id"]: r["component_id"] for r in whole.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [got[i] for i in range(len(texts))] == brute(texts, 3, 85)
+    for plan in plans:
+        workers(plan)
+
+
+def test_an_idle_worker_gives_free_memory_back():
+    resident = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+    last = []
+
+    def run(batches):
+        held = [np.ones(100_000, np.uint8) for _ in range(1000)]
+        last.append(held[-1])  # what lies below the last piece stays with the process by itself
+        yield from batches
+
+    before = resident()
+    assert list(run([1])) == [1] and resident() > before + 60
+    assert list(arrays.released(run)([1, 2])) == [1, 2] and resident() < before + 30
