@@ -77,6 +77,13 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.encoded(table(spark, sf_dir, "documents"), str(public_tokenizers.path(VOCABULARY)))
 
 
+def op11_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import vafile
+
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return vafile.hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0), positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -133,6 +140,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i, len(v) AS d FROM v),
+s AS (SELECT a.vec_id AS anchor, b.vec_id AS vec, a.label = b.label AS same, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.i = b.i AND a.d = b.d AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+p AS (SELECT anchor, vec, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec) <= 5)
+SELECT p.anchor AS anchor_id, p.vec AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.vec ORDER BY s.score DESC, s.vec) AS INT) AS rank,
+  s.vec AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 _WORDS_CTE = f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents)"
 #: Remainders of a byte, and the checksum of each id as text.
@@ -164,6 +187,7 @@ FROM t LEFT JOIN c USING (x), s GROUP BY doc_id, held_out, n
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_topk": OP5_SQL,
+        "op11_vafile": OP11_SQL,
         "op9_superminhash": OP9_SQL,
         "ngram_counts": NGRAM_SQL,
         "toxicity_folds": f"WITH {_CRC} SELECT doc_id, crc % 5 = 0 AS held_out, true AS in_range, true AS follows FROM crc",
