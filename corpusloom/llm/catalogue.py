@@ -84,6 +84,12 @@ def op11_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0), positives=5, negatives=10, low=30, high=90, scale=256)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import repair
+
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -156,6 +162,50 @@ QUALIFY rank <= 10
 """
 
 
+def _step(state: str, cost: str, letter: str, line: str | None) -> str:
+    return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', o := " + (f"list_append({state}.o, {line})" if line else f"{state}.o") + ")"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _moves(to: int, keep: str, need: str, *sources: str) -> str:
+    """The cheapest way to a state over one turn: delete in it, keep or rerole from the sources."""
+    ways = [_step(f"s{to}", "3", "D", None)]
+    ways += [_step(s, f"(CASE WHEN f IN (1, 2) OR role[1] <> '{keep}' THEN 1000000 WHEN f = 3 THEN 1 ELSE 0 END)", "K", "role || ':' || text") for s in sources]
+    ways += [_step(s, "(CASE WHEN f IN (1, 2) THEN 1000000 WHEN f = 3 THEN 3 ELSE 2 END)", "R", f"'{need}:' || text") for s in sources if need]
+    return _least(*ways)
+
+
+_OP12_KEY = "coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')"
+#: The programme forwards: each state keeps its least (cost, audit), and the lines it has put out.
+OP12_SQL = f"""
+WITH RECURSIVE steps AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({_OP12_KEY}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM conversations, steps),
+r AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS seen FROM n),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 3 ELSE 0 END AS f,
+  coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY p) || role[1] NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+d AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS p, {{'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}} AS s0, {{'c': 1000000::BIGINT, 'a': '', 'o': []::VARCHAR[]}} AS s1,
+    {{'c': 2::BIGINT, 'a': 'I', 'o': ['user:']}} AS s2, {{'c': 4::BIGINT, 'a': 'II', 'o': ['user:', 'assistant:']}} AS s3 FROM conversations
+  UNION ALL
+  SELECT conv_id, p, n0, n1, m2, {_least('n3', _step('m2', '2', 'I', "'assistant:'"))} FROM (
+    SELECT *, {_least('n2', *(_step(x, '2', 'I', "'user:'") for x in ('n0', 'n1', 'n3')))} AS m2 FROM (
+      SELECT d.conv_id, f.p, {_moves(0, '', '')} AS n0, {_moves(1, 's', '', 's0')} AS n1, {_moves(2, 'u', 'user', 's0', 's1', 's3')} AS n2, {_moves(3, 'a', 'assistant', 's2')} AS n3
+      FROM d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.p = d.p + 1))),
+e AS (SELECT conv_id, {_least('s0', 's3')} AS best FROM d QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) = 1),
+g AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  best.c AS cost, best.a AS audit, sha256(array_to_string(best.o, chr(10))) AS repaired_sha256
+FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 _WORDS_CTE = f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents)"
 #: Remainders of a byte, and the checksum of each id as text.
@@ -188,6 +238,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_topk": OP5_SQL,
         "op11_vafile": OP11_SQL,
+        "op12_repair": OP12_SQL,
         "op9_superminhash": OP9_SQL,
         "ngram_counts": NGRAM_SQL,
         "toxicity_folds": f"WITH {_CRC} SELECT doc_id, crc % 5 = 0 AS held_out, true AS in_range, true AS follows FROM crc",
