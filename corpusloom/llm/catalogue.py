@@ -90,6 +90,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import suffixes
+
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"), length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -206,6 +212,20 @@ FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id
 """
 
 
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, md5_number(substr(x, CAST(2 * i + 1 AS BIGINT), 400)) AS h FROM (SELECT r, x, unnest(range(CAST(length(x) / 2 AS BIGINT) - 199)) AS i FROM d WHERE length(x) >= 400)),
+h AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, i, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) > 200 AS fresh FROM w SEMI JOIN h USING (h)),
+g AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS n FROM s) GROUP BY r, n),
+k AS (SELECT g.r, a, b, coalesce(lag(b) OVER (PARTITION BY g.r ORDER BY a), 0) AS last FROM g),
+j AS (SELECT k.r, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, string_agg(substr(x, CAST(2 * last + 1 AS BIGINT), CAST(2 * (a - last) AS BIGINT)), '' ORDER BY a) AS kept, max(b) AS tail FROM k JOIN d ON d.r = k.r GROUP BY k.r)
+SELECT doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, CAST(2 * coalesce(tail, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN j USING (r)
+"""
+
+
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 _WORDS_CTE = f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents)"
 #: Remainders of a byte, and the checksum of each id as text.
@@ -239,6 +259,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_topk": OP5_SQL,
         "op11_vafile": OP11_SQL,
         "op12_repair": OP12_SQL,
+        "op13_suffixes": OP13_SQL,
         "op9_superminhash": OP9_SQL,
         "ngram_counts": NGRAM_SQL,
         "toxicity_folds": f"WITH {_CRC} SELECT doc_id, crc % 5 = 0 AS held_out, true AS in_range, true AS follows FROM crc",
