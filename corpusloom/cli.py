@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import runtime, schemas
 from corpusloom.functions.text import first_turn
-from corpusloom.operators import chunkers, endpoint, evaluate, generate, prompts
+from corpusloom.operators import chunkers, compiling, endpoint, evaluate, generate
 from corpusloom.plans import clean, reports
-from corpusloom.sources import files, jsonl
+from corpusloom.sources import batches, files, jsonl
+from corpusloom.streaming import resume
 
 
 SYSTEM = "Answer the task."
@@ -27,20 +26,16 @@ def _endpoint(x: argparse.ArgumentParser) -> None:
 
 
 def synthesised(spark: SparkSession, chunks: str, samples: str, failures: str, provider: generate.Provider, threads: int = 12, tries: int = generate.TRIES) -> str:
-    """Ask for the chunks without a sample; malformed lines of either file are passed over. The report counts what was done."""
-    rows = jsonl.read_silent(spark, chunks, schemas.CHUNK)
-    try:
-        done = jsonl.read_silent(spark, samples, schemas.SAMPLE).select("source_chunk_id")
-    except AnalysisException as e:  # no sample yet
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        done = spark.createDataFrame([], "source_chunk_id string")
-    left = runtime.written(generate.pending(rows, done), "pending")
-    answers = runtime.written(generate.generated(prompts.expanded(left), provider, SYSTEM, threads, tries), "answers")
-    jsonl.write(generate.samples(answers, SYSTEM), samples, append=True)
-    jsonl.write(generate.failures(answers), failures, append=True)
-    n = answers.agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("bad")).first()
-    return f"Chunks pending : {left.count()}\nSamples        : {n['good']}\nFailures       : {n['bad']}"
+    """Ask for the chunks without a sample; malformed lines of either file are passed over. The report counts what was done.
+
+    A run is a batch (streaming.resume.step) with its log beside the samples: a run that died is finished first.
+    """
+    log = f"{samples.rstrip('/')}_log"
+    numbers: dict[str, int] = {}
+    while not numbers:
+        batch = str(batches.committed(spark, log).count())
+        numbers = resume.step(jsonl.read_silent(spark, chunks, schemas.CHUNK), batch, samples, failures, provider, SYSTEM, log, threads=threads, tries=tries)
+    return f"Chunks pending : {numbers['pending']}\nSamples        : {numbers['good']}\nFailures       : {numbers['bad']}"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -66,8 +61,10 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--category")
     x.add_argument("--templates", default="templates")
     x.add_argument("--out", default="results")
+    x.add_argument("--log", help="folder for answers and checks as they come; a run that stopped goes on from it")
     x = sub.add_parser("compare", help="two runs")
     x.add_argument("runs", nargs=2)
+    x.add_argument("--out", help="file for the whole report")
     return p
 
 
@@ -79,30 +76,37 @@ def main(args: list[str] | None = None, provider: generate.Provider = generate.e
     if a.command == "extract":
         found = runtime.written(chunkers.chunked(files.scanned(spark, a.base, files.repositories(spark))), "chunks")
         jsonl.write(found, a.out)
-        report = reports.chunks_by_repo(chunkers.summary(found))
+        report = reports.text(reports.chunks_by_repo(chunkers.summary(found)))
     elif a.command == "synthesise":
         report = synthesised(spark, a.chunks, a.samples, a.failures, provider, a.threads, a.tries)
     elif a.command == "clean":
-        good, _ = jsonl.read_tolerant(spark, a.samples, schemas.SAMPLE)
-        rows = good.withColumns({"question": first_turn("conversations", "human"), "answer": first_turn("conversations", "gpt"), "seq": F.monotonically_increasing_id()})
-        rows = runtime.written(rows, "samples")
-        kept, drops = clean.steps(rows)
-        kept = runtime.written(kept, "kept")
+        rows = jsonl.read_tolerant(spark, a.samples, schemas.SAMPLE).withColumns({"question": first_turn("conversations", "human"), "answer": first_turn("conversations", "gpt")})
+        good = F.col("malformed").isNull()
+        rows, n = runtime.counted(rows, "samples", good=F.count_if(good), bad=F.count_if(~good))
+        kept, drops = clean.steps(rows.where(good))
+        kept, m = runtime.counted(kept, "kept", kept=F.count(F.lit(1)))
         jsonl.write(kept.select("conversations", "source_chunk_id", "repo", "style"), a.out)
-        report = reports.cleaning(rows.count(), kept, drops)
+        report = reports.text(reports.cleaning(n["good"], m["kept"], kept, drops))
+        if n["bad"]:
+            where = f"{a.out.rstrip('/')}_malformed"
+            jsonl.write(rows.where(~good).select("file", "line", "malformed"), where)
+            report = f"Malformed lines skipped: {n['bad']}, listed in {where}\n\n{report}"
     elif a.command == "evaluate":
         equal = {"category": a.category} if a.category else {}
-        problems = jsonl.read_strict(spark, a.problems, schemas.PROBLEM, **equal)
-        asked = evaluate.asked(problems, provider, SYSTEM)
-        results = runtime.written(evaluate.checked(asked, evaluate.compilers(a.templates)), "results")
-        jsonl.run_document(results, a.tag, a.model_name).coalesce(1).write.mode("overwrite").json(f"{a.out}/{a.tag}_results.json")
-        report = reports.evaluation(results, a.tag, a.model_name)
-        Path(a.out).mkdir(parents=True, exist_ok=True)
-        Path(a.out, f"{a.tag}_report.txt").write_text(report)
+        problems = jsonl.read_strict(spark, a.problems, schemas.PROBLEM, numbered=True, **equal)
+        logs = {x: f"{a.log.rstrip('/')}/{x}" if a.log else None for x in ("answers", "checks")}
+        asked = runtime.written(evaluate.asked(problems, provider, SYSTEM, log=logs["answers"]), "asked")
+        results = runtime.written(evaluate.checked(asked, compiling.compilers(a.templates), log=logs["checks"]), "results")
+        jsonl.write_run(results, f"{a.out}/{a.tag}_results.json", a.tag, a.model_name)
+        lines = reports.evaluation(results, a.tag, a.model_name)
+        reports.write(lines, f"{a.out}/{a.tag}_report.txt")
+        report = reports.text(lines)
     else:
-        runs = [jsonl.read_run(spark, r) for r in a.runs]
-        tags = [r.first()["tag"] for r in runs]
-        report = reports.comparison(*(evaluate.last_of_each(r, "seq") for r in runs), *tags)
+        tags = [jsonl.read_run_head(spark, r).first()["tag"] for r in a.runs]
+        lines = reports.comparison(*(evaluate.last_of_each(jsonl.read_run(spark, r), "seq") for r in a.runs), *tags)
+        if a.out:
+            reports.write(lines, a.out)
+        report = reports.text(lines)
     print(report)
     return report
 

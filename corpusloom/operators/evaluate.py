@@ -3,23 +3,20 @@
 from __future__ import annotations
 
 import subprocess
-import tempfile
 import time
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Callable
 
-import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import without_fences, without_thoughts
+from corpusloom.operators import calls
+from corpusloom.operators.compiling import Checker
 
-# Temperature, truncations, least keywords, seconds.
-TEMPERATURE, MOST_ANSWER, MOST_ERROR, LEAST_KEYWORDS, MOST_MISSING = 0.1, 2000, 600, 3, 5
-SECONDS = {"aya_kernel": 180, "aya_user": 90, "cilium_go": 90, "libbpf_c": 90}
-
-#: code -> (passed, error text); raises subprocess.TimeoutExpired or others.
-Checker = Callable[[str], tuple[bool, str]]
+# Temperature, kept part of an answer, least keywords, shown missing ones.
+TEMPERATURE, MOST_ANSWER, LEAST_KEYWORDS, MOST_MISSING = 0.1, 2000, 3, 5
 
 
 def required_keywords(keywords: Column) -> Column:
@@ -37,89 +34,52 @@ def keyword_columns(answer: Column, keywords: Column) -> dict[str, Column]:
     return {"n_found": F.size(found), "n_required": need, "passed": F.size(found) >= need, "detail": detail}
 
 
-def command_checker(command: list[str], file_name: str, template: str | None = None, before: list[str] | None = None, seconds: int = 90, before_seconds: int = 60) -> Checker:
-    """A check by an external program in a folder of its own: the template's files, the code as file_name, then the command.
+def asked(problems: DataFrame, provider: Callable[[str, str, float], str], system: str, at_once: int = 1, log: str | None = None) -> DataFrame:
+    """problems with answer (cleaned; "ERROR: ..." if the call failed) and latency_s (of the call alone).
 
-    "{dir}" in a command is the folder. Exit code 0 passes, else the first 600 characters of output are the error.
+    at_once: calls over all tasks; one at a time does not disturb the latency. log: see calls.called.
     """
+    names = problems.columns
+
+    def one(row: dict) -> list[tuple]:
+        start = time.time()
+        try:
+            answer = provider(system, row["prompt"], TEMPERATURE).strip()
+        except Exception as e:
+            answer = f"ERROR: {e}"
+        return [(*(row[n] for n in names), answer, time.time() - start)]
 
-    def check(code: str) -> tuple[bool, str]:
-        import shutil
-
-        with tempfile.TemporaryDirectory() as folder:
-            if template:
-                shutil.copytree(template, folder, dirs_exist_ok=True)
-            target = Path(folder, file_name)
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_text(code)
-            if before:
-                subprocess.run([x.replace("{dir}", folder) for x in before], cwd=folder, capture_output=True, timeout=before_seconds)
-            done = subprocess.run([x.replace("{dir}", folder) for x in command], cwd=folder, capture_output=True, text=True, timeout=seconds)
-            return done.returncode == 0, "" if done.returncode == 0 else (done.stdout + done.stderr)[:MOST_ERROR]
-
-    return check
-
-
-def compilers(templates: str) -> dict[str, Checker]:
-    """The four external checks, with project templates below a folder; they need the toolchains on every worker."""
-    t = templates.rstrip("/")
-    rust = ["--message-format", "short"]
-    return {
-        "aya_kernel": command_checker(["cargo", "+nightly", "check", "-Z", "build-std=core", "--target", "bpfel-unknown-none", "--target-dir", f"{t}/aya_kernel/target", *rust], "src/main.rs", f"{t}/aya_kernel", seconds=SECONDS["aya_kernel"]),
-        "aya_user": command_checker(["cargo", "check", "--target-dir", f"{t}/aya_user/target", *rust], "src/main.rs", f"{t}/aya_user", seconds=SECONDS["aya_user"]),
-        "cilium_go": command_checker(["go", "build", "./..."], "main.go", f"{t}/cilium_go", before=["go", "mod", "tidy"], seconds=SECONDS["cilium_go"]),
-        "libbpf_c": command_checker(["clang", "-target", "bpf", "-O2", "-g", "-I{dir}", "-I/usr/include/bpf", "-I/usr/include/linux", "-I/usr/include/aarch64-linux-gnu", "-c", "{dir}/prog.bpf.c", "-o", "{dir}/prog.o"], "prog.bpf.c", f"{t}/libbpf_c", seconds=SECONDS["libbpf_c"]),
-    }
-
-
-def asked(problems: DataFrame, provider: Callable[[str, str, float], str], system: str) -> DataFrame:
-    """problems with answer (cleaned; "ERROR: ..." if the call failed) and latency_s (of the call alone)."""
-
-    at = problems.columns.index("prompt")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            answers, seconds = [], []
-            for prompt in b.column(at).to_pylist():
-                start = time.time()
-                try:
-                    answers.append(provider(system, prompt, TEMPERATURE).strip())
-                except Exception as e:
-                    answers.append(f"ERROR: {e}")
-                seconds.append(time.time() - start)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, pa.string()), pa.array(seconds)], [*b.schema.names, "answer", "latency_s"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*problems.schema.fields, T.StructField("answer", T.StringType()), T.StructField("latency_s", T.DoubleType())])
-    rows = problems.mapInArrow(run, schema)
+    rows = calls.called(problems, one, T.StructType([*problems.schema.fields, T.StructField("answer", T.StringType()), T.StructField("latency_s", T.DoubleType())]), at_once, log)
     clean = F.when(F.col("answer").startswith("ERROR: "), F.col("answer")).otherwise(without_fences(without_thoughts("answer")))
     return rows.withColumn("answer", clean)
 
 
-def checked(answers: DataFrame, checkers: dict[str, Checker]) -> DataFrame:
-    """id, category, difficulty, passed, error, latency_s, answer: keyword checks are native, all others the category's checker."""
+def checked(answers: DataFrame, checkers: dict[str, Checker], at_once: int | None = None, log: str | None = None, profile: ResourceProfile | None = None) -> DataFrame:
+    """id, category, difficulty, passed, error, latency_s, answer: keyword checks are native, all others the category's checker.
+
+    at_once: checks over all tasks (as many as the session runs tasks, if not given). log: see calls.called. profile: the
+    resources of tasks that check, where the cluster manager can tell them apart.
+    """
     words = keyword_columns(F.col("answer"), F.col("keywords"))
     by_words = answers.where(F.col("check") == "keywords").withColumns({"passed": words["passed"], "error": words["detail"]})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = []
-            for category, code in zip(b.column("category").to_pylist(), b.column("answer").to_pylist()):
-                try:
-                    got.append(checkers[category](code) if category in checkers else (False, f"Unknown category: {category}"))
-                except subprocess.TimeoutExpired:
-                    got.append((False, "TIMEOUT: compilation exceeded limit"))
-                except Exception as e:
-                    got.append((False, f"ERROR: {e}"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p for p, _ in got], pa.bool_()), pa.array([e for _, e in got], pa.string())], [*b.schema.names, "passed", "error"])
-
-    from pyspark.sql import types as T
+    names = answers.columns
+
+    def one(row: dict) -> list[tuple]:
+        category, code = row["category"], row["answer"]
+        try:
+            passed, error = checkers[category](code) if category in checkers else (False, f"Unknown category: {category}")
+        except subprocess.TimeoutExpired:
+            passed, error = False, "TIMEOUT: compilation exceeded limit"
+        except Exception as e:
+            passed, error = False, f"ERROR: {e}"
+        return [(*(row[n] for n in names), passed, error)]
 
     schema = T.StructType([*answers.schema.fields, T.StructField("passed", T.BooleanType()), T.StructField("error", T.StringType())])
-    by_program = answers.where(F.coalesce(F.col("check") != "keywords", F.lit(True))).mapInArrow(run, schema)
+    programs = answers.where(F.coalesce(F.col("check") != "keywords", F.lit(True)))
+    by_program = calls.called(programs, one, schema, at_once or answers.sparkSession.sparkContext.defaultParallelism, log, profile)
     both = by_words.select(*schema.names).unionByName(by_program)
-    return both.select("id", "category", "difficulty", "passed", "error", F.bround("latency_s", 2).alias("latency_s"), F.left("answer", F.lit(MOST_ANSWER)).alias("answer"))
+    seq = ["seq"] if "seq" in names else []
+    return both.select(*seq, "id", "category", "difficulty", "passed", "error", F.bround("latency_s", 2).alias("latency_s"), F.left("answer", F.lit(MOST_ANSWER)).alias("answer"))
 
 
 def overall(results: DataFrame) -> DataFrame:

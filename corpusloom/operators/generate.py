@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
+from corpusloom.operators import calls
+
+ANSWER = "id string, repo string, prompt_no int, style string, instruction string, answer string, error string"
 
 # Retries and answer length.
 TRIES, DELAY_S, LEAST_ANSWER = 3, 2.0, 40
@@ -47,10 +48,11 @@ def pending(chunks: DataFrame, samples: DataFrame) -> DataFrame:
     return chunks.join(done, "id", "left_anti")
 
 
-def generated(prompts: DataFrame, provider: Provider, system: str, threads: int = 12, tries: int = TRIES, delay: float = DELAY_S) -> DataFrame:
+def generated(prompts: DataFrame, provider: Provider, system: str, threads: int = 12, tries: int = TRIES, delay: float = DELAY_S, log: str | None = None, n_chunks: int | None = None) -> DataFrame:
     """id, repo, prompt_no, style, instruction, answer, error: a chunk's prompts in order, up to its first failure.
 
-    The result must be written once and read for both tables: asking twice may give other answers.
+    threads: calls at once, over all tasks. log: see calls.called; without it, the result must be written once and read
+    for both tables, as asking twice may give other answers.
     """
 
     def one(chunk: dict) -> list[tuple]:
@@ -63,17 +65,8 @@ def generated(prompts: DataFrame, provider: Provider, system: str, threads: int
                 break
         return out
 
-    names = ["id", "repo", "prompt_no", "style", "instruction", "answer", "error"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with ThreadPoolExecutor(threads) as pool:
-            for b in batches:
-                rows = [r for x in pool.map(one, b.to_pylist()) for r in x]
-                kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-    grouped = prompts.groupBy("id", "repo").agg(F.collect_list(F.struct("prompt_no", "style", "instruction", "message", "temperature")).alias("prompts"))
-    return grouped.mapInArrow(run, "id string, repo string, prompt_no int, style string, instruction string, answer string, error string")
+    asked = F.array_sort(F.collect_list(F.struct("prompt_no", "style", "instruction", "message", "temperature")))
+    return calls.called(prompts.groupBy("id", "repo").agg(asked.alias("prompts")), one, ANSWER, threads, log, n_rows=n_chunks)
 
 
 def samples(answers: DataFrame, system: str) -> DataFrame:

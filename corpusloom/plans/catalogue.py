@@ -199,10 +199,11 @@ def chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pairs(spark, sf_dir)
+    """Rows are counted while they are written, not again."""
+    rows, n = runtime.counted(_pairs(spark, sf_dir), "pairs", all=F.count(F.lit(1)))
     kept, drops = clean.steps(rows, TOPIC)
-    report = reports.cleaning(rows.count(), kept, drops, ("source", "lang"))
-    return spark.createDataFrame([(i, x.rstrip()) for i, x in enumerate(report.split("\n"))], "line_no int, line string")
+    kept, m = runtime.counted(kept, "kept", kept=F.count(F.lit(1)))
+    return reports.numbered(reports.cleaning(n["all"], m["kept"], kept, drops, ("source", "lang")))
 
 
 _NOT_QUERIES = {"table", "queries", "oracle_sql"}

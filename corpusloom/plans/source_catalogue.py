@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from corpusloom import runtime, schemas
 from corpusloom.functions import signals
-from corpusloom.operators import chunkers, evaluate, generate, prompts
+from corpusloom.operators import chunkers, compiling, evaluate, generate, prompts
 from corpusloom.plans import reports
 from corpusloom.runtime import table
-from corpusloom.sources import files, jsonl
+from corpusloom.sources import files, joined, jsonl
 from corpusloom.streaming import resume
 
 _SUFFIXES = ["md", "rst", "rs", "c", "h", "go", "py", "txt"]
@@ -83,9 +83,26 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jsonl_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = jsonl.read_tolerant(spark, _broken(spark, sf_dir), _TURN)
+    """Good rows and broken lines, in one parse."""
+    rows = jsonl.read_tolerant(spark, _broken(spark, sf_dir), _TURN)
     none = {"conv_id": F.lit(-1).cast("long"), "turn": F.lit(-1).cast("long"), "role": F.lit(""), "text": F.lit("")}
-    return good.withColumn("line", F.lit("")).unionByName(bad.withColumns(none))
+    return rows.select(*(F.coalesce(c, none[c]).alias(c) for c in none), F.coalesce("malformed", F.lit("")).alias("line"))
+
+
+def jsonl_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines in one text file, written by all tasks and read in splits of 32 KB: where good and broken lines stand."""
+    path = runtime.scratch_path(spark, "numbered")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\x0B\\x0C]", " ")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", F.lit('{"a": 1}'), F.lit(" "), text, F.to_json(F.struct("doc_id"))).alias("value"))
+    joined.write(rows.orderBy("doc_id").select("value"), f"{path}/all.jsonl")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+    try:  # the numbers are settled when the table is written
+        found = runtime.written(jsonl.read_tolerant(spark, path, "doc_id long, a int").drop("file"), "numbers")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    bad = F.md5(F.encode(F.coalesce("malformed", F.lit("")), "utf-8"))
+    return found.select("line", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.coalesce("a", F.lit(0)).alias("a"), bad.alias("malformed_md5"))
 
 
 def jsonl_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,33 +119,28 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     passed = F.col("quality") == 1
     error = F.when(passed, "").otherwise(F.concat(F.lit("no good text: "), _line()))
-    fields = {"id": _id(), "category": F.coalesce("lang", F.lit("none")), "difficulty": F.col("source"), "passed": passed, "error": error, "latency_s": (F.col("doc_id") % 17).cast("double"), "answer": F.left("text", F.lit(20))}
+    fields = {"id": _id(), "category": F.coalesce("lang", F.lit("none")), "difficulty": F.col("source"), "passed": passed, "error": error, "latency_s": (F.col("doc_id") % 17).cast("double") / 8, "answer": F.coalesce("text", F.lit(""))}
     return rows.select(F.col("doc_id").alias("seq"), *(c.alias(n) for n, c in fields.items()))
 
 
 def run_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run document, written and read again."""
-    path = runtime.scratch_path(spark, "run")
-    jsonl.run_document(_results(spark, sf_dir), "t1", "m").coalesce(1).write.json(path)
-    head = spark.read.schema(schemas.RUN).option("multiLine", True).json(path).select("total", F.col("passed").alias("n_passed"))
+    """A run document, written by all tasks as one file and read again in splits."""
+    path = f"{runtime.scratch_path(spark, 'run')}/t1_results.json"
+    jsonl.write_run(_results(spark, sf_dir), path, "t1", "m")
+    head = jsonl.read_run_head(spark, path).select("total", F.col("passed").alias("n_passed"))
     read = jsonl.read_run(spark, path).join(F.broadcast(head))
-    return read.select("tag", "model", "total", "n_passed", F.col("seq").alias("place"), "id", "category", "difficulty", "passed", F.md5(F.col("error")).alias("error_md5"), "latency_s", "answer")
-
-
-def _lines(spark: SparkSession, report: str) -> DataFrame:
-    """A report's lines without blanks at their ends; reports have a line for each group or problem."""
-    return spark.createDataFrame([(i, x.rstrip()) for i, x in enumerate(report.split("\n"))], "line_no int, line string")
+    return read.select("tag", "model", "total", "n_passed", F.col("seq").alias("place"), "id", "category", "difficulty", "passed", F.md5(F.col("error")).alias("error_md5"), "latency_s", F.md5(F.encode("answer", "utf-8")).alias("answer_md5"))
 
 
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, reports.evaluation(_results(spark, sf_dir), "t1", "m"))
+    return reports.numbered(reports.evaluation(_results(spark, sf_dir), "t1", "m"))
 
 
 def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select(_id().alias("id"), "quality", "toxic", "doc_id")
     a = rows.where("doc_id % 7 <> 3").select("id", (F.col("quality") == 1).alias("passed"))
     b = rows.where("doc_id % 5 <> 1").select("id", (F.col("toxic") == 0).alias("passed"))
-    return _lines(spark, reports.comparison(a, b, "first", "second"))
+    return reports.numbered(reports.comparison(a, b, "first", "second"))
 
 
 def _fenced(code: str, lang: str = "C") -> str:
@@ -201,7 +213,7 @@ def gate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = _pick(["tutorial_section", "doc_code", "raw_code"], F.col("doc_id"))
-    return _lines(spark, reports.chunks_by_repo(chunkers.summary(table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), kinds.alias("kind")))))
+    return reports.numbered(reports.chunks_by_repo(chunkers.summary(table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), kinds.alias("kind")))))
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +253,8 @@ def stream_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = rows.select(_id().alias("id"), F.lit("s").alias("source"), F.lit("r").alias("repo"), F.lit("f").alias("file"), F.lit("c").alias("lang"), F.lit("raw_code").alias("kind"), F.lit("T").alias("title"), F.lit("").alias("body"), F.array("text").alias("code"))
     jsonl.write(made, f"{root}/chunks")
     resume.generation(spark, f"{root}/chunks", f"{root}/samples", f"{root}/failures", _moody(), "as a test", f"{root}/checkpoint", tries=3, delay=0).awaitTermination()
-    good = spark.read.schema(schemas.SAMPLE).json(f"{root}/samples").select(F.col("source_chunk_id").alias("id"), "style", F.lit("").alias("error"))
-    return good.unionByName(spark.read.schema(schemas.FAILURE).json(f"{root}/failures").select(F.col("chunk_id").alias("id"), F.lit("").alias("style"), "error"))
+    good = resume.samples(spark, f"{root}/samples", f"{root}/checkpoint").select(F.col("source_chunk_id").alias("id"), "style", F.lit("").alias("error"))
+    return good.unionByName(resume.failures(spark, f"{root}/failures", f"{root}/checkpoint").select(F.col("chunk_id").alias("id"), F.lit("").alias("style"), "error"))
 
 
 def evaluate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +276,7 @@ def evaluate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         raise subprocess.TimeoutExpired("x", 1)
 
-    program = evaluate.command_checker(["sh", "-c", "test $(wc -c < src/main.rs) -gt 400 || { echo small; exit 1; }"], "src/main.rs")
+    program = compiling.command_checker(["sh", "-c", "test $(wc -c < src/main.rs) -gt 400 || { echo small; exit 1; }"], "src/main.rs")
     asked = evaluate.asked(problems, provider, "s")
     got = evaluate.checked(asked, {"aya_user": program, "raises": raises, "late": late})
     return got.select("id", "category", "difficulty", "passed", "error", F.md5(F.encode("answer", "utf-8")).alias("answer_md5"))
@@ -304,7 +316,7 @@ def oracle_sql() -> dict[str, str]:
     repos = f"repos AS (SELECT * FROM (VALUES {configs}) AS v(repo, langs, include_md))"
     one = lambda marks: f"regexp_replace(text, '[\\r\\n{marks}]', ' ', 'g')"
     results = f"""r AS (SELECT doc_id AS seq, doc_id::varchar AS id, coalesce(lang, 'none') AS category, source AS difficulty, quality = 1 AS passed,
-    CASE WHEN quality = 1 THEN '' ELSE 'no good text: ' || {one('')} END AS error, (doc_id % 17)::double AS latency_s, left(text, 20) AS answer FROM labels JOIN documents USING (doc_id))"""
+    CASE WHEN quality = 1 THEN '' ELSE 'no good text: ' || {one('')} END AS error, (doc_id % 17)::double / 8 AS latency_s, coalesce(text, '') AS answer FROM labels JOIN documents USING (doc_id))"""
     turn = "conv_id, turn, role, text"
     ident = lambda key: f"substr(sha1('r:' || path || ':' || {key}), 1, 12)"
     chunk = lambda key, source, lang, kind, title, body, n, code: f"{ident(key)} AS id, '{source}' AS source, 'r' AS repo, 't/' || path AS file, '{lang}' AS lang, '{kind}' AS kind, {title} AS title, md5({body}) AS body_md5, {n}::INT AS n_code, md5({code}) AS code_md5"
@@ -337,13 +349,16 @@ def oracle_sql() -> dict[str, str]:
         "repo_config": f"WITH {repos} SELECT doc_id, repo, langs, include_md FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'unknown' ELSE {pick(list(signals.REPOS), 'doc_id')} END AS repo FROM documents) JOIN repos USING (repo)",
         "jsonl_roundtrip": f"SELECT {turn} FROM conversations",
         "jsonl_tolerant": f"SELECT {turn}, '' AS line FROM conversations UNION ALL SELECT -1, -1, '', '', '{{\"conv_id\": ' || conv_id || ', \"turn\"' FROM conversations WHERE turn = 0",
+        "jsonl_numbers": """WITH l AS (SELECT doc_id, list_concat(['{"a": 1}', ' '], string_split(regexp_replace(coalesce(text, ''), '[\\r\\x0B\\x0C]', ' ', 'g'), chr(10)), ['{"doc_id":' || doc_id || '}']) AS l FROM documents),
+    u AS (SELECT doc_id, len(l) AS n, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM l), f AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) - 1 AS line FROM u)
+    SELECT line, CASE WHEN i = n THEN doc_id ELSE -1 END AS doc_id, CASE WHEN i = 1 THEN 1 ELSE 0 END AS a, md5(CASE WHEN i IN (1, n) THEN '' ELSE v END) AS malformed_md5 FROM f WHERE regexp_replace(v, '^[\\x20\\x09-\\x0D]+', '') <> ''""",
         "jsonl_silent": f"SELECT {turn} FROM conversations",
         "jsonl_strict": f"SELECT {turn} FROM conversations WHERE role = 'user'",
-        "run_roundtrip": f"WITH {results} SELECT 't1' AS tag, 'm' AS model, CAST(count(*) OVER () AS INT) AS total, CAST(count(*) FILTER (passed) OVER () AS INT) AS n_passed, CAST(row_number() OVER (ORDER BY seq) - 1 AS INT) AS place, id, category, difficulty, passed, md5(error) AS error_md5, latency_s, answer FROM r",
+        "run_roundtrip": f"WITH {results} SELECT 't1' AS tag, 'm' AS model, CAST(count(*) OVER () AS INT) AS total, CAST(count(*) FILTER (passed) OVER () AS INT) AS n_passed, CAST(row_number() OVER (ORDER BY seq) - 1 AS INT) AS place, id, category, difficulty, passed, md5(error) AS error_md5, latency_s, md5(answer) AS answer_md5 FROM r",
         "evaluation_report": f"""WITH {results}, lines AS (SELECT 0 AS a, 0 AS b, ['Evaluation results', repeat('=', 50), 'Model  : m', 'Tag    : t1', '', 'Overall pass@1 : ' || count(*) FILTER (passed) || '/' || count(*) || ' (' || printf('%.1f', 100 * count(*) FILTER (passed) / count(*)) || '%)', '', 'By category:'] AS l FROM r
       UNION ALL SELECT 1, row_number() OVER (ORDER BY category), [format('  {{:<20}} {{}}/{{}}  ({{}}%)', category, count(*) FILTER (passed), count(*), printf('%.0f', 100 * count(*) FILTER (passed) / count(*)))] FROM r GROUP BY category
       UNION ALL SELECT 2, 0, ['', 'Per-problem results:']
-      UNION ALL SELECT 3, seq, CASE WHEN passed THEN [head] ELSE [head, '         ↳ ' || left(error, 120)] END FROM (SELECT *, format('  [{{}}] {{:<15}} ({{}}) {{:.1f}}s', CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END, id, category, latency_s) AS head FROM r)),
+      UNION ALL SELECT 3, seq, CASE WHEN passed THEN [head] ELSE [head, '         ↳ ' || left(error, 120)] END FROM (SELECT *, format('  [{{}}] {{:<15}} ({{}}) {{}}s', CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END, id, category, printf('%.1f', latency_s)) AS head FROM r)),
     flat AS (SELECT a, b, generate_subscripts(l, 1) AS c, unnest(l) AS line FROM lines) SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INT) AS line_no, regexp_replace(line, '\\s+$', '') AS line FROM flat""",
         "comparison_report": f"""WITH a AS (SELECT doc_id::varchar AS id, quality = 1 AS passed FROM labels WHERE doc_id % 7 <> 3), b AS (SELECT doc_id::varchar AS id, toxic = 0 AS passed FROM labels WHERE doc_id % 5 <> 1),
     c AS (SELECT id, a.passed AS x, coalesce(b.passed, false) AS y FROM a LEFT JOIN b USING (id)),

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, **numbers: Column) -> tuple[DataFrame, dict[str, int]]:
+    """written(df, name), and aggregates of its rows that were taken while they were written."""
+    seen = Observation(name)
+    out = written(df.observe(seen, *(c.alias(n) for n, c in numbers.items())), name)
+    return out, seen.get
+
+
+def ordered(df: DataFrame, order: list[str], number: str, name: str) -> DataFrame:
+    """df in this order with the number of each row from 0 (int), by range partitions and no task that holds all rows.
+
+    The rows are written once; the number of rows in each partition, a row for each, is summed and broadcast.
+    """
+    part, at = unused(df.columns, "part"), unused(df.columns, "at")
+    placed = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    placed = written(placed.withColumn(part, F.shiftright(at, 33)), name)
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = placed.join(F.broadcast(sizes.select(part, before.alias(number))), part)
+    return found.withColumn(number, (F.col(number) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).drop(part, at)
+
+
 def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df, to be broadcast if it has at most so many rows of a few ids or hashes (about 40 MB); df must be cheap to count."""
     return F.broadcast(df) if df.count() <= most else df

@@ -96,8 +96,9 @@ def test_jsonl(spark, tmp_path):
     p = tmp_path / "in.jsonl"
     p.write_text('{"id": "a", "category": "x"}\n\n{bad\n{"id": "b", "category": "y"}\n')
     schema = "id string, category string"
-    good, bad = jsonl.read_tolerant(spark, str(p), schema)
-    assert {r["id"] for r in good.collect()} == {"a", "b"} and [r["line"] for r in bad.collect()] == ["{bad"]
+    rows = jsonl.read_tolerant(spark, str(p), schema)
+    assert sorted((r["line"], r["id"] or "", r["malformed"] or "") for r in rows.collect()) == [(0, "a", ""), (2, "", "{bad"), (3, "b", "")]
+    good = rows.where("malformed is null").select("id", "category")
     assert jsonl.read_silent(spark, str(p), schema).where("id is not null").count() == 2
     with pytest.raises(Exception):
         jsonl.read_strict(spark, str(p), schema).collect()
@@ -110,7 +111,7 @@ def test_run_document_and_commands(spark, tmp_path):
     rows = [("a", "keywords-only", "easy", True, "", 1.25, "ans"), ("b", "other", "hard", False, "bad", 2.0, "ans")]
     for tag, passed in (("one", True), ("two", False)):
         df = spark.createDataFrame([(*r[:3], passed if r[0] == "b" else r[3], *r[4:]) for r in rows], schemas.RESULT)
-        jsonl.run_document(df, tag, "m").coalesce(1).write.mode("overwrite").json(str(tmp_path / tag))
+        jsonl.write_run(df, str(tmp_path / tag), tag, "m")
     assert jsonl.read_run(spark, str(tmp_path / "one")).count() == 2
     assert "REGRESSED: b" in cli.main(["compare", str(tmp_path / "one"), str(tmp_path / "two")])
     problem = {"id": "k", "category": "concept", "difficulty": "easy", "check": "keywords", "prompt": "bpf map xdp", "concepts": [], "keywords": ["bpf", "map", "xdp"]}
@@ -129,7 +130,7 @@ def test_streaming_resume(spark, tmp_path):
         (tmp_path / "in" / f"{i}.json").write_text(json.dumps(row) + "\n")
         where = [str(tmp_path / x) for x in ("in", "samples", "failures")]
         resume.generation(spark, *where, generate.echo, "sys", str(tmp_path / "state"), tries=1).awaitTermination()
-        return sorted(r["source_chunk_id"] for r in spark.read.schema(schemas.SAMPLE).json(where[1]).collect())
+        return sorted(r["source_chunk_id"] for r in resume.samples(spark, where[1], str(tmp_path / "state")).collect())
 
     assert ask(0) == ["0"]
     assert ask(1) == ["0", "1"]

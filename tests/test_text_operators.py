@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import schemas
 from corpusloom.functions import text
-from corpusloom.operators import dedup, evaluate, generate, prompts, quality
+from corpusloom.operators import compiling, dedup, evaluate, generate, prompts, quality
 from corpusloom.plans import clean, reports
 
 GOOD = "the bpf map " + "word " * 40
@@ -68,10 +68,10 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "seq long, question string, answer string, repo string, style string")
     kept, drops = clean.steps(df)
     assert kept.count() == 0 and drops.count() == 0
-    assert "FINAL DATASET: 0" in reports.cleaning(0, kept, drops)
+    assert "FINAL DATASET: 0" in reports.text(reports.cleaning(0, 0, kept, drops))
     none = spark.createDataFrame([], schemas.RESULT)
     assert evaluate.overall(none).first()["pct"] is None
-    assert "0/0 (-)" in reports.evaluation(none, "t", "m")
+    assert "0/0 (-)" in reports.text(reports.evaluation(none, "t", "m"))
 
 
 def chunk(i, kind, body, code, repo="aya"):
@@ -128,7 +128,7 @@ def test_keyword_requirements(spark):
 def test_checks_and_comparison(spark, tmp_path):
     problems = spark.createDataFrame([("k", "concept", "easy", "keywords", "p", None, ["bpf", "map", "xdp"]), ("c", "own", "easy", "compile", "p", None, None), ("u", "none", "easy", "compile", "p", None, None)], schemas.PROBLEM)
     asked = evaluate.asked(problems, lambda s, m, t: "```c\nbpf map xdp\n```", "s")
-    ok = evaluate.command_checker(["grep", "-q", "bpf", "{dir}/code.c"], "code.c")
+    ok = compiling.command_checker(["grep", "-q", "bpf", "{dir}/code.c"], "code.c")
     results = evaluate.checked(asked, {"own": ok}).cache()
     got = {r["id"]: (r["passed"], r["error"]) for r in results.collect()}
     assert got["k"][0] and got["c"] == (True, "") and got["u"] == (False, "Unknown category: none")
@@ -137,7 +137,7 @@ def test_checks_and_comparison(spark, tmp_path):
     assert {r["id"]: r["outcome"] for r in evaluate.compared(a, b).collect()} == {"x": "regressed", "y": "improved", "z": "unchanged", "o": "regressed"}
     r = evaluate.comparison(a, b).first()
     assert (r["total"], r["passed_a"], r["passed_b"], r["improved"], r["regressed"], r["unchanged"]) == (4, 2, 2, 1, 2, 1)
-    assert "IMPROVED : y" in reports.comparison(a, b, "A", "B")
+    assert "IMPROVED : y" in reports.text(reports.comparison(a, b, "A", "B"))
 
 
 def test_failing_provider_is_an_answer(spark):
