@@ -14,7 +14,7 @@ names its gram (the initial bucket) and hashes the bytes of all windows that sha
 * Buckets of over BIG contexts are not gathered: their windows are hashed one by one and counted by an aggregate.
 
 Contexts and windows are told apart by 128 bits of hash. Documents are named by hashes of their id and text; texts are
-read again for the contexts and the result, and shuffled for that only where what is joined is too large to broadcast.
+read again for the contexts and for the result, and shuffled both times, at every size alike.
 
 Defined cases: a null text counts as empty; equal rows (ids included) count as two documents, whose strings are all
 repeated; ids may be null or repeat; long texts are taken in slices of SLICE windows; an empty table gives no row;
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from corpusloom import runtime
 from corpusloom.llm import arrays
 
-#: Bytes of a gram (a multiple of 8); windows taken at once from a long text; bytes refined at once; contexts from which a bucket is not gathered; bytes of a broadcast side.
-GRAM, SLICE, ARRAY_BYTES, BIG, MOST_BROADCAST = 32, 1 << 19, 1_000_000, 4096, 32_000_000
+#: Bytes of a gram (a multiple of 8); windows taken at once from a long text; bytes refined at once; contexts from which a bucket is not gathered.
+GRAM, SLICE, ARRAY_BYTES, BIG = 32, 1 << 19, 1_000_000, 512
 
 _BASE = int(arrays.multipliers(1, 77)[0])
 _TURNS = arrays.multipliers(64, 5)
@@ -217,12 +217,6 @@ def _windows(length: int):
     return run
 
 
-def _joined(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    """docs joined with lists w of written side; side is broadcast if its lists are small, by their counted size."""
-    size = side.agg(F.sum(F.size("w") * 32 + 64)).first()[0] or 0
-    return docs.join(F.broadcast(side) if size <= MOST_BROADCAST else side, ["d", "k"], how)
-
-
 def _spread(docs: DataFrame, length: int) -> DataFrame:
     """d, k, w: the runs of repeated windows of each document that has one, packed as marks are."""
     long = docs.where(F.octet_length("x") >= length)
@@ -232,7 +226,7 @@ def _spread(docs: DataFrame, length: int) -> DataFrame:
     mixed = hits.where("mixed").drop("mixed")
     classes = runtime.written(mixed.groupBy("b", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "m")).alias("rep")), "contexts")
     wanted = classes.groupBy("rep.d", "rep.k").agg(F.collect_list(F.struct("rep.m", "b", "c", "n")).alias("w"))
-    texts = _joined(long, runtime.written(wanted, "wanted"), "inner").mapInArrow(_cut(length), "b long, c long, n long, far int, near int, x binary")
+    texts = long.join(wanted, ["d", "k"]).mapInArrow(_cut(length), "b long, c long, n long, far int, near int, x binary")
     big = runtime.written(classes.groupBy("b").count().where(F.col("count") > BIG).select("b"), "big")
     some = big.limit(1).count() > 0
     if some:
@@ -292,5 +286,5 @@ def deduplicated(docs: DataFrame, length: int = 200, ident: str = "doc_id", text
     named = docs.select(F.col(ident).alias("id"), x.alias("x"), F.xxhash64(ident).alias("d"), F.xxhash64(x).alias("k"))
     spans = _spread(named.select("x", "d", "k"), length)
     kind = docs.schema[ident].dataType.simpleString()
-    out = _joined(named, spans, "left").mapInArrow(_removed(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+    out = named.join(spans, ["d", "k"], "left").mapInArrow(_removed(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("id", ident)
