@@ -190,6 +190,12 @@ def python(text: str, stem: str) -> Iterator[Chunk]:
     yield Chunk("", "source", "python", "raw_code", stem, "", (text[:MOST_PYTHON],))
 
 
+def stem(path: str) -> str:
+    """A file's name without its last suffix."""
+    name = path.rsplit("/", 1)[-1]
+    return name.rpartition(".")[0] or name
+
+
 PARSERS = {"md": markdown, "rst": rst, "rs": rust, "c": c, "h": c, "go": go, "py": python}
 
 
@@ -211,9 +217,7 @@ def chunked(files: DataFrame, parsers: dict[str, Callable[[str, str], Iterator[C
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                name = r["path"].rsplit("/", 1)[-1]
-                stem = name.rpartition(".")[0] or name
-                for i, x in enumerate(parsers[r["suffix"]](r["text"], stem)):
+                for i, x in enumerate(parsers[r["suffix"]](r["text"], stem(r["path"]))):
                     ident = hashlib.sha1(f"{r['repo']}:{r['path']}:{x.key}".encode("utf-8", "surrogatepass")).hexdigest()[:12]
                     rows.append((ident, x.source, r["repo"], r["file"], x.lang, x.kind, x.title, x.body, list(x.code), r["path"], i))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [*fields, "path", "place"])

@@ -1,7 +1,10 @@
-"""Prompt expansion of chunks, message assembly, sampling temperatures."""
+"""Prompt expansion of chunks by a table of prompts, message assembly, sampling temperatures."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,54 @@ OTHER_TEMPERATURE, LEAST_CONTENT = 0.5, 150
 PLAIN = "eBPF"
 
 
+@dataclass(frozen=True)
+class Prompt:
+    """A prompt for chunks of a kind that have what it needs (body or code).
+
+    Templates name title, lang, body and code (the first snippet), each with the number of characters that are taken
+    (as in {body:800}), framework (the repository's, or a plain name) and using (" using ..." or nothing).
+    """
+
+    kind: str
+    needs: str
+    style: str
+    instruction: str
+    context: str = ""
+
+
+# The prompts in their order, with the characters that are taken.
+PROMPTS = [
+    Prompt("tutorial_section", "body", "concept", "Explain the concept of '{title}' in the context of eBPF development{using}.", "{body:1500}"),
+    Prompt("tutorial_section", "code", "code_walkthrough", "Walk me through this eBPF code step by step and explain what it does:\n\n```{lang}\n{code:1200}\n```", "{body:800}"),
+    Prompt("doc_code", "code", "api_explain", "Explain what `{title}` does in {framework} and show how to use it.", "Documentation:\n{body:600}\n\nSource:\n```{lang}\n{code:1200}\n```"),
+    Prompt("doc_code", "code", "usage_example", "Write a practical example showing how to use `{title}` from the {framework} API. Include the key steps and any important caveats.", "```{lang}\n{code:1200}\n```"),
+    Prompt("raw_code", "code", "code_analysis", "Analyze this {lang} eBPF code and explain what it does, how it works, and what eBPF concepts it demonstrates:\n\n```{lang}\n{code:1500}\n```"),
+]
+FIELDS = {"title", "lang", "body", "code", "framework", "using"}
+
+
+def checked(prompts: list[Prompt]) -> list[Prompt]:
+    """prompts, if their templates can be filled."""
+    for p in prompts:
+        for template in (p.instruction, p.context):
+            for _, field, size, conversion in Formatter().parse(template):
+                if field is not None and (field not in FIELDS or conversion or not (size or "1").isdigit()):
+                    raise ValueError(f"no such field in the prompt {p.style}: {{{field}:{size}}}")
+        if p.needs not in ("body", "code"):
+            raise ValueError(f"the prompt {p.style} needs body or code, not {p.needs}")
+    return prompts
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A template as one concatenation of columns; what values hold is not looked into for fields."""
+    parts = []
+    for text, field, size, _ in Formatter().parse(template):
+        parts += [F.lit(text)] if text else []
+        if field is not None:
+            parts.append(F.left(values[field], F.lit(int(size))) if size else values[field])
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
@@ -52,22 +103,15 @@ def enough_content(least: int = LEAST_CONTENT) -> Column:
     return F.length(F.concat(F.coalesce("body", F.lit("")), F.array_join(F.coalesce("code", F.array().cast("array<string>")), " "))) >= least
 
 
-def expanded(chunks: DataFrame, names: dict[str, str] = FRAMEWORKS) -> DataFrame:
-    """id, repo, prompt_no, instruction, style, context, message, temperature: none to two rows for each chunk."""
-    body = strip(F.coalesce("body", F.lit("")))
+def expanded(chunks: DataFrame, names: dict[str, str] = FRAMEWORKS, prompts: list[Prompt] = PROMPTS) -> DataFrame:
+    """id, repo, prompt_no, instruction, style, context, message, temperature: a row for each of the kind's prompts that the chunk can fill."""
+    of = framework(F.col("repo"), names)
     code = F.coalesce(F.get("code", F.lit(0)), F.lit(""))
-    of, named = framework(F.col("repo"), names), F.when(framework(F.col("repo"), names) == "", PLAIN).otherwise(framework(F.col("repo"), names))
-    head = lambda c, n: F.left(c, F.lit(n))
-    fenced = lambda n: F.concat(F.lit("```"), "lang", F.lit("\n"), head(code, n), F.lit("\n```"))
-    using = F.when(of == "", F.lit("")).otherwise(F.concat(F.lit(" using "), of))
-    rule = lambda kind, has, style, context, *said: F.when((F.col("kind") == kind) & (has != ""), F.struct(F.concat(*said).alias("instruction"), F.lit(style).alias("style"), context.alias("context")))
-    text = F.lit
+    values = {"title": F.col("title"), "lang": F.col("lang"), "body": strip(F.coalesce("body", F.lit(""))), "code": code}
+    values |= {"framework": F.when(of == "", PLAIN).otherwise(of), "using": F.when(of == "", F.lit("")).otherwise(F.concat(F.lit(" using "), of))}
     rules = [
-        rule("tutorial_section", body, "concept", head(body, 1500), text("Explain the concept of '"), "title", text("' in the context of eBPF development"), using, text(".")),
-        rule("tutorial_section", code, "code_walkthrough", head(body, 800), text("Walk me through this eBPF code step by step and explain what it does:\n\n"), fenced(1200)),
-        rule("doc_code", code, "api_explain", F.concat(text("Documentation:\n"), head(body, 600), text("\n\nSource:\n"), fenced(1200)), text("Explain what `"), "title", text("` does in "), named, text(" and show how to use it.")),
-        rule("doc_code", code, "usage_example", fenced(1200), text("Write a practical example showing how to use `"), "title", text("` from the "), named, text(" API. Include the key steps and any important caveats.")),
-        rule("raw_code", code, "code_analysis", text(""), text("Analyze this "), "lang", text(" eBPF code and explain what it does, how it works, and what eBPF concepts it demonstrates:\n\n"), fenced(1500)),
+        F.when((F.col("kind") == p.kind) & (values[p.needs] != ""), F.struct(filled(p.instruction, values).alias("instruction"), F.lit(p.style).alias("style"), filled(p.context, values).alias("context")))
+        for p in checked(prompts)
     ]
     made = F.posexplode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("prompt_no", "p")
     out = chunks.where(enough_content()).select("id", "repo", made).select("id", "repo", "prompt_no", "p.*")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import runtime
-from corpusloom.functions import signals, text
+from corpusloom.functions import signals, tables, text
 from corpusloom.operators import chunkers, dedup, evaluate, generate, prompts, quality
 from corpusloom.plans import clean, reports, source_catalogue
 from corpusloom.runtime import table
@@ -172,6 +172,25 @@ def prompt_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.expanded(_chunks(spark, sf_dir)).select("id", "prompt_no", "style", "temperature", "message")
 
 
+#: A table of one prompt, as SQL takes it.
+ONE_PROMPT = '[{"kind": "doc_code", "needs": "body", "style": "summary", "instruction": "Sum up {title} ({lang}) in {framework}: {body:40}"}]'
+
+
+def prompt_expand_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prompt_expand by the table function, in SQL, and the prompts of a table given as an argument."""
+    tables.register(spark)
+    return spark.sql(
+        """
+        SELECT c.id, p.prompt_no, p.style, CASE WHEN p.context <> '' THEN concat(p.context, '\n\n---\n\n', p.instruction) ELSE p.instruction END AS message
+        FROM {chunks} c, LATERAL chunk_prompts(c.kind, c.repo, c.lang, c.title, c.body, c.code) p
+        UNION ALL
+        SELECT c.id, p.prompt_no, p.style, p.instruction FROM {chunks} c, LATERAL chunk_prompts(c.kind, c.repo, c.lang, c.title, c.body, c.code, {table}) p
+        """,
+        chunks=_chunks(spark, sf_dir),
+        table=ONE_PROMPT,
+    )
+
+
 def generate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = prompts.expanded(_chunks(spark, sf_dir))
     answers = generate.generated(asked, generate.echo, "You test.", tries=1)
@@ -306,6 +325,7 @@ def oracle_sql() -> dict[str, str]:
         "resume_pending": "SELECT doc_id AS id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "framework_lookup": f"WITH {chunks} SELECT id, {name} AS framework FROM chunks",
         "prompt_expand": f"WITH {chunks}, {made} SELECT id, prompt_no, style, temperature, message FROM asked",
+        "prompt_expand_sql": f"WITH {chunks}, {made} SELECT id, prompt_no, style, message FROM asked UNION ALL SELECT id, 0, 'summary', 'Sum up ' || title || ' (' || lang || ') in ' || fb || ': ' || left(body, 40) FROM named WHERE kind = 'doc_code' AND body <> ''",
         "generate_samples": f"WITH {chunks}, {made} SELECT id AS source_chunk_id, style, regexp_replace('Asked at ' || temperature || ': ' || message, '^\\s+|\\s+$', '', 'g') AS answer FROM asked",
         "strip_think_fences": "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS answer FROM documents",
         "path_filter": f"""WITH {paths} SELECT page_id, list_has_any(string_split(path, '/'), {skip}) OR (lower(path) LIKE '%.md' AND list_contains({names}, replace(lower(regexp_extract(path, '([^/]+)\\.[^./]+$', 1)), '-', '_'))) AS skipped,

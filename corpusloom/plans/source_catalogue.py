@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import runtime, schemas
-from corpusloom.functions import signals
+from corpusloom.functions import signals, tables
 from corpusloom.operators import chunkers, compiling, evaluate, generate, prompts
 from corpusloom.plans import reports
 from corpusloom.runtime import table
@@ -185,6 +185,11 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Functions stand twice (the first counts), one of C has a brace that is never closed.
     """
+    return _chunks_of(_code_files(spark, sf_dir))
+
+
+def _code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of code_chunks."""
     line, n = _line(marks="{}/*()"), _id()
     on = F.col("doc_id") % 5 != 0
     say = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
@@ -197,7 +202,25 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = made[0]
     for x in made[1:]:
         rows = rows.unionByName(x)
-    return _chunks_of(rows)
+    return rows
+
+
+def code_chunks_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code_chunks by the table function: a LATERAL join in SQL, with C headers read by an argument's parser."""
+    tables.register(spark)
+    rows = _code_files(spark, sf_dir).withColumns({"langs": F.array(*map(F.lit, _SUFFIXES)), "include_md": F.lit(True)})
+    routed = chunkers.routed(rows).withColumn("suffix", F.when(F.col("suffix") == "h", "header").otherwise(F.col("suffix")))
+    return spark.sql(
+        """
+        SELECT id, x.source, x.repo, x.file, x.lang, x.kind, x.title, md5(encode(x.body, 'utf-8')) AS body_md5, size(x.code) AS n_code, md5(encode(array_join(x.code, '\n--\n'), 'utf-8')) AS code_md5
+        FROM (
+          SELECT substr(sha1(concat_ws(':', f.repo, f.path, c.key)), 1, 12) AS id,
+            min_by(struct(c.source, f.repo, concat('t/', f.path) AS file, c.lang, c.kind, c.title, c.body, c.code), struct(f.path, c.place)) AS x
+          FROM {files} f, LATERAL file_chunks(f.suffix, f.text, f.path, map('header', 'c')) c
+          GROUP BY 1)
+        """,
+        files=routed,
+    )
 
 
 _SIGNS = ["", " KProbe", ' SEC("xdp")', " use aya::", " link.AttachXDP", " perf.NewReader", " BPF_HASH (", " ebpf", " NewReader x ringbuf"]
@@ -342,7 +365,7 @@ def oracle_sql() -> dict[str, str]:
     told AS (SELECT *, CAST(row_number() OVER w - 1 AS INT) AS prompt_no, CASE WHEN n % 5 = 0 THEN 'no answer to ' || n || ' characters' WHEN n % 7 = 0 THEN 'Answer too short: ''short''' ELSE '' END AS error FROM two WINDOW w AS (PARTITION BY id ORDER BY k)),
     upto AS (SELECT *, coalesce(sum(CASE WHEN error <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS failed FROM told)"""
     ended = "CASE WHEN answer_ok THEN b ELSE 'ERROR: odd' END"
-    return {
+    sql = {
         "scan_files": f"""WITH {repos}, f AS (SELECT text, {pick(_TREES, 'doc_id')} AS repo, {pick(_FOLDERS, 'doc_id // 5')} AS folder, {pick(_SUFFIXES, 'doc_id // 15')} AS suffix, doc_id FROM documents)
     SELECT repo, repo || '/' || folder || '/f' || doc_id || '.' || suffix AS file, suffix, md5(coalesce(text, '') || chr(65533) || chr(10) || 'end') AS text_md5, langs, include_md FROM f JOIN repos USING (repo)
     WHERE folder <> 'vendor' AND (list_contains(string_split(langs, ','), suffix) OR (include_md AND suffix = 'md') OR (suffix = 'rst' AND repo = 'linux-bpf-docs'))""",
@@ -391,3 +414,4 @@ def oracle_sql() -> dict[str, str]:
     CASE category WHEN 'aya_user' THEN CASE WHEN strlen(answer) > 400 THEN '' ELSE 'small' || chr(10) END WHEN 'raises' THEN 'ERROR: ' || length(answer) || ' characters' WHEN 'late' THEN 'TIMEOUT: compilation exceeded limit' WHEN 'lost' THEN 'Unknown category: lost'
       ELSE 'Found ' || len(found) || '/' || len(words) || ' keywords. Missing: [' || array_to_string(list_transform(missing, lambda w: '''' || w || ''''), ', ') || ']' END AS error, md5(left(answer, 2000)) AS answer_md5 FROM k""",
     }
+    return sql | {"code_chunks_sql": sql["code_chunks"]}
