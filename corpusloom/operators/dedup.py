@@ -15,8 +15,8 @@ from corpusloom.functions.text import normalised
 
 # Shingle length, permutations, bands, prime, and 109 of 128 equal places (0.85 or more).
 SHINGLE, PERMUTATIONS, BANDS, PRIME, SEED, LEAST_EQUAL = 5, 128, 32, (1 << 31) - 1, 42, 109
-#: Shingles that a task remembers with their hashes.
-REMEMBERED = 500_000
+#: Shingles that a task remembers with their hashes, and characters that it takes at once.
+REMEMBERED, RUN_CHARS = 500_000, 1_000_000
 #: Rows that meet in a task, and the keys by which a later match is looked for first.
 BLOCK, QUICK_KEYS = 1024, 3
 
@@ -75,30 +75,73 @@ class Hashed(dict):
         return h
 
 
-def shingle_hashes(text: str, known: Hashed) -> np.ndarray:
-    """Hashes of the distinct shingles of a normalised text."""
-    grams = {text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1)}
-    return np.fromiter((known[g] for g in grams), np.int64, len(grams))
+def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text, shingle) of each distinct shingle of each text, in the order of texts, as numbers; and the distinct shingles of all.
+
+    A window of code points is one integer, of the places of its characters in the alphabet of these texts; only the
+    distinct ones are made strings.
+    """
+    joined, sizes = "".join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+    if len(joined) < SHINGLE:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    alphabet, one = np.unique(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    one, n = one.astype(np.int64), len(alphabet)
+    key = one[: len(one) - SHINGLE + 1]
+    for i in range(1, SHINGLE):
+        if n > (1 << 62) // (len(alphabet) ** 2):  # many characters: the windows so far are numbered anew
+            seen, key = np.unique(key, return_inverse=True)
+            key, n = key.astype(np.int64), len(seen)
+        key, n = key * len(alphabet) + one[i : i + len(key)], n * len(alphabet)
+    ends = np.cumsum(sizes)
+    found = [np.unique(key[start:end], return_index=True) for start, end in zip((ends - sizes).tolist(), (ends - SHINGLE + 1).tolist()) if end > start]
+    own = [i for i, size in enumerate(sizes.tolist()) if size >= SHINGLE]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    places = np.concatenate([index + (ends[i] - sizes[i]) for i, (_, index) in zip(own, found)])
+    _, first, gram = np.unique(np.concatenate([k for k, _ in found]), return_index=True, return_inverse=True)
+    return np.repeat(own, [len(k) for k, _ in found]), gram, [joined[i : i + SHINGLE] for i in places[first].tolist()]
+
+
+def minima(text: np.ndarray, hashed: np.ndarray, n: int) -> np.ndarray:
+    """n x PERMUTATIONS: the least of each permutation over a text's hashes (texts ascend); 0 where a text has none."""
+    a, b = permutations()
+    out = np.full((n, PERMUTATIONS), PRIME, np.int64)
+    for start in range(0, len(text), 512):
+        own, x = text[start : start + 512], hashed[start : start + 512, None] * a
+        x += b
+        for _ in range(2):  # the remainder by 2**31 - 1, of which both steps leave a multiple out
+            high = x >> 31
+            x &= PRIME
+            x += high
+        x[x == PRIME] = 0
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[first]] = np.minimum(out[own[first]], np.minimum.reduceat(x, first, axis=0))
+    out[np.bincount(text, minlength=n) == 0] = 0
+    return out
 
 
 def signatures(rows: DataFrame, text: str, seq: str = "seq") -> DataFrame:
-    """seq, n_shingles, signature; texts of fewer than five characters have 128 zeros."""
-    a, b = permutations()
+    """seq, n_shingles, signature; texts of fewer than five characters have 128 zeros.
+
+    Texts are taken in runs of about RUN_CHARS characters; MD5 is called once for each distinct shingle of a run that was
+    not met before, all else is vectorised.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashed()
         for batch in batches:
-            sizes, out = [], np.zeros((len(batch), PERMUTATIONS), np.int64)
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                h = shingle_hashes(t or "", known)
-                sizes.append(len(h))
-                if len(h):
-                    low = np.full(PERMUTATIONS, PRIME, np.int64)
-                    for start in range(0, len(h), 4096):
-                        np.minimum(low, ((h[start : start + 4096, None] * a + b) % PRIME).min(0), out=low)
-                    out[i] = low
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * PERMUTATIONS), pa.array(out.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists], ["seq", "n_shingles", "signature"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            start = size = 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size < RUN_CHARS and i + 1 < len(texts):
+                    continue
+                of, gram, grams = shingles(texts[start : i + 1])
+                n = i + 1 - start
+                out = minima(of, np.fromiter((known[g] for g in grams), np.int64, len(grams))[gram], n)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PERMUTATIONS), pa.array(out.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(np.bincount(of, minlength=n), pa.int32()), lists], ["seq", "n_shingles", "signature"])
+                start, size = i + 1, 0
 
     ready = rows.select(F.col(seq).cast("long").alias("seq"), normalised(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     return ready.mapInArrow(run, "seq long, n_shingles int, signature array<long>")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import runtime, schemas
 from corpusloom.functions import signals, tables
-from corpusloom.operators import chunkers, compiling, evaluate, generate, prompts
+from corpusloom.operators import chunkers, compiling, evaluate, fixer, generate, prompts
 from corpusloom.plans import reports
 from corpusloom.runtime import table
 from corpusloom.sources import files, joined, jsonl
@@ -305,6 +305,16 @@ def evaluate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", "category", "difficulty", "passed", "error", F.md5(F.encode("answer", "utf-8")).alias("answer_md5"))
 
 
+def fixed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the comment of a C and a Go answer that lacks or has what it uses; fixed by the table of rules."""
+    i, line = F.col("doc_id"), _line(marks="()._/")
+    some = lambda by, yes, no="": F.when(i % by == 0, yes).otherwise(no)
+    c = F.concat(some(2, "#include <vmlinux.h>\n"), some(5, "#include <bpf/bpf_endian.h>\n"), F.lit("// "), line, F.lit("\n"), some(3, "int x = bpf_htons(1);\n", "int x;\n"))
+    go = F.concat(F.lit("package main\n"), some(2, 'import (\n\t"fmt"\n\t"x/y"\n)\n', 'import "fmt"\n'), F.lit("// "), line, F.lit("\n"), some(3, "var a = fmt.Sprint(1)\n"), some(5, "var l = link.Kprobe\n"))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.create_map(F.lit("c"), c, F.lit("go"), go)).alias("lang", "code"))
+    return rows.select("doc_id", "lang", F.md5(F.encode(fixer.fixed(F.col("code"), F.col("lang")), "utf-8")).alias("code_md5"))
+
+
 _NOT_QUERIES = {"table", "oracle_sql", "queries"}
 
 
@@ -402,6 +412,11 @@ def oracle_sql() -> dict[str, str]:
     UNION ALL {c('c')} UNION ALL {c('h')}
     UNION ALL SELECT {chunk("'Run' || n", 'source', 'go', 'doc_code', "'Run' || n", stripped, 1, go_code)} FROM {of('go')}
     UNION ALL SELECT {chunk("''", 'source', 'python', 'raw_code', "'d' || n", "''", 1, "left('b = BPF(text=''x'')' || chr(10) || text, 3000)")} FROM {of('py')}""",
+        "fixed_answers": f"""WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS two, doc_id % 3 = 0 AS three, doc_id % 5 = 0 AS five, {one('()._/')} AS line FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, 'c' AS lang, CASE WHEN two THEN '#include <vmlinux.h>' || chr(10) ELSE '' END || CASE WHEN five OR three THEN '#include <bpf/bpf_endian.h>' || chr(10) ELSE '' END || '// ' || line || chr(10) || CASE WHEN three THEN 'int x = bpf_htons(1);' ELSE 'int x;' END || chr(10) AS code FROM d),
+    g AS (SELECT doc_id, 'go' AS lang, 'package main' || chr(10) || CASE WHEN two THEN 'import (' || chr(10) || CASE WHEN five THEN chr(9) || '"github.com/cilium/ebpf/link"' || chr(10) ELSE '' END || CASE WHEN three THEN chr(9) || '"fmt"' || chr(10) ELSE '' END || chr(9) || '"x/y"' || chr(10) || ')' || chr(10)
+      ELSE CASE WHEN five THEN 'import "github.com/cilium/ebpf/link"' || chr(10) ELSE '' END || CASE WHEN three THEN 'import "fmt"' || chr(10) ELSE '' END END || '// ' || line || chr(10) || CASE WHEN three THEN 'var a = fmt.Sprint(1)' || chr(10) ELSE '' END || CASE WHEN five THEN 'var l = link.Kprobe' || chr(10) ELSE '' END AS code FROM d)
+    SELECT doc_id, lang, md5(code) AS code_md5 FROM (SELECT * FROM c UNION ALL SELECT * FROM g)""",
         "gate_filter": f"WITH f AS (SELECT doc_id, doc_id % 2 = 0 AS include_md, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') || {pick(_SIGNS, 'doc_id')} AS t, unnest({_list(list(signals.GATES))}) AS suffix FROM documents WHERE text IS NOT NULL) SELECT doc_id, suffix FROM f WHERE {gates}",
         "chunk_report": "SELECT CAST(row_number() OVER (ORDER BY n DESC, source) - 1 AS INT) AS line_no, format('  {:<30} {:>6}', source, n) AS line FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)",
         "retry_calls": f"WITH {ask} SELECT id, prompt_no, style, CASE WHEN error = '' THEN n || ' characters were asked at ' || t || ', tell I as a test' ELSE '' END AS answer, error FROM upto WHERE failed = 0",
