@@ -35,7 +35,7 @@ from corpusloom import runtime
 from corpusloom.llm import arrays
 
 #: Bytes of a gram (a multiple of 8); windows taken at once from a long text; bytes refined at once; contexts from which a bucket is not gathered.
-GRAM, SLICE, ARRAY_BYTES, BIG = 32, 1 << 19, 1_000_000, 512
+GRAM, SLICE, ARRAY_BYTES, BIG = 32, 1 << 19, 1_000_000, 4096
 
 _BASE = int(arrays.multipliers(1, 77)[0])
 _TURNS = arrays.multipliers(64, 5)
