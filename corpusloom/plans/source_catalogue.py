@@ -6,16 +6,17 @@ The tables hold prose, so source files, JSON Lines with broken lines, and proble
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import runtime, schemas
 from corpusloom.functions import signals, tables
-from corpusloom.operators import chunkers, compiling, evaluate, fixer, generate, prompts
+from corpusloom.operators import chunkers, compiling, endpoint, evaluate, fixer, generate, prompts
 from corpusloom.plans import reports
 from corpusloom.runtime import table
-from corpusloom.sources import files, joined, jsonl
+from corpusloom.sources import files, joined, jsonl, lines
 from corpusloom.streaming import resume
 
 _SUFFIXES = ["md", "rst", "rs", "c", "h", "go", "py", "txt"]
@@ -137,10 +138,7 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").select(_id().alias("id"), "quality", "toxic", "doc_id")
-    a = rows.where("doc_id % 7 <> 3").select("id", (F.col("quality") == 1).alias("passed"))
-    b = rows.where("doc_id % 5 <> 1").select("id", (F.col("toxic") == 0).alias("passed"))
-    return reports.numbered(reports.comparison(a, b, "first", "second"))
+    return reports.numbered(reports.comparison(*(x.select("id", "passed") for x in _two_runs(spark, sf_dir)), "first", "second"))
 
 
 def _fenced(code: str, lang: str = "C") -> str:
@@ -305,6 +303,89 @@ def evaluate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", "category", "difficulty", "passed", "error", F.md5(F.encode("answer", "utf-8")).alias("answer_md5"))
 
 
+#: Tools that say what they were asked, without the folders of the check, and pass code that holds "the".
+_TOOL = """#!/bin/sh
+cat src/main.rs main.go prog.bpf.c 2>/dev/null | grep -q the && exit 0
+for a; do printf '%s ' "$(printf %s "$a" | sed 's,/[^ ]*/,,')"; done
+exit 1
+"""
+
+
+def compile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as code for one of the four compilers, for which tools stand that show their command lines."""
+    folder = runtime.local_path(runtime.scratch_path(spark, "tools"))
+    for name in ("cargo", "go", "clang"):
+        os.makedirs(f"{folder}/bin", exist_ok=True)
+        with open(f"{folder}/bin/{name}", "w") as f:
+            f.write(_TOOL)
+        os.chmod(f"{folder}/bin/{name}", 0o755)
+    for name in ("aya_kernel/.cargo/config.toml", "aya_kernel/Cargo.toml", "aya_user/Cargo.toml"):
+        os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
+        open(f"{folder}/{name}", "w").close()
+    rows = table(spark, sf_dir, "documents").where("text is not null")
+    none = {c: F.lit("") for c in ("difficulty", "prompt")} | {"check": F.lit("compile"), "keywords": F.lit(None).cast("array<string>"), "latency_s": F.lit(0.0)}
+    answers = rows.select(_id().alias("id"), _pick(list(compiling.COMMANDS), F.col("doc_id")).alias("category"), F.col("text").alias("answer")).withColumns(none)
+    got = evaluate.checked(answers, compiling.compilers(folder, f"{folder}/bin"), log=f"{folder}/log")
+    return got.select("id", "category", "passed", F.regexp_replace(F.regexp_replace("error", "corpusloom-build-[0-9a-f]+", "target"), r"-Itmp\w+", "-I").alias("error"))
+
+
+def endpoint_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the prompt of a chunk, asked over HTTP: a server on the driver answers with what it was sent, and is broken for some."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self) -> None:
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            n = len(body["messages"][1]["content"])
+            said = f"<think>{n}</think> {self.path} {body['model']} {body['temperature']} {body['max_tokens']} {body['messages'][0]['content']}: {n} characters"
+            self.send_response(500 if n % 5 == 0 else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": said}}]}).encode())
+
+        def log_message(self, *_: object) -> None:
+            pass
+
+    server = ThreadingHTTPServer(("", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        ask = endpoint.chat(f"http://{spark.conf.get('spark.driver.host')}:{server.server_port}/v1", "some-model", tokens=7)
+        got = runtime.written(generate.generated(_prompts(spark, sf_dir), ask, "as a test", tries=1, delay=0), "answers")
+    finally:
+        server.shutdown()
+    return got.select("id", "prompt_no", "style", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"), _id().alias("id"), *(F.lit("").alias(c) for c in ("category", "difficulty", "error", "answer")), F.lit(0.5).alias("latency_s"), "quality", "toxic", "doc_id")
+    return rows.where("doc_id % 7 <> 3").withColumn("passed", F.col("quality") == 1), rows.where("doc_id % 5 <> 1").withColumn("passed", F.col("toxic") == 0)
+
+
+def compare_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compare command over two run documents, and the report it writes."""
+    from corpusloom import cli
+
+    root = runtime.scratch_path(spark, "commands")
+    for tag, rows in zip(("first", "second"), _two_runs(spark, sf_dir)):
+        jsonl.write_run(rows, f"{root}/{tag}.json", tag, "m")
+    cli.main(["compare", f"{root}/first.json", f"{root}/second.json", "--out", f"{root}/report.txt"])
+    return lines.numbered(spark, f"{root}/report.txt").select(F.col("line").cast("int").alias("line_no"), F.col("value").alias("line"))
+
+
+def evaluate_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluate command over a problem for each document, answered by itself; the results of its run document."""
+    from corpusloom import cli
+
+    root = runtime.scratch_path(spark, "commands")
+    rows = table(spark, sf_dir, "documents").where("text is not null").orderBy("doc_id")
+    problems = rows.select(_id().alias("id"), F.coalesce("lang", F.lit("none")).alias("category"), F.lit("easy").alias("difficulty"), F.lit("keywords").alias("check"), F.col("text").alias("prompt"), F.array().cast("array<string>").alias("concepts"), F.array(*map(F.lit, ("the", "of", "und", "que"))).alias("keywords"))
+    joined.write(problems.select(F.to_json(F.struct("*"))), f"{root}/problems.jsonl")
+    cli.main(["evaluate", "--tag", "t", "--problems", f"{root}/problems.jsonl", "--out", f"{root}/out", "--log", f"{root}/log"], lambda system, message, temperature: message)
+    got = jsonl.read_run(spark, f"{root}/out/t_results.json")
+    return got.select("tag", "seq", "id", "category", "passed", "error", F.md5(F.encode("answer", "utf-8")).alias("answer_md5"))
+
+
 def fixed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as the comment of a C and a Go answer that lacks or has what it uses; fixed by the table of rules."""
     i, line = F.col("doc_id"), _line(marks="()._/")
@@ -412,6 +493,13 @@ def oracle_sql() -> dict[str, str]:
     UNION ALL {c('c')} UNION ALL {c('h')}
     UNION ALL SELECT {chunk("'Run' || n", 'source', 'go', 'doc_code', "'Run' || n", stripped, 1, go_code)} FROM {of('go')}
     UNION ALL SELECT {chunk("''", 'source', 'python', 'raw_code', "'d' || n", "''", 1, "left('b = BPF(text=''x'')' || chr(10) || text, 3000)")} FROM {of('py')}""",
+        "compile_checks": f"""WITH d AS (SELECT doc_id, text, contains(text, 'the') AS ok FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id::varchar AS id, {pick(list(compiling.COMMANDS), 'doc_id')} AS category, ok AS passed, CASE WHEN ok THEN '' ELSE {pick([' '.join([*(re.sub('/[^ ]*/', '', x.replace('{dir}', '/x').replace('{target}', 'target')) if x not in ('-I{dir}', '{dir}/prog.bpf.c', '{dir}/prog.o') else {'-I{dir}': '-I', '{dir}/prog.bpf.c': 'prog.bpf.c', '{dir}/prog.o': 'prog.o'}[x] for x in c[1:])]) + ' ' for c in compiling.COMMANDS.values()], 'doc_id')} END AS error FROM d""",
+        "endpoint_answers": f"WITH {ask}, e AS (SELECT id, prompt_no, style, k, n % 5 = 0 AS bad, '/v1/chat/completions some-model ' || t || ' 7 as a test: ' || n || ' characters' AS answer FROM told), u AS (SELECT *, coalesce(sum(bad::INT) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS failed FROM e) SELECT id, prompt_no, style, CASE WHEN bad THEN '' ELSE answer END AS answer, CASE WHEN bad THEN 'HTTP Error 500: Internal Server Error' ELSE '' END AS error FROM u WHERE failed = 0",
+        "evaluate_command": """WITH p AS (SELECT doc_id, text, coalesce(lang, 'none') AS category, ['the', 'of', 'und', 'que'] AS words, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT *, list_filter(words, lambda w: contains(lower(b), w)) AS found, list_filter(words, lambda w: NOT contains(lower(b), w)) AS missing FROM p)
+    SELECT 't' AS tag, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS seq, doc_id::varchar AS id, category, len(found) >= 3 AS passed,
+      'Found ' || len(found) || '/4 keywords. Missing: [' || array_to_string(list_transform(missing, lambda w: chr(39) || w || chr(39)), ', ') || ']' AS error, md5(left(b, 2000)) AS answer_md5 FROM k""",
         "fixed_answers": f"""WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS two, doc_id % 3 = 0 AS three, doc_id % 5 = 0 AS five, {one('()._/')} AS line FROM documents WHERE text IS NOT NULL),
     c AS (SELECT doc_id, 'c' AS lang, CASE WHEN two THEN '#include <vmlinux.h>' || chr(10) ELSE '' END || CASE WHEN five OR three THEN '#include <bpf/bpf_endian.h>' || chr(10) ELSE '' END || '// ' || line || chr(10) || CASE WHEN three THEN 'int x = bpf_htons(1);' ELSE 'int x;' END || chr(10) AS code FROM d),
     g AS (SELECT doc_id, 'go' AS lang, 'package main' || chr(10) || CASE WHEN two THEN 'import (' || chr(10) || CASE WHEN five THEN chr(9) || '"github.com/cilium/ebpf/link"' || chr(10) ELSE '' END || CASE WHEN three THEN chr(9) || '"fmt"' || chr(10) ELSE '' END || chr(9) || '"x/y"' || chr(10) || ')' || chr(10)
@@ -429,4 +517,4 @@ def oracle_sql() -> dict[str, str]:
     CASE category WHEN 'aya_user' THEN CASE WHEN strlen(answer) > 400 THEN '' ELSE 'small' || chr(10) END WHEN 'raises' THEN 'ERROR: ' || length(answer) || ' characters' WHEN 'late' THEN 'TIMEOUT: compilation exceeded limit' WHEN 'lost' THEN 'Unknown category: lost'
       ELSE 'Found ' || len(found) || '/' || len(words) || ' keywords. Missing: [' || array_to_string(list_transform(missing, lambda w: '''' || w || ''''), ', ') || ']' END AS error, md5(left(answer, 2000)) AS answer_md5 FROM k""",
     }
-    return sql | {"code_chunks_sql": sql["code_chunks"]}
+    return sql | {"code_chunks_sql": sql["code_chunks"], "compare_command": sql["comparison_report"]}
