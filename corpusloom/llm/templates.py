@@ -2,12 +2,14 @@
 
 Words of a line that hold a digit become a wildcard (unless all of them do: such a line stands for itself alone). The
 tree has a fixed depth: number of words, then the first DEPTH words; its leaves are groups of lines. A leaf holds as
-many templates as it has families of lines. In each of ROUNDS rounds, every group of lines does one of two things.
-If AGREE of the places behind the leading words or more (but not all) are fixed, it has a template: a place is fixed
-if FIXED of the group's lines or more (a line counts once in a text) have the same word there, of equally frequent
-words the one with the larger hash. The lines with the fixed words belong to the template, all others stay a group for
-the next round. If too few places are fixed, the group is split at the place where most of its lines have a word that
-min_docs lines share: by these words, and one group of the rest. What no round puts into a template is its own.
+many templates as it has families of lines. In a round, every group of lines does one of two things. If AGREE of the
+places behind the leading words or more (but not all) are fixed, and the fixed words together fit PEELED of its lines or
+more, it has a template: a place is fixed if FIXED of the group's lines or more (a line counts once in a text) have the
+same word there, of equally frequent words the one with the larger hash. The lines with the fixed words belong to the
+template, all others stay a group for the next round. Otherwise, so also where equally frequent families would mix their
+words, the group is split at the place where most of its lines have a word that min_docs lines share: by these words, and
+one group of the rest. Rounds go on until no group can have a template or be split; as each takes a part of a group
+away, they end. What no round puts into a template is its own.
 
 A template that occurs in min_docs different texts or more recurs: its lines are dropped from all of them but the
 first (the smallest doc_id), so that copies of one text are no recurrence by themselves, and no line is lost
@@ -28,11 +30,11 @@ from pyspark.sql import functions as F
 
 from corpusloom import runtime
 
-#: Leading words in the tree, share of lines that fixes a place, share of fixed places behind them that makes a template.
-DEPTH, FIXED, AGREE = 3, 0.5, 0.5
+#: Leading words in the tree, share of lines that fixes a place, share of fixed places behind them that makes a template, share of lines that it must fit.
+DEPTH, FIXED, AGREE, PEELED = 3, 0.5, 0.5, 0.25
 MIN_DOCS, MIN_WORDS = 3, 3
-#: Rounds of templates and splits in a leaf; characters that make a line of few words long enough.
-ROUNDS, LONG = 4, 40
+#: Characters that make a line of few words long enough.
+LONG = 40
 #: Bytes of lost lines' numbers that may be broadcast.
 MOST_BROADCAST = 32_000_000
 WILD = "<*>"
@@ -71,38 +73,43 @@ def _rest(masked: str) -> Column:
     return F.transform(F.slice(F.split(masked, " "), DEPTH + 1, 1 << 30), lambda w: F.xxhash64(w))
 
 
-def families(texts: DataFrame, min_docs: int = MIN_DOCS, rounds: int = ROUNDS) -> DataFrame:
+def families(texts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """leaf, line, line2, family of the lines that belong to a template; texts: leaf, line, line2, rest (word hashes), n (texts with the line)."""
     left = texts.withColumn("node", F.col("leaf"))
+    columns = ["leaf", "line", "line2", "rest", "n", "node"]
     out = None
-    for turn in range(rounds):
+    while True:
         words = left.select("node", "n", F.posexplode("rest").alias("place", "word")).groupBy("node", "place", "word").agg(F.sum("n").alias("n"))
         often = F.sum(F.when(F.col("n") >= min_docs, F.col("n")).otherwise(0))
         places = words.groupBy("node", "place").agg(F.max(F.struct("n", "word")).alias("top"), F.sum("n").alias("all"), often.alias("often"), F.count("*").alias("kinds"))
         word = F.when(F.col("top.n") >= FIXED * F.col("all"), F.col("top.word"))
         # a place where all lines have one word splits nothing; of equal places, the first one
         split = F.max(F.when((F.col("kinds") > 1) & (F.col("top.n") >= min_docs), F.struct("often", (-F.col("place")).alias("at")))).alias("split")
-        nodes = places.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", word.alias("word")))), lambda x: x["word"]).alias("shape"), split)
+        shape = F.transform(F.array_sort(F.collect_list(F.struct("place", word.alias("word")))), lambda x: x["word"]).alias("shape")
+        nodes = places.groupBy("node").agg(shape, split, F.max("all").alias("all"))
         fixed = F.size(F.filter("shape", lambda x: x.isNotNull()))
         good = (fixed >= AGREE * F.size("shape")) & (fixed < F.size("shape"))
-        nodes = runtime.written(nodes.select("node", good.alias("good"), F.when(good, F.col("shape")).alias("shape"), (-F.col("split.at")).alias("at")).where(F.col("good") | F.col("at").isNotNull()), "template-nodes")
-        fits = F.forall(F.zip_with("shape", "rest", lambda s, w: s.isNull() | (s == w)), lambda x: x)
-        met = left.join(runtime.sized(nodes), "node")
-        key = F.when(F.col("good"), F.lit(None).cast("long")).otherwise(F.element_at("rest", (F.col("at") + 1).cast("int")))
-        met = runtime.written(met.select("leaf", "line", "line2", "rest", "n", "node", "good", (F.col("good") & fits).alias("fits"), key.alias("key"), "at"), "template-lines")
-        own = met.where("fits").select("leaf", "line", "line2", F.col("node").alias("family"))
+        nodes = runtime.written(nodes.select("node", "all", F.when(good, F.col("shape")).alias("shape"), (-F.col("split.at")).alias("at")).where(good | F.col("split.at").isNotNull()), "template-nodes")
+        fits = F.coalesce(F.forall(F.zip_with("shape", "rest", lambda s, w: s.isNull() | (s == w)), lambda x: x), F.lit(False))
+        met = runtime.written(left.join(runtime.sized(nodes), "node").withColumn("fits", fits), "template-lines")
+        # a shape that mixes words of several families fits few lines or none: its group is split
+        held = met.groupBy("node").agg(F.sum(F.when(F.col("fits"), F.col("n")).otherwise(0)).alias("fit"), F.first("all").alias("all"), F.first("at").alias("at"))
+        enough = (F.col("fit") >= min_docs) & ((F.col("fit") >= PEELED * F.col("all")) | F.col("at").isNull())
+        held = runtime.written(held.select("node", enough.alias("good")), "template-fits")
+        met = met.join(runtime.sized(held), "node")
+        own = met.where("good and fits").select("leaf", "line", "line2", F.col("node").alias("family"))
         out = own if out is None else out.unionByName(own)
-        if turn == rounds - 1 or not met.where("not fits").limit(1).count():
-            break
-        counts = met.where("not good").groupBy("node", "key").agg(F.sum("n").alias("held")).where(F.col("held") >= min_docs)
+        parts = met.where("not good and at is not null").withColumn("key", F.element_at("rest", (F.col("at") + 1).cast("int")))
+        counts = parts.groupBy("node", "key").agg(F.sum("n").alias("held")).where(F.col("held") >= min_docs)
         again = met.where("good and not fits").withColumn("node", F.xxhash64("node", F.lit("rest")))
-        parted = met.where("not good").join(runtime.sized(runtime.written(counts, "template-splits")), ["node", "key"], "left")
+        parted = parts.join(runtime.sized(runtime.written(counts, "template-splits")), ["node", "key"], "left")
         parted = parted.withColumn("node", F.when(F.col("held").isNull(), F.xxhash64("node", F.lit("other"))).otherwise(F.xxhash64("node", "at", "key")))
-        columns = ["leaf", "line", "line2", "rest", "n", "node"]
         left = again.select(*columns).unionByName(parted.select(*columns))
         full = left.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where((F.col("kinds") > 1) & (F.col("all") >= min_docs)).select("node")
-        left = runtime.written(left.join(runtime.sized(runtime.written(full, "template-groups")), "node", "left_semi"), "template-left")
-    return out
+        full = runtime.written(full, "template-groups")
+        if not full.limit(1).count():
+            return out
+        left = runtime.written(left.join(runtime.sized(full), "node", "left_semi"), "template-left")
 
 
 def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
