@@ -46,7 +46,7 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_OUT = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head"}
+_OUT = {"nav", "footer", "aside", "button", "select", "dialog", "menu", "head"}
 _OUT_NAMES = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended recommendations pagination pager widget login signup search skip toolbar complementary contentinfo".split())
 _COMMENT_NAMES = {"comment", "comments", "reply", "replies", "disqus"}
 #: Words that may follow such a name, and words that deny it (no-sidebar, page-with-widget, alert-free).
@@ -65,12 +65,19 @@ def called(words: list[str], names: set[str]) -> bool:
     return words[-1] in names or words[0] in names and all(w in names or w in _HOLDERS for w in words[1:])
 
 
+def only(words: list[str], names: set[str]) -> bool:
+    """Whether a class or id, as words, is one of the names by all its words: share-box is, lunch-menu is not."""
+    words = [w for w in words if len(w) > 1]
+    return called(words, names) and all(w in names or w in _HOLDERS for w in words)
+
+
 class Page:
     """Blocks (node, text) and the skeleton of one page."""
 
     def __init__(self, source: str):
         self.labels, self.parents, self.children = ["page"], [-1], [[]]
-        self.out, self.named, self.head, self.main, self.title = [False], [False], [False], [False], [False]
+        self.out, self.named, self.strict, self.form = [False], [False], [False], [False]
+        self.head, self.main, self.title = [False], [False], [False]
         blocks: list[tuple[int, str]] = []
         stack, open_, held, at, token, unclosed = [("page", 0)], Counter(), [], 0, _TOKEN, 0
 
@@ -133,8 +140,10 @@ class Page:
         n = len(self.labels)
         main = tag in ("article", "main") or tag == "div" and ["main"] in words and "role" in attributes
         plain = tag not in ("html", "body", "article", "main")
-        self.out.append(tag in _OUT or any(called(w, _COMMENT_NAMES) for w in words))
+        self.out.append(tag in _OUT or plain and any(called(w, _COMMENT_NAMES) for w in words))
         self.named.append(plain and any(called(w, _OUT_NAMES) for w in words))
+        self.strict.append(plain and any(only(w, _OUT_NAMES) for w in words))
+        self.form.append(tag == "form")
         self.head.append(tag == "header" or any(called(w, _HEAD_NAMES) for w in words))
         self.main.append(main)
         self.title.append(tag == "h1")
@@ -149,7 +158,7 @@ class Page:
         """Whether each block is left: not in what HTML or its names mark as no article."""
         count = len(self.labels)
         size, holds = [0] * count, [m or t for m, t in zip(self.main, self.title)]
-        out, head, main = list(self.out), list(self.head), list(self.main)
+        out, head, main = self._closed(blocks), list(self.head), list(self.main)
         for n in range(1, count):  # parents come first
             p = self.parents[n]
             out[n], head[n], main[n] = out[n] or out[p], head[n] or head[p], main[n] or main[p]
@@ -160,10 +169,25 @@ class Page:
             holds[self.parents[n]] |= holds[n]
         marked = any(m and size[n] and not out[n] for n, m in enumerate(self.main))
         for n in range(1, count):
-            out[n] = out[n] or out[self.parents[n]] or self.named[n] and not holds[n] and (marked or 2 * size[n] <= size[0])
+            # in an article, a name decides only as a whole: what merely ends with one stays, unless alignment finds it constant
+            inside = main[self.parents[n]]
+            name = self.strict[n] if inside else self.named[n]
+            out[n] = out[n] or out[self.parents[n]] or name and not holds[n] and (marked and not inside or 2 * size[n] <= size[0])
         heading = [re.match(r"h[1-6](?:\.|$)", x) is not None for x in self.labels]
         return [not out[n] and not (head[n] and not (heading[n] and main[n])) for n, _ in blocks]
 
+    def _closed(self, blocks: list[tuple[int, str]]) -> list[bool]:
+        """Which nodes HTML marks as no article; a form does not count if it holds an article, a title or half of the page's text, as one around the whole page does."""
+        out, size, holds = list(self.out), [0] * len(self.labels), [m or t for m, t in zip(self.main, self.title)]
+        for n, text in blocks:
+            size[n] += len(text)
+        for n in range(len(out) - 1, 0, -1):
+            size[self.parents[n]] += size[n]
+            holds[self.parents[n]] |= holds[n]
+        for n in range(1, len(out)):
+            out[n] = out[n] or self.form[n] and not holds[n] and 2 * size[n] < size[0]
+        return out
+
     def _finish(self, blocks: list[tuple[int, str]]) -> None:
         kept = [b for b, good in zip(blocks, self._content(blocks)) if good]
         place, depth = [0] * len(self.labels), [0] * len(self.labels)
