@@ -1,11 +1,12 @@
 """Exact top-k search by inner product: a ball tree per shard, branch and bound.
 
-Vectors are turned into integers floor(scale * x). Candidates are dealt into shards of bounded size by the hash of
-their id, each packed into one binary row; a ball tree is built where the shard is visited. Queries are packed into blocks of bounded size. Every
-block meets every shard (a stated query set against all rows, in blocks); within a task, a block takes its shards one
-after another, carrying each query's current kth score, so that later shards are pruned by what earlier ones found.
-Nodes are visited in the order of their bound q.c + |q| r; a node is left out only if its bound is below the kth score,
-so ties stay exact. The tasks' k best are merged by a window over k rows a task for each query.
+Vectors are turned into integers floor(scale * x). Candidates are dealt into shards of bounded size by a hash of the row.
+A shard's rows come into a task once; its ball tree is built once, and all queries (the stated query set against all
+rows) then pass through it a block at a time: only queries are copied, once for each shard. Before that, every query is
+scored against a bounded sample of rows; the kth score it finds there is its threshold in all shards, so that their
+trees are pruned from the start, by one score that all shards share. In a tree, a block carries each query's current kth
+score on. Nodes are visited in the order of their bound q.c + |q| r; a node is left out only if its bound is below the
+kth score, so ties stay exact. The shards' k best are merged by a window over at most k rows a shard for each query.
 
 Defined cases: a vector that is null, empty, or holds a null or non-finite component, and a row with a null id, takes
 no part; vectors of another length than the query's are no candidates of it; equal (id, vector) rows count once; a
@@ -22,8 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a shard, in a leaf, and queries in a block (expected numbers).
-SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS = 4096, 128, 512
+from corpusloom import runtime
+
+#: Vectors in a shard (expected; and the least for which another is opened), in a leaf, queries in a block; rows of the sample that gives thresholds.
+SHARD_ROWS, LEAST_ROWS, LEAF_ROWS, BLOCK_ROWS, SAMPLE_ROWS = 32_768, 1024, 128, 512, 2048
+_LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 class BallTree:
@@ -86,59 +90,83 @@ class BallTree:
                 scores[rows], ids[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
 
 
-def _packed(rows: DataFrame, groups: int, dim: str, name: str) -> DataFrame:
-    """One row (dim, name, ids, vectors) per group and vector length: little-endian 64-bit integers."""
+def integers(rows: DataFrame, ident: str, vector: str, scale: int) -> DataFrame:
+    """Rows that take part, once each: i long, v array<long>."""
+    x = rows.select(F.col(ident).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("x")).where("i is not null and x is not null and size(x) > 0")
+    x = x.where(~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
+    return x.select("i", F.transform("x", lambda e: F.floor(e * scale).cast("long")).alias("v")).distinct()
+
+
+def _vectors(b: pa.RecordBatch, dim: int) -> np.ndarray:
+    return np.array(b.column("v").flatten().to_numpy(zero_copy_only=False), np.int64).reshape(-1, dim)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Each batch cut where one of its first columns changes."""
+    for b in batches:
+        at = np.stack([b.column(c).to_numpy() for c in range(keys)])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            if end > start:
+                yield tuple(at[:, start].tolist()), b.slice(start, end - start)
 
-    def pack(t: pa.Table) -> pa.Table:
-        ids = t.column("i").to_numpy()
-        vectors = np.array(t.column("v").combine_chunks().values.to_numpy(zero_copy_only=False), np.int64) if len(t) else np.zeros(0, np.int64)
-        order = np.argsort(ids, kind="stable")
-        d = t.column(dim)[0].as_py()
-        return pa.table({dim: pa.array([d], pa.int32()), name: pa.array([t.column(name)[0].as_py()], pa.int32()), name + "_ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), name + "_vectors": pa.array([vectors.reshape(len(ids), d)[order].astype("<i8").tobytes()], pa.binary())})
 
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("i"), F.lit(groups)).cast("int"))
-    return dealt.groupBy(dim, name).applyInArrow(pack, f"{dim} int, {name} int, {name}_ids binary, {name}_vectors binary")
+def _thresholds(asked: DataFrame, sample: list, k: int) -> DataFrame:
+    """asked with low: the kth score of each query among a bounded sample of rows, or the least integer."""
+    by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim in {len(r["v"]) for r in sample}:
+        own = [r for r in sample if len(r["v"]) == dim]
+        by_dim[dim] = np.array([r["i"] for r in own], np.int64), np.array([r["v"] for r in own], np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (dim,), b in _runs(batches, 1):
+            ids, low = b.column("i").to_numpy(), np.full(b.num_rows, _LOW)
+            held, vectors = by_dim.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim), np.int64)))
+            q = _vectors(b, dim)
+            for start in range(0, len(ids) if len(held) > k else 0, BLOCK_ROWS):  # one of them may be the query itself
+                part = slice(start, start + BLOCK_ROWS)
+                scores = np.where(held == ids[part, None], _LOW, q[part] @ vectors.T)
+                low[part] = np.partition(scores, -k, axis=1)[:, -k]
+            yield pa.RecordBatch.from_arrays([b.column("dim"), b.column("i"), b.column("v"), pa.array(low)], ["dim", "i", "v", "low"])
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, ident: str = "vec_id", vector: str = "embedding", lanes: int | None = None) -> DataFrame:
+    return asked.select(F.size("v").alias("dim"), "i", "v").mapInArrow(run, "dim int, i long, v array<long>, low long")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, ident: str = "vec_id", vector: str = "embedding", shards: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best among all other rows."""
     spark = vectors.sparkSession
-
-    def whole(df: DataFrame) -> DataFrame:
-        x = df.select(F.col(ident).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("x")).where("i is not null and x is not null and size(x) > 0")
-        x = x.where(~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
-        return x.select("i", F.transform("x", lambda e: F.floor(e * scale).cast("long")).alias("v")).distinct().withColumn("dim", F.size("v"))
-
-    rows, asked = whole(vectors), whole(queries)
-    n, m = rows.count(), asked.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_ROWS))
-    lanes = lanes or max(1, min(-(-shards // 4), -(-4 * spark.sparkContext.defaultParallelism // blocks)))
-    trees = _packed(rows, shards, "dim", "shard").withColumn("lane", F.pmod(F.xxhash64("shard"), F.lit(lanes)))
-    lists = _packed(asked, blocks, "dim", "block").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    pairs = lists.join(trees, ["dim", "lane"])
-
-    def search(t: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
-        for b in t:
-            for r in b.to_pylist():
-                d = r["dim"]
-                key = (d, r["block"], r["lane"])
-                if own is None or own[0] != key:
-                    if own is not None:
-                        yield from out(own)
-                    q_ids = np.frombuffer(r["block_ids"], "<i8")
-                    best = np.full((len(q_ids), k), np.iinfo(np.int64).min), np.full((len(q_ids), k), np.iinfo(np.int64).max)
-                    own = key, q_ids, np.frombuffer(r["block_vectors"], "<i8").reshape(-1, d), best
-                tree = BallTree(np.frombuffer(r["shard_ids"], "<i8"), np.frombuffer(r["shard_vectors"], "<i8").reshape(-1, d))
-                tree.search(own[1], own[2], k, own[3])
-        if own is not None:
-            yield from out(own)
-
-    def out(own: tuple) -> Iterator[pa.RecordBatch]:
-        _, q_ids, _, (scores, ids) = own
-        real = ids != np.iinfo(np.int64).max
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids[:, None], ids.shape)[real]), pa.array(ids[real]), pa.array(scores[real])], ["query_id", "vec_id", "score"])
-
-    found = pairs.repartition(max(blocks * lanes, 1), "dim", "block", "lane").sortWithinPartitions("dim", "block", "lane", "shard").mapInArrow(search, "query_id long, vec_id long, score long")
+    rows, asked = runtime.written(integers(vectors, ident, vector, scale), "vectors"), integers(queries, ident, vector, scale)
+    n = rows.count()
+    shards = shards or max(1, -(-n // SHARD_ROWS), min(-(-n // LEAST_ROWS), spark.sparkContext.defaultParallelism))
+    sample = rows.orderBy(F.xxhash64("i", "v")).limit(SAMPLE_ROWS).collect() if n > SAMPLE_ROWS else []
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, tree = None, [], None
+        for (shard, dim, kind), b in _runs(batches, 3):
+            if at != (shard, dim):
+                at, held, tree = (shard, dim), [], None
+            if kind == 0:
+                held.append((b.column("i").to_numpy(), _vectors(b, dim)))
+                continue
+            if not held:
+                continue
+            if tree is None:
+                tree = BallTree(*(np.concatenate(x) for x in zip(*held)))
+                held = [()]
+            for start in range(0, b.num_rows, BLOCK_ROWS):
+                part = b.slice(start, BLOCK_ROWS)
+                q_ids, low = part.column("i").to_numpy(), part.column("low").to_numpy()
+                # ties with the threshold may still be among the k best, so places are filled with what lies just below it
+                scores = np.repeat(np.maximum(low, _LOW + 1)[:, None] - 1, k, 1)
+                ids = np.full((len(q_ids), k), _HIGH)
+                tree.search(q_ids, _vectors(part, dim), k, (scores, ids))
+                real = (ids != _HIGH) & (scores >= low[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids[:, None], ids.shape)[real]), pa.array(ids[real]), pa.array(scores[real])], ["query_id", "vec_id", "score"])
+
+    shard = F.pmod(F.xxhash64("i", "v"), F.lit(shards)).cast("int").alias("shard")
+    stored = rows.select(shard, F.size("v").alias("dim"), F.lit(0).alias("kind"), "i", "v", F.lit(0).cast("long").alias("low"))
+    copies = _thresholds(asked, sample, k).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", F.lit(1).alias("kind"), "i", "v", "low")
+    dealt = stored.unionByName(copies).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "dim", "kind")
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

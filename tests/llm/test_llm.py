@@ -152,13 +152,16 @@ def test_token_ids(spark, edges, none):
     assert token_ids.encoded(none, path).count() == 0
 
 
-def test_topk_is_brute_force(spark):
+@pytest.mark.parametrize("sampled", [False, True])
+def test_topk_is_brute_force(spark, monkeypatch, sampled):
     draw = np.random.default_rng(4)
     vectors = [(i, draw.integers(-4, 5, 6).astype(float).tolist()) for i in range(700)]
     rows = [*vectors, (700, None), (800, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (900, [float("nan")] * 6), (1000, [float("inf")] * 6), (1100, []), (1200, [1.0] * 3), (1300, [2.0] * 3), vectors[100], (None, [1.0] * 6)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
     queries = df.where("vec_id % 100 = 0")
-    got = topk.top_k(df, queries, k=5, scale=1, lanes=2).collect()
+    if sampled:  # thresholds from a sample, over several shards
+        monkeypatch.setattr(topk, "SAMPLE_ROWS", 40)
+    got = topk.top_k(df, queries, k=5, scale=1, shards=3).collect()
     found = {}
     for r in got:
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -171,6 +174,24 @@ def test_topk_is_brute_force(spark):
     assert topk.top_k(df.limit(0), queries.limit(0)).count() == 0
 
 
+def test_a_tree_is_built_once_for_each_shard(spark, tmp_path, monkeypatch):
+    """However many blocks of queries there are; and a shard's rows are shuffled once."""
+    built = topk.BallTree.__init__
+
+    def noted(self, *args):
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).write_text("")
+        built(self, *args)
+
+    monkeypatch.setattr(topk.BallTree, "__init__", noted)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    draw = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, draw.normal(size=4).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    rows = topk.top_k(df, df, k=3, scale=256, shards=4)
+    assert rows.count() == 1800 and len(list(tmp_path.iterdir())) == 4
+
+
 def test_ball_tree_prunes_and_stays_exact():
     draw = np.random.default_rng(5)
     v = draw.integers(-1000, 1000, (3000, 8))
