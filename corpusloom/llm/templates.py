@@ -8,8 +8,7 @@ more, it has a template: a place is fixed if FIXED of the group's lines or more
 same word there, of equally frequent words the one with the larger hash. The lines with the fixed words belong to the
 template, all others stay a group for the next round. Otherwise, so also where equally frequent families would mix their
 words, the group is split at the place where most of its lines have a word that min_docs lines share: by these words, and
-one group of the rest. Rounds go on until no group can have a template or be split; as each takes a part of a group
-away, they end. What no round puts into a template is its own.
+one group of the rest. There are ROUNDS rounds at most; what none of them puts into a template is its own.
 
 A template that occurs in min_docs different texts or more recurs: its lines are dropped from all of them but the
 first (the smallest doc_id), so that copies of one text are no recurrence by themselves, and no line is lost
@@ -33,8 +32,8 @@ from corpusloom import runtime
 #: Leading words in the tree, share of lines that fixes a place, share of fixed places behind them that makes a template, share of lines that it must fit.
 DEPTH, FIXED, AGREE, PEELED = 3, 0.5, 0.5, 0.25
 MIN_DOCS, MIN_WORDS = 3, 3
-#: Characters that make a line of few words long enough.
-LONG = 40
+#: Rounds of templates and splits in a leaf; characters that make a line of few words long enough.
+ROUNDS, LONG = 4, 40
 #: Bytes of lost lines' numbers that may be broadcast.
 MOST_BROADCAST = 32_000_000
 WILD = "<*>"
@@ -73,12 +72,12 @@ def _rest(masked: str) -> Column:
     return F.transform(F.slice(F.split(masked, " "), DEPTH + 1, 1 << 30), lambda w: F.xxhash64(w))
 
 
-def families(texts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def families(texts: DataFrame, min_docs: int = MIN_DOCS, rounds: int = ROUNDS) -> DataFrame:
     """leaf, line, line2, family of the lines that belong to a template; texts: leaf, line, line2, rest (word hashes), n (texts with the line)."""
     left = texts.withColumn("node", F.col("leaf"))
     columns = ["leaf", "line", "line2", "rest", "n", "node"]
     out = None
-    while True:
+    for turn in range(rounds):
         words = left.select("node", "n", F.posexplode("rest").alias("place", "word")).groupBy("node", "place", "word").agg(F.sum("n").alias("n"))
         often = F.sum(F.when(F.col("n") >= min_docs, F.col("n")).otherwise(0))
         places = words.groupBy("node", "place").agg(F.max(F.struct("n", "word")).alias("top"), F.sum("n").alias("all"), often.alias("often"), F.count("*").alias("kinds"))
@@ -99,6 +98,8 @@ def families(texts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         met = met.join(runtime.sized(held), "node")
         own = met.where("good and fits").select("leaf", "line", "line2", F.col("node").alias("family"))
         out = own if out is None else out.unionByName(own)
+        if turn == rounds - 1:
+            break
         parts = met.where("not good and at is not null").withColumn("key", F.element_at("rest", (F.col("at") + 1).cast("int")))
         counts = parts.groupBy("node", "key").agg(F.sum("n").alias("held")).where(F.col("held") >= min_docs)
         again = met.where("good and not fits").withColumn("node", F.xxhash64("node", F.lit("rest")))
@@ -108,8 +109,9 @@ def families(texts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         full = left.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where((F.col("kinds") > 1) & (F.col("all") >= min_docs)).select("node")
         full = runtime.written(full, "template-groups")
         if not full.limit(1).count():
-            return out
+            break
         left = runtime.written(left.join(runtime.sized(full), "node", "left_semi"), "template-left")
+    return out
 
 
 def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:

@@ -75,7 +75,7 @@ def brute(rows, min_docs=3):
     family = {}
     for leaf, group in leaves.items():
         groups = {leaf: group} if leaf[0] > 3 else {}
-        while groups:
+        for _ in range(4):
             after = defaultdict(list)
             for node, own in groups.items():
                 if len(own) < 2 or sum(len(seen[x]) for x in own) < min_docs:
