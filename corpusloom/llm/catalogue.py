@@ -127,8 +127,10 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def langid_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op8's rows: ids, folds, ranges, texts without letters, and that languages are learned ones."""
+    from corpusloom.llm import langid
+
     known = table(spark, sf_dir, "documents").select("lang").where("lang is not null").distinct()
-    got = op8_langid(spark, sf_dir).join(F.broadcast(known.limit(1000).select(F.col("lang").alias("lang_pred"), F.lit(True).alias("known"))), "lang_pred", "left")
+    got = op8_langid(spark, sf_dir).join(F.broadcast(known.limit(langid.MOST_LANGUAGES + 1).select(F.col("lang").alias("lang_pred"), F.lit(True).alias("known"))), "lang_pred", "left")
     return got.select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("und"), F.coalesce("known", F.lit(False)).alias("known"), F.col("score").between(0, 1).alias("in_range"))
 
 
