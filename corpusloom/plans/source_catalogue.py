@@ -116,6 +116,21 @@ def jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.read_strict(spark, path, _TURN, role="user")
 
 
+def jsonl_strict_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict reader over all turns, without and with broken lines among them: rows read, or the error's condition."""
+    whole = runtime.scratch_path(spark, "jsonl")
+    jsonl.write(table(spark, sf_dir, "conversations"), whole)
+    out = []
+    for name, path in (("whole", whole), ("broken", _broken(spark, sf_dir))):
+        for numbered in (False, True):
+            try:
+                read = jsonl.read_strict(spark, path, _TURN, numbered).agg(F.count("text").alias("n"), F.sum(F.length("text")).alias("size")).first()
+                out.append((name, numbered, read["n"], read["size"], ""))
+            except Exception as e:
+                out.append((name, numbered, 0, 0, "malformed" if "malformed" in str(e).lower() else str(e)))
+    return spark.createDataFrame(out, "name string, numbered boolean, n long, size long, error string")
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     passed = F.col("quality") == 1
@@ -203,6 +218,14 @@ def _code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def rust_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the comment of a struct, a trait and an undocumented function, which counts only where nothing is documented: in every third file."""
+    line, n = _line(marks="{}/*()"), _id()
+    bare = F.concat(F.lit("use aya::x;\npub fn bare_"), n, F.lit("(a: u32) { let b = { a + 1 }; drop(b); }\n"))
+    items = F.concat(F.lit("use aya::x;\n/// "), line, F.lit("\npub struct S_"), n, F.lit(" { first: u32, second: Option<u64> }\n/// Does it.\npub(crate) trait T_"), n, F.lit(" { fn go(&self) -> u32 { 1 } }\n"), bare)
+    return _chunks_of(_as_files(spark, sf_dir, "rs", F.when(F.col("doc_id") % 3 == 0, bare).otherwise(items)))
+
+
 def code_chunks_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code_chunks by the table function: a LATERAL join in SQL, with C headers read by an argument's parser."""
     tables.register(spark)
@@ -466,6 +489,7 @@ def oracle_sql() -> dict[str, str]:
         "jsonl_numbers": """WITH l AS (SELECT doc_id, list_concat(['{"a": 1}', ' '], string_split(regexp_replace(coalesce(text, ''), '[\\r\\x0B\\x0C]', ' ', 'g'), chr(10)), ['{"doc_id":' || doc_id || '}']) AS l FROM documents),
     u AS (SELECT doc_id, len(l) AS n, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM l), f AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) - 1 AS line FROM u)
     SELECT line, CASE WHEN i = n THEN doc_id ELSE -1 END AS doc_id, CASE WHEN i = 1 THEN 1 ELSE 0 END AS a, md5(CASE WHEN i IN (1, n) THEN '' ELSE v END) AS malformed_md5 FROM f WHERE regexp_replace(v, '^[\\x20\\x09-\\x0D]+', '') <> ''""",
+        "jsonl_strict_error": "WITH c AS (SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS size FROM conversations), b AS (SELECT unnest([false, true]) AS numbered) SELECT 'whole' AS name, numbered, n, size, '' AS error FROM c, b UNION ALL SELECT 'broken', numbered, 0, 0, 'malformed' FROM b",
         "jsonl_silent": f"SELECT {turn} FROM conversations",
         "jsonl_strict": f"SELECT {turn} FROM conversations WHERE role = 'user'",
         "run_roundtrip": f"WITH {results} SELECT 't1' AS tag, 'm' AS model, CAST(count(*) OVER () AS INT) AS total, CAST(count(*) FILTER (passed) OVER () AS INT) AS n_passed, CAST(row_number() OVER (ORDER BY seq) - 1 AS INT) AS place, id, category, difficulty, passed, md5(error) AS error_md5, latency_s, md5(answer) AS answer_md5 FROM r",
@@ -505,6 +529,10 @@ def oracle_sql() -> dict[str, str]:
     g AS (SELECT doc_id, 'go' AS lang, 'package main' || chr(10) || CASE WHEN two THEN 'import (' || chr(10) || CASE WHEN five THEN chr(9) || '"github.com/cilium/ebpf/link"' || chr(10) ELSE '' END || CASE WHEN three THEN chr(9) || '"fmt"' || chr(10) ELSE '' END || chr(9) || '"x/y"' || chr(10) || ')' || chr(10)
       ELSE CASE WHEN five THEN 'import "github.com/cilium/ebpf/link"' || chr(10) ELSE '' END || CASE WHEN three THEN 'import "fmt"' || chr(10) ELSE '' END END || '// ' || line || chr(10) || CASE WHEN three THEN 'var a = fmt.Sprint(1)' || chr(10) ELSE '' END || CASE WHEN five THEN 'var l = link.Kprobe' || chr(10) ELSE '' END AS code FROM d)
     SELECT doc_id, lang, md5(code) AS code_md5 FROM (SELECT * FROM c UNION ALL SELECT * FROM g)""",
+        "rust_items": f"""WITH docs AS (SELECT doc_id, doc_id::varchar AS n, 'd' || doc_id || '.rs' AS path, {line} AS line FROM documents WHERE text IS NOT NULL)
+    SELECT {chunk("'bare_' || n", 'source', 'rust', 'raw_code', "'bare_' || n", "''", 1, "'pub fn bare_' || n || '(' || chr(10) || '{ let b = { a + 1 }; drop(b); }'")} FROM docs WHERE doc_id % 3 = 0
+    UNION ALL SELECT {chunk("'S_' || n", 'source', 'rust', 'doc_code', "'S_' || n", stripped, 1, "'struct S_' || n || ' {' || chr(10) || '{ first: u32, second: Option<u64> }'")} FROM docs WHERE doc_id % 3 <> 0
+    UNION ALL SELECT {chunk("'T_' || n", 'source', 'rust', 'doc_code', "'T_' || n", "'Does it.'", 1, "'trait T_' || n || ' {' || chr(10) || '{ fn go(&self) -> u32 { 1 } }'")} FROM docs WHERE doc_id % 3 <> 0""",
         "gate_filter": f"WITH f AS (SELECT doc_id, doc_id % 2 = 0 AS include_md, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') || {pick(_SIGNS, 'doc_id')} AS t, unnest({_list(list(signals.GATES))}) AS suffix FROM documents WHERE text IS NOT NULL) SELECT doc_id, suffix FROM f WHERE {gates}",
         "chunk_report": "SELECT CAST(row_number() OVER (ORDER BY n DESC, source) - 1 AS INT) AS line_no, format('  {:<30} {:>6}', source, n) AS line FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)",
         "retry_calls": f"WITH {ask} SELECT id, prompt_no, style, CASE WHEN error = '' THEN n || ' characters were asked at ' || t || ', tell I as a test' ELSE '' END AS answer, error FROM upto WHERE failed = 0",
