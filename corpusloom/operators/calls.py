@@ -1,13 +1,17 @@
 """Calls to an outside service for each row, bounded over all tasks, and logged so that a repeated task asks only for the rest.
 
 Rows are dealt into buckets by a hash of their content, and buckets to at most as many tasks as calls may run at once.
-After each wave of calls, a task writes what came back as a Parquet file into its bucket's folder of the log, by a
-rename. An attempt reads that folder before it asks: rows that an earlier attempt or an earlier run had answered are
-taken from there. A lost executor thus costs the wave that was in flight. The log can be read while a run goes on.
+After each wave of calls, a task adds what came back to a journal in its bucket's folder of the log; once a second, and
+at the bucket's end, it writes these rows as a Parquet file, by a rename, instead. An attempt reads that folder, journals
+included, before it asks: rows that an earlier attempt or an earlier run had answered are taken from there. A lost
+executor thus costs the wave that was in flight (where a store shows no file before it is closed, the waves of up to a
+second as well). The log can be read while a run goes on, but for that second.
 """
 
 from __future__ import annotations
 
+import contextlib
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -22,37 +26,83 @@ from corpusloom.sources.joined import filesystem
 
 #: Rows whose logged answers a task holds at once (expected).
 BUCKET_ROWS = 4096
-
-
-def _kept(log: str, bucket: int) -> dict[str, list[tuple]]:
-    """key -> the tuples that earlier attempts had for it."""
-    from pyarrow import fs
-    from pyarrow import parquet
-
-    store, folder = filesystem(f"{log}/bucket={bucket}")
-    found: dict[str, list[tuple]] = {}
-    for file in sorted(store.get_file_info(fs.FileSelector(folder, allow_not_found=True)), key=lambda f: f.path):
-        if not file.base_name.endswith(".parquet") or file.base_name.startswith("_"):
-            continue
-        own: dict[str, list[tuple]] = {}
-        for row in parquet.ParquetFile(store.open_input_file(file.path)).read().to_pylist():
-            own.setdefault(row.pop("call_key"), []).append(tuple(row.values()))
-        found = own | found  # the first answer counts
-    return found
-
-
-def _log(log: str, bucket: int, keys: list[str], got: list[list[tuple]], schema: pa.Schema) -> None:
-    from pyarrow import parquet
-
-    store, folder = filesystem(f"{log}/bucket={bucket}")
-    store.create_dir(folder, recursive=True)
-    name = f"{uuid.uuid4().hex}.parquet"
-    rows = [(k, *r) for k, x in zip(keys, got) for r in x]
-    columns = list(zip(*rows)) or [()] * (len(schema) + 1)
-    whole = pa.schema([("call_key", pa.string()), *schema])
-    with store.open_output_stream(f"{folder}/_{name}") as out:
-        parquet.write_table(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, whole)], schema=whole), out)
-    store.move(f"{folder}/_{name}", f"{folder}/{name}")
+#: Seconds of answers that stand in a journal only; rows that a task makes Python objects of, and sends on, at once.
+SETTLE_S, TAKEN = 1.0, 256
+
+
+def _grouped(t: pa.Table | pa.RecordBatch) -> dict[str, list[tuple]]:
+    own: dict[str, list[tuple]] = {}
+    for row in t.to_pylist():
+        own.setdefault(row.pop("call_key"), []).append(tuple(row.values()))
+    return own
+
+
+class _Bucket:
+    """A bucket's folder of the log: the tuples known for each key, and the journal of those that no Parquet file holds."""
+
+    def __init__(self, log: str, bucket: int, schema: pa.Schema):
+        self.number, self.schema = bucket, pa.schema([("call_key", pa.string()), *schema])
+        self.store, self.folder = filesystem(f"{log}/bucket={bucket}")
+        self.journal = None
+        while (found := self._read()) is None:
+            pass
+        self.known, self.open = found
+        self.since = time.monotonic()
+
+    def _read(self) -> tuple[dict[str, list[tuple]], dict[str, list[tuple]]] | None:
+        """What earlier attempts had, and that part of it that only their journals hold; None if a file went meanwhile."""
+        from pyarrow import fs, parquet
+
+        settled: dict[str, list[tuple]] = {}
+        journals: dict[str, list[tuple]] = {}
+        for file in sorted(self.store.get_file_info(fs.FileSelector(self.folder, allow_not_found=True)), key=lambda f: f.path):
+            try:
+                if file.base_name.endswith(".parquet") and not file.base_name.startswith("_"):
+                    settled = _grouped(parquet.ParquetFile(self.store.open_input_file(file.path)).read()) | settled  # the first answer counts
+                elif file.base_name.endswith(".journal"):
+                    with self.store.open_input_stream(file.path) as f, contextlib.suppress(pa.ArrowInvalid, OSError, StopIteration):  # its end may be torn
+                        waves = pa.ipc.open_stream(f)
+                        while True:
+                            journals = _grouped(waves.read_next_batch()) | journals
+            except FileNotFoundError:
+                return None
+        return journals | settled, {k: x for k, x in journals.items() if k not in settled}
+
+    def _columns(self, got: dict[str, list[tuple]]) -> list[pa.Array]:
+        rows = [(k, *r) for k, x in got.items() for r in x]
+        columns = list(zip(*rows)) or [()] * len(self.schema)
+        return [pa.array(list(c), f.type) for c, f in zip(columns, self.schema)]
+
+    def add(self, got: dict[str, list[tuple]]) -> None:
+        """Keep a wave's answers: in the journal, or with all that is open as a Parquet file, if the last one is SETTLE_S old."""
+        self.known |= got
+        self.open |= got
+        if time.monotonic() - self.since >= SETTLE_S:
+            return self.settle()
+        if self.journal is None:
+            self.store.create_dir(self.folder, recursive=True)
+            self.path = f"{self.folder}/_{uuid.uuid4().hex}.journal"
+            self.sink = self.store.open_output_stream(self.path)
+            self.journal = pa.ipc.new_stream(self.sink, self.schema)
+        self.journal.write_batch(pa.RecordBatch.from_arrays(self._columns(got), schema=self.schema))
+        self.sink.flush()
+
+    def settle(self) -> None:
+        from pyarrow import parquet
+
+        if self.open:
+            self.store.create_dir(self.folder, recursive=True)
+            name = f"{uuid.uuid4().hex}.parquet"
+            with self.store.open_output_stream(f"{self.folder}/_{name}") as out:
+                parquet.write_table(pa.table(self._columns(self.open), schema=self.schema), out)
+            self.store.move(f"{self.folder}/_{name}", f"{self.folder}/{name}")
+            self.open = {}
+        if self.journal is not None:
+            self.journal.close()
+            self.sink.close()
+            self.store.delete_file(self.path)
+            self.journal = None
+        self.since = time.monotonic()
 
 
 def called(rows: DataFrame, one: Callable[[dict], list[tuple]], schema: T.StructType | str, calls: int = 12, log: str | None = None, profile: ResourceProfile | None = None, n_rows: int | None = None) -> DataFrame:
@@ -70,24 +120,36 @@ def called(rows: DataFrame, one: Callable[[dict], list[tuple]], schema: T.Struct
     tasks = max(1, min(calls, spark.sparkContext.defaultParallelism))
     threads, buckets = max(1, calls // tasks), max(tasks, -(-(rows.count() if n_rows is None else n_rows) // BUCKET_ROWS)) if log else tasks
 
+    def sent(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known = None, {}
+        at, known, out = None, {}, []
         with ThreadPoolExecutor(threads) as pool:
-            for b in batches:
+            each = map if threads == 1 else pool.map
+            for b in (whole.slice(i, TAKEN) for whole in batches for i in range(0, whole.num_rows, TAKEN)):
                 wanted = list(zip(b.column("bucket").to_pylist(), b.column("call_key").to_pylist(), b.column("row").to_pylist()))
                 for start in range(0, len(wanted), threads):
                     wave = wanted[start : start + threads]
                     for bucket in dict.fromkeys(w[0] for w in wave):
                         own = [w for w in wave if w[0] == bucket]
-                        if log and bucket != at:
-                            at, known = bucket, _kept(log, bucket)
+                        if log and (at is None or bucket != at.number):
+                            if at:
+                                at.settle()
+                            at = _Bucket(log, bucket, arrow)
+                            known = at.known
                         new = [w for w in own if w[1] not in known]
-                        got = dict(zip((w[1] for w in new), pool.map(lambda w: one(w[2]), new)))
+                        got = dict(zip((w[1] for w in new), each(lambda w: one(w[2]), new)))
                         if log and new:
-                            _log(log, bucket, list(got), list(got.values()), arrow)
-                            known |= got
-                        out = [r for w in own for r in (got.get(w[1]) or known[w[1]])]
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                            at.add(got)
+                        out += [r for w in own for r in (got.get(w[1]) or known[w[1]])]
+                    if len(out) >= TAKEN:
+                        yield sent(out)
+                        out = []
+            if at:
+                at.settle()
+            if out:
+                yield sent(out)
 
     key = F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), 256)
     named = rows.select(F.struct("*").alias("row"), key.alias("call_key"))

@@ -328,8 +328,9 @@ def evaluate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Tools that say what they were asked, without the folders of the check, and pass code that holds "the".
 _TOOL = """#!/bin/sh
-cat src/main.rs main.go prog.bpf.c 2>/dev/null | grep -q the && exit 0
-for a; do printf '%s ' "$(printf %s "$a" | sed 's,/[^ ]*/,,')"; done
+[ "$1" = mod ] && exit 0
+grep -q the src/main.rs main.go prog.bpf.c 2>/dev/null && exit 0
+for a; do case $a in */*/*) a=${a%%/*}${a##*/};; esac; printf '%s ' "$a"; done
 exit 1
 """
 
