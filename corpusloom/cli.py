@@ -61,6 +61,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--category")
     x.add_argument("--templates", default="templates")
     x.add_argument("--out", default="results")
+    x.add_argument("--at-once", type=int, help="calls at once, over all tasks; as many as the session runs tasks, if not given; 1 leaves latencies undisturbed")
     x.add_argument("--log", help="folder for answers and checks as they come; a run that stopped goes on from it")
     x = sub.add_parser("compare", help="two runs")
     x.add_argument("runs", nargs=2)
@@ -95,7 +96,7 @@ def main(args: list[str] | None = None, provider: generate.Provider = generate.e
         equal = {"category": a.category} if a.category else {}
         problems = jsonl.read_strict(spark, a.problems, schemas.PROBLEM, numbered=True, **equal)
         logs = {x: f"{a.log.rstrip('/')}/{x}" if a.log else None for x in ("answers", "checks")}
-        asked = runtime.written(evaluate.asked(problems, provider, SYSTEM, log=logs["answers"]), "asked")
+        asked = runtime.written(evaluate.asked(problems, provider, SYSTEM, a.at_once, logs["answers"]), "asked")
         results = runtime.written(evaluate.checked(asked, compiling.compilers(a.templates), log=logs["checks"]), "results")
         jsonl.write_run(results, f"{a.out}/{a.tag}_results.json", a.tag, a.model_name)
         lines = reports.evaluation(results, a.tag, a.model_name)

@@ -34,10 +34,12 @@ def keyword_columns(answer: Column, keywords: Column) -> dict[str, Column]:
     return {"n_found": F.size(found), "n_required": need, "passed": F.size(found) >= need, "detail": detail}
 
 
-def asked(problems: DataFrame, provider: Callable[[str, str, float], str], system: str, at_once: int = 1, log: str | None = None) -> DataFrame:
+def asked(problems: DataFrame, provider: Callable[[str, str, float], str], system: str, at_once: int | None = None, log: str | None = None) -> DataFrame:
     """problems with answer (cleaned; "ERROR: ..." if the call failed) and latency_s (of the call alone).
 
-    at_once: calls over all tasks; one at a time does not disturb the latency. log: see calls.called.
+    at_once: calls over all tasks (as many as the session runs tasks, if not given); one at a time does not disturb the
+    latency, but takes all rows through one task. log: see calls.called. Write the result before it is read twice, as
+    asking again may give other answers.
     """
     names = problems.columns
 
@@ -49,7 +51,7 @@ def asked(problems: DataFrame, provider: Callable[[str, str, float], str], syste
             answer = f"ERROR: {e}"
         return [(*(row[n] for n in names), answer, time.time() - start)]
 
-    rows = calls.called(problems, one, T.StructType([*problems.schema.fields, T.StructField("answer", T.StringType()), T.StructField("latency_s", T.DoubleType())]), at_once, log)
+    rows = calls.called(problems, one, T.StructType([*problems.schema.fields, T.StructField("answer", T.StringType()), T.StructField("latency_s", T.DoubleType())]), at_once or problems.sparkSession.sparkContext.defaultParallelism, log)
     clean = F.when(F.col("answer").startswith("ERROR: "), F.col("answer")).otherwise(without_fences(without_thoughts("answer")))
     return rows.withColumn("answer", clean)
 

@@ -365,3 +365,15 @@ def test_checks_at_once_have_build_folders_of_their_own(tmp_path, monkeypatch):
         assert a != b
     with compiling.cache("t") as c:
         assert c == a
+
+
+def test_asking_takes_all_tasks(spark):
+    problems = spark.createDataFrame([(str(i), "p") for i in range(40)], "id string, prompt string")
+
+    def provider(system, message, temperature):
+        from pyspark import TaskContext
+
+        return str(TaskContext.get().partitionId())
+
+    assert evaluate.asked(problems, provider, "s").select("answer").distinct().count() > 1
+    assert evaluate.asked(problems, provider, "s", at_once=1).select("answer").distinct().count() == 1
