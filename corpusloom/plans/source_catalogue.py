@@ -321,7 +321,7 @@ def evaluate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise subprocess.TimeoutExpired("x", 1)
 
     program = compiling.command_checker(["sh", "-c", "test $(wc -c < src/main.rs) -gt 400 || { echo small; exit 1; }"], "src/main.rs")
-    asked = evaluate.asked(problems, provider, "s")
+    asked = runtime.written(evaluate.asked(problems, provider, "s"), "asked")  # it is read by both kinds of check
     got = evaluate.checked(asked, {"aya_user": program, "raises": raises, "late": late})
     return got.select("id", "category", "difficulty", "passed", "error", F.md5(F.encode("answer", "utf-8")).alias("answer_md5"))
 

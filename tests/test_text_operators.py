@@ -146,3 +146,14 @@ def test_failing_provider_is_an_answer(spark):
 
     problems = spark.createDataFrame([("c", "own", "easy", "compile", "p", None, None)], schemas.PROBLEM)
     assert evaluate.asked(problems, down, "s").first()["answer"] == "ERROR: no route"
+
+
+def test_evaluate_checks_asks_once(spark, monkeypatch):
+    """Two kinds of check read the answers, so these are written before."""
+    from corpusloom import runtime
+    from corpusloom.plans import source_catalogue
+
+    names, written = [], runtime.written
+    monkeypatch.setattr(runtime, "written", lambda df, name: names.append(name) or written(df, name))
+    assert source_catalogue.evaluate_checks(spark, "/root/testdata/sf0.001").count() > 100
+    assert names == ["asked"]
