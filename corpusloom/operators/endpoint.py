@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import urllib.request
 
 from corpusloom.operators.generate import Provider
 
@@ -15,6 +14,8 @@ def chat(url: str, model: str, key: str = "none", seconds: float = SECONDS, toke
     """A provider for url (the part before /chat/completions); an HTTP error, a time-out or an answer without text raises."""
 
     def provider(system: str, message: str, temperature: float) -> str:
+        import urllib.request  # here, as a worker that calls chat itself would not have it
+
         turns = [{"role": "system", "content": system}, {"role": "user", "content": message}]
         body = json.dumps({"model": model, "messages": turns, "temperature": temperature, "max_tokens": tokens}).encode()
         head = {"Content-Type": "application/json", "Authorization": f"Bearer {key}"}

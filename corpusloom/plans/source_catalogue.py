@@ -353,31 +353,56 @@ def compile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", "category", "passed", F.regexp_replace(F.regexp_replace("error", "corpusloom-build-[0-9a-f]+", "target"), r"-Itmp\w+", "-I").alias("error"))
 
 
+class _Echo:
+    """A provider that asks over HTTP a server of its own process, which starts with the first call and ends with the provider.
+
+    The server answers with what it was sent, and is broken for some.
+    """
+
+    def __init__(self) -> None:
+        import threading
+
+        self.server, self.lock = None, threading.Lock()
+
+    def __reduce__(self) -> tuple:
+        return _Echo, ()
+
+    def start(self) -> None:
+        import json
+        import threading
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+        class Server(BaseHTTPRequestHandler):
+            def do_POST(self) -> None:
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                n = len(body["messages"][1]["content"])
+                said = f"<think>{n}</think> {self.path} {body['model']} {body['temperature']} {body['max_tokens']} {body['messages'][0]['content']}: {n} characters"
+                self.send_response(500 if n % 5 == 0 else 200)
+                self.end_headers()
+                self.wfile.write(json.dumps({"choices": [{"message": {"content": said}}]}).encode())
+
+            def log_message(self, *_: object) -> None:
+                pass
+
+        server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        self.server = server
+
+    def __call__(self, system: str, message: str, temperature: float) -> str:
+        with self.lock:
+            if not self.server:
+                self.start()
+        return endpoint.chat(f"http://127.0.0.1:{self.server.server_port}/v1", "some-model", tokens=7)(system, message, temperature)
+
+    def __del__(self) -> None:
+        if self.server:
+            self.server.shutdown()
+            self.server.server_close()
+
+
 def endpoint_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as the prompt of a chunk, asked over HTTP: a server on the driver answers with what it was sent, and is broken for some."""
-    import json
-    import threading
-    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-
-    class Server(BaseHTTPRequestHandler):
-        def do_POST(self) -> None:
-            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-            n = len(body["messages"][1]["content"])
-            said = f"<think>{n}</think> {self.path} {body['model']} {body['temperature']} {body['max_tokens']} {body['messages'][0]['content']}: {n} characters"
-            self.send_response(500 if n % 5 == 0 else 200)
-            self.end_headers()
-            self.wfile.write(json.dumps({"choices": [{"message": {"content": said}}]}).encode())
-
-        def log_message(self, *_: object) -> None:
-            pass
-
-    server = ThreadingHTTPServer(("", 0), Server)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    try:
-        ask = endpoint.chat(f"http://{spark.conf.get('spark.driver.host')}:{server.server_port}/v1", "some-model", tokens=7)
-        got = runtime.written(generate.generated(_prompts(spark, sf_dir), ask, "as a test", tries=1, delay=0), "answers")
-    finally:
-        server.shutdown()
+    """Every document as the prompt of a chunk, asked over HTTP: each task has a server beside it, so that none answers for all."""
+    got = runtime.written(generate.generated(_prompts(spark, sf_dir), _Echo(), "as a test", threads=max(12, spark.sparkContext.defaultParallelism), tries=1, delay=0), "answers")
     return got.select("id", "prompt_no", "style", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("error", F.lit("")).alias("error"))
 
 

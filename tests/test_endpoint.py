@@ -52,3 +52,18 @@ def test_synthesise_resumes(spark, url, tmp_path):
     assert cli.main(args).split("\n") == ["Chunks pending : 4", "Samples        : 3", "Failures       : 1"]
     assert cli.main(args).split("\n") == ["Chunks pending : 1", "Samples        : 0", "Failures       : 1"]
     assert {r["source_chunk_id"] for r in spark.read.json(str(tmp_path / "samples")).collect()} == {"0", "1", "3"}
+
+
+def test_query_has_no_server_of_its_own_on_the_driver(spark, monkeypatch):
+    """Every worker answers its own calls; a server on the driver would be made in this process."""
+    import http.server
+
+    from corpusloom.plans import source_catalogue
+
+    def none(*_):
+        raise AssertionError("a server on the driver")
+
+    monkeypatch.setattr(http.server, "ThreadingHTTPServer", none)
+    rows = source_catalogue.endpoint_answers(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 100 and {r["error"] for r in rows} == {"", "HTTP Error 500: Internal Server Error"}
+    assert sum(r["error"] == "" for r in rows) > 100
