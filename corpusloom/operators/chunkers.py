@@ -21,6 +21,8 @@ from corpusloom.operators.dedup import first_per_key
 
 # Sizes in characters, and the patterns that find sections, snippets and declarations.
 LEAST_BODY, LEAST_CODE, MOST_SECTION = 80, 30, 4000
+#: Files that a task makes Python objects of at once, and characters of chunks that it sends on at once.
+RUN_FILES, RUN_CHARS = 64, 1_000_000
 BRACE_REACH, BRACE_REST, MOST_RAW, MOST_PYTHON = 2000, 600, 1200, 3000
 FENCE = re.compile(r"```(\w*)\n(.*?)```", re.DOTALL)
 HEADING = re.compile(r"^(#{1,4})\s+(.+)$", re.MULTILINE)
@@ -214,13 +216,18 @@ def chunked(files: DataFrame, parsers: dict[str, Callable[[str, str], Iterator[C
     kinds = [pa.list_(pa.string()) if f == "code" else pa.string() for f in fields] + [pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                for i, x in enumerate(parsers[r["suffix"]](r["text"], stem(r["path"]))):
-                    ident = hashlib.sha1(f"{r['repo']}:{r['path']}:{x.key}".encode("utf-8", "surrogatepass")).hexdigest()[:12]
-                    rows.append((ident, x.source, r["repo"], r["file"], x.lang, x.kind, x.title, x.body, list(x.code), r["path"], i))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [*fields, "path", "place"])
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [*fields, "path", "place"])
+        rows, size = [], 0
+        for r in (one for b in batches for i in range(0, b.num_rows, RUN_FILES) for one in b.slice(i, RUN_FILES).to_pylist()):
+            for i, x in enumerate(parsers[r["suffix"]](r["text"], stem(r["path"]))):
+                ident = hashlib.sha1(f"{r['repo']}:{r['path']}:{x.key}".encode("utf-8", "surrogatepass")).hexdigest()[:12]
+                rows.append((ident, x.source, r["repo"], r["file"], x.lang, x.kind, x.title, x.body, list(x.code), r["path"], i))
+                size += len(x.body) + sum(map(len, x.code))
+                if size >= RUN_CHARS:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
 
     found = routed(files, gates).select("repo", "path", "file", "suffix", "text").mapInArrow(run, f"{schemas.CHUNK}, path string, place long")
     seq = found.withColumn("seq", F.struct("path", "place"))

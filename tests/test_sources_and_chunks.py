@@ -134,3 +134,18 @@ def test_streaming_resume(spark, tmp_path):
 
     assert ask(0) == ["0"]
     assert ask(1) == ["0", "1"]
+
+
+def test_chunks_leave_a_task_in_pieces(spark, monkeypatch):
+    """One Arrow batch of many files: chunks leave the task as soon as they have so many characters."""
+    import pyarrow as pa
+    from corpusloom.operators import chunkers
+
+    runs = []
+    monkeypatch.setattr(chunkers, "RUN_CHARS", 1000)
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, schema: runs.append(run) or self.selectExpr(*(f"cast(null AS {t}) AS {n}" for n, t in (f.split() for f in schema.split(", ")))))
+    files = spark.range(1).selectExpr("'r' AS repo", "'d.rst' AS path", "'d.rst' AS file", "'rst' AS suffix", "'bpf' AS text", "array('rst') AS langs", "true AS include_md")
+    chunkers.chunked(files)
+    rows = [{"repo": "r", "path": f"d{i}.rst", "file": "f", "suffix": "rst", "text": "bpf " + "word " * 100} for i in range(300)]
+    got = list(runs[0](iter([pa.RecordBatch.from_pylist(rows)])))
+    assert sum(b.num_rows for b in got) == 300 and max(b.num_rows for b in got) <= 2
