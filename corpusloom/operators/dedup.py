@@ -102,21 +102,33 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.repeat(own, [len(k) for k, _ in found]), gram, [joined[i : i + SHINGLE] for i in places[first].tolist()]
 
 
-def minima(text: np.ndarray, hashed: np.ndarray, n: int) -> np.ndarray:
-    """n x PERMUTATIONS: the least of each permutation over a text's hashes (texts ascend); 0 where a text has none."""
+def permuted(hashed: np.ndarray) -> np.ndarray:
+    """hashes x PERMUTATIONS: each permutation of each hash."""
     a, b = permutations()
-    out = np.full((n, PERMUTATIONS), PRIME, np.int64)
-    for start in range(0, len(text), 512):
-        own, x = text[start : start + 512], hashed[start : start + 512, None] * a
+    out = np.empty((len(hashed), PERMUTATIONS), np.uint32)
+    for start in range(0, len(hashed), 512):
+        x = hashed[start : start + 512, None] * a
         x += b
         for _ in range(2):  # the remainder by 2**31 - 1, of which both steps leave a multiple out
             high = x >> 31
             x &= PRIME
             x += high
         x[x == PRIME] = 0
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        out[own[first]] = np.minimum(out[own[first]], np.minimum.reduceat(x, first, axis=0))
-    out[np.bincount(text, minlength=n) == 0] = 0
+        out[start : start + 512] = x
+    return out
+
+
+def minima(text: np.ndarray, gram: np.ndarray, hashed: np.ndarray, n: int) -> np.ndarray:
+    """n x PERMUTATIONS: the least of each permutation over a text's shingles (texts ascend); 0 where a text has none.
+
+    Each distinct shingle is permuted once, however many texts have it.
+    """
+    out, table = np.zeros((n, PERMUTATIONS), np.int64), permuted(hashed)
+    ends = np.cumsum(np.bincount(text, minlength=n)).tolist()
+    for i, (start, end) in enumerate(zip([0, *ends], ends)):
+        for at in range(start, end, 4096):
+            least = table[gram[at : min(at + 4096, end)]].min(0)
+            out[i] = least if at == start else np.minimum(out[i], least)
     return out
 
 
@@ -138,7 +150,7 @@ def signatures(rows: DataFrame, text: str, seq: str = "seq") -> DataFrame:
                     continue
                 of, gram, grams = shingles(texts[start : i + 1])
                 n = i + 1 - start
-                out = minima(of, np.fromiter((known[g] for g in grams), np.int64, len(grams))[gram], n)
+                out = minima(of, gram, np.fromiter((known[g] for g in grams), np.int64, len(grams)), n)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PERMUTATIONS), pa.array(out.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(np.bincount(of, minlength=n), pa.int32()), lists], ["seq", "n_shingles", "signature"])
                 start, size = i + 1, 0

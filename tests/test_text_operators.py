@@ -157,3 +157,20 @@ def test_evaluate_checks_asks_once(spark, monkeypatch):
     monkeypatch.setattr(runtime, "written", lambda df, name: names.append(name) or written(df, name))
     assert source_catalogue.evaluate_checks(spark, "/root/testdata/sf0.001").count() > 100
     assert names == ["asked"]
+
+
+def test_each_shingle_is_permuted_once(monkeypatch):
+    import numpy as np
+    from corpusloom.operators import dedup
+
+    sizes, permuted = [], dedup.permuted
+    monkeypatch.setattr(dedup, "permuted", lambda h: sizes.append(len(h)) or permuted(h))
+    texts = ["abcdefgh" * 3, "", "abcdefgh" * 3, "abcdefgz", "abcd"]
+    of, gram, grams = dedup.shingles(texts)
+    hashed = np.array([dedup.Hashed()[g] for g in grams], np.int64)
+    got = dedup.minima(of, gram, hashed, len(texts))
+    a, b = dedup.permutations()
+    for i in range(len(texts)):
+        own = [int(hashed[g]) for g in gram[of == i]]
+        assert got[i].tolist() == [min((int(x) * h + int(y)) % dedup.PRIME for h in own) if own else 0 for x, y in zip(a, b)]
+    assert sizes == [len(set(grams))]
