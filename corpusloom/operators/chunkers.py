@@ -201,7 +201,7 @@ def stem(path: str) -> str:
 PARSERS = {"md": markdown, "rst": rst, "rs": rust, "c": c, "h": c, "go": go, "py": python}
 
 
-def routed(files: DataFrame, gates: dict[str, str] = signals.GATES) -> DataFrame:
+def routed(files: DataFrame, gates: dict[str, str] = signals.QUICK_GATES) -> DataFrame:
     """Files whose suffix has a parser, is wanted by the repository, and whose text passes the suffix's gate."""
     wanted = F.when(F.col("suffix") == "md", F.col("include_md")).when(F.col("suffix") == "rst", True).otherwise(F.array_contains("langs", F.col("suffix")))
     passes = F.lit(False)
@@ -210,7 +210,7 @@ def routed(files: DataFrame, gates: dict[str, str] = signals.GATES) -> DataFrame
     return files.where(wanted & passes)
 
 
-def chunked(files: DataFrame, parsers: dict[str, Callable[[str, str], Iterator[Chunk]]] = PARSERS, gates: dict[str, str] = signals.GATES) -> DataFrame:
+def chunked(files: DataFrame, parsers: dict[str, Callable[[str, str], Iterator[Chunk]]] = PARSERS, gates: dict[str, str] = signals.QUICK_GATES) -> DataFrame:
     """Chunks of files (repo, path, file, suffix, text, langs, include_md), the first of each id within its file."""
     fields = [f.split()[0] for f in schemas.CHUNK.split(", ")]
     kinds = [pa.list_(pa.string()) if f == "code" else pa.string() for f in fields] + [pa.string(), pa.int64()]

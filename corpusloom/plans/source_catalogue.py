@@ -250,7 +250,8 @@ _SIGNS = ["", " KProbe", ' SEC("xdp")', " use aya::", " link.AttachXDP", " perf.
 def gate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which files' texts pass the gate of their suffix: every document with each suffix, and a sign of one language or none."""
     ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", "_")
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(ascii_, _pick(_SIGNS, F.col("doc_id"))).alias("text"), F.explode(F.array(*map(F.lit, signals.GATES))).alias("suffix"))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(ascii_, _pick(_SIGNS, F.col("doc_id"))).alias("text"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, signals.GATES))).alias("suffix"))  # the text is made once for all suffixes
     rows = rows.withColumns({"langs": F.array(*map(F.lit, _SUFFIXES)), "include_md": F.col("doc_id") % 2 == 0})
     return chunkers.routed(rows).select("doc_id", "suffix")
 

@@ -1,6 +1,7 @@
 """Edge rows of the quality rules, deduplication, prompts and evaluation."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +160,23 @@ def test_evaluate_checks_asks_once(spark, monkeypatch):
     assert names == ["asked"]
 
 
+def test_quick_gates_are_the_gates(spark):
+    """Both forms of each gate on words and parts of words, whole and cut, in both cases, with letters that fold to k and s."""
+    import random
+
+    from corpusloom.functions import signals
+    from pyspark.sql import functions as F
+
+    parts = [x for p in set(signals.GATES.values()) for x in re.sub(r"\(\?\w+\)|\\[bs][+*]?|\\|[()\[\]]", " ", p).replace("|", " ").split()]
+    draw = random.Random(1)
+    made = parts + ["".join(draw.choice([*parts, *" \n_-.(#éKſ‍1", "SEC (", "b = BPF (", "NewReader x ringbuf"]) for _ in range(draw.randint(1, 5))) for _ in range(4000)]
+    made += [x.upper() for x in made] + [x.replace("k", "K").replace("s", "ſ") for x in made]
+    df = spark.createDataFrame([(x,) for x in made], "t string")
+    got = df.agg(*(F.count_if(F.col("t").rlike(g) != F.col("t").rlike(signals.QUICK_GATES[s])).alias(s) for s, g in signals.GATES.items()), *(F.count_if(F.col("t").rlike(g)).alias(f"n_{s}") for s, g in signals.GATES.items())).first()
+    assert all(got[s] == 0 and got[f"n_{s}"] > 20 for s in signals.GATES)
+    assert set(signals.QUICK_GATES) == set(signals.GATES) and all(signals.QUICK_GATES[s] != g for s, g in signals.GATES.items())
+
+
 def test_each_shingle_is_permuted_once(monkeypatch):
     import numpy as np
     from corpusloom.operators import dedup
