@@ -377,3 +377,19 @@ def test_asking_takes_all_tasks(spark):
 
     assert evaluate.asked(problems, provider, "s").select("answer").distinct().count() > 1
     assert evaluate.asked(problems, provider, "s", at_once=1).select("answer").distinct().count() == 1
+
+
+def test_small_splits_share_tasks(spark, tmp_path, monkeypatch):
+    """Line numbers hold, and tasks are few, where a file has many more splits than tasks."""
+    from corpusloom.sources import lines
+
+    monkeypatch.setattr(lines, "MOST_TASKS", 3)
+    (tmp_path / "a.txt").write_text("\n".join(f"{i} {'x' * (i % 50)}" for i in range(2000)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        found = lines.numbered(spark, str(tmp_path / "a.txt"))
+        assert spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions() > 30 and found.rdd.getNumPartitions() <= 3
+        assert all(r["value"].split(" ")[0] == str(r["line"]) for r in found.collect()) and found.count() == 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
