@@ -17,8 +17,8 @@ from corpusloom.functions.text import normalised
 SHINGLE, PERMUTATIONS, BANDS, PRIME, SEED, LEAST_EQUAL = 5, 128, 32, (1 << 31) - 1, 42, 109
 #: Shingles that a task remembers with their hashes, and characters that it takes at once.
 REMEMBERED, RUN_CHARS = 500_000, 1_000_000
-#: Rows that meet in a task, and the keys by which a later match is looked for first.
-BLOCK, QUICK_KEYS = 1024, 3
+#: Rows of a key that meet in a task, rows of tasks that are compared together, bits of a place by which rows are told apart first.
+BLOCK, SMALL, PLANES = 8192, 32, 4
 
 
 def hashes(question: Column, answer: Column) -> tuple[Column, Column]:
@@ -166,8 +166,36 @@ def buckets(signed: DataFrame) -> DataFrame:
     return signed.select("seq", F.explode(bands).alias("b")).select("seq", "b.band", "b.key")
 
 
-def _keys(signed: DataFrame) -> DataFrame:
-    """key, seq, signature: one row for each of PERMUTATIONS - LEAST_EQUAL + 1 groups of places.
+#: A class of equal signatures, by 128 bits of hash: signatures themselves are not shuffled to be grouped.
+CLASS = ["h1", "h2"]
+
+
+def _class() -> list[Column]:
+    return [F.xxhash64("signature").alias("h1"), F.xxhash64(F.lit(1), "signature").alias("h2")]
+
+
+def _bits(signed: DataFrame, planes: int) -> DataFrame:
+    """signed with bits in place of signature: its lowest bit of each place, then the second lowest, to `planes` of them.
+
+    Places that differ in any of these bits differ, so bits tell how many places are equal at most; 32 planes tell it exactly.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("signature")
+            values = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(len(b), PERMUTATIONS).view(np.uint32)
+            packed = np.concatenate([np.packbits((values >> np.uint32(p) & np.uint32(1)).astype(np.uint8), axis=1) for p in range(planes)], axis=1)
+            width = packed.shape[1]
+            column = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(np.arange(len(b) + 1, dtype=np.int32) * width), pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), column], [*(n for n in b.schema.names if n != "signature"), "bits"])
+
+    others = [f for f in signed.schema.fields if f.name != "signature"]
+    ready = signed.select(*(f.name for f in others), F.col("signature").cast("array<int>").alias("signature"))
+    return ready.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "bits binary"]))
+
+
+def _key_array() -> Column:
+    """Hashes of PERMUTATIONS - LEAST_EQUAL + 1 groups of places.
 
     Two signatures with LEAST_EQUAL equal places differ in fewer places than there are groups, so at least one group is
     equal as a whole. Such signatures share bands too (at most 19 of the 32 can differ), so nothing is added or lost
@@ -175,122 +203,198 @@ def _keys(signed: DataFrame) -> DataFrame:
     """
     groups = PERMUTATIONS - LEAST_EQUAL + 1
     cuts = [PERMUTATIONS * g // groups for g in range(groups + 1)]
-    keys = [F.xxhash64(F.lit(g), F.slice("signature", a + 1, b - a)) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
-    return signed.select("seq", F.col("signature").cast("array<int>").alias("signature"), F.posexplode(F.array(*keys)).alias("place", "key"))
+    return F.array(*(F.xxhash64(F.lit(g), F.slice("signature", a + 1, b - a)) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))))
 
 
-def later_matches(asked: np.ndarray, seqs: np.ndarray, wanted: np.ndarray, signed: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in asked, place in seqs, equal places) of matches with a larger seq; if first, one for each asked row at most."""
-    low = lambda x: np.ascontiguousarray(((x ^ x >> 8 ^ x >> 16 ^ x >> 24) & 255).astype(np.uint8).T)
-    ours, theirs = low(wanted), low(signed)  # a byte for each place; equal values have equal bytes
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _near(ours: np.ndarray, theirs: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, equal places at most) of the pairs of rows ours[x], theirs[y] with LEAST_EQUAL or more."""
+    apart = np.zeros((len(x), 2), np.uint64)
+    for p in range(0, ours.shape[1], 2):
+        apart |= ours[x, p : p + 2] ^ theirs[y, p : p + 2]
+        n = np.bitwise_count(apart).sum(1, dtype=np.int32)
+        good = n <= PERMUTATIONS - LEAST_EQUAL
+        if not good.all():
+            x, y, apart, n = x[good], y[good], apart[good], n[good]
+    return x, y, PERMUTATIONS - n
+
+
+def later_matches(asked: np.ndarray, seqs: np.ndarray, wanted: np.ndarray, bits: np.ndarray, first: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in asked, place in seqs, equal places at most) of matches with a larger seq, in parts; if first, one for each
+    asked row at most. asked and seqs fall."""
     open_, start, step = np.arange(len(asked)), 0, 64
-    while start < len(seqs) and len(open_):
-        part = slice(start, start + step)
-        found_i, found_j, found_n = [], [], []
+    while start < len(seqs) and len(open_) and seqs[start] > asked[open_[-1]]:
+        theirs, later, met = bits[start : start + step], seqs[start : start + step], []
         for at in range(0, len(open_), 64):
             rows = open_[at : at + 64]
-            equal = np.zeros((len(rows), len(seqs[part])), np.uint8)
-            for x, y in zip(ours[:, rows], theirs[:, part]):
-                equal += x[:, None] == y
-            i, j = np.nonzero((equal >= LEAST_EQUAL) & (seqs[None, part] > asked[rows, None]))
-            n = (wanted[rows[i]] == signed[j + start]).sum(1)
-            good = n >= LEAST_EQUAL
-            i, j, n = i[good], j[good], n[good]
+            if later[0] <= asked[rows[-1]]:
+                continue
+            apart = np.bitwise_count(wanted[rows, None, 0] ^ theirs[None, :, 0])
+            apart += np.bitwise_count(wanted[rows, None, 1] ^ theirs[None, :, 1])
+            i, j = np.nonzero((apart <= PERMUTATIONS - LEAST_EQUAL) & (later[None, :] > asked[rows, None]))
+            i, j, n = _near(wanted, theirs, rows[i], j)
             if first:
                 i, own = np.unique(i, return_index=True)
                 j, n = j[own], n[own]
-            found_i.append(i + at)
-            found_j.append(j + start)
-            found_n.append(n)
-        i = np.concatenate(found_i)
-        out.append((open_[i], np.concatenate(found_j), np.concatenate(found_n)))
-        if first:
-            open_ = np.delete(open_, i)
+                met.append(i)
+            yield i, j + start, n
+        if met:
+            open_ = np.setdiff1d(open_, np.concatenate(met), assume_unique=True)
         start, step = start + step, min(step * 4, 1024)
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _met(dealt: DataFrame, first: bool) -> DataFrame:
-    """j, i, n_equal: rows that were asked (side 0) and later rows of the same task (side 1, or 2 for both) that match."""
+def matches(task: np.ndarray, side: np.ndarray, seq: np.ndarray, bits: np.ndarray, first: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, place of a later row, equal places at most) of the matches in whole tasks, in parts; rows lie by task, falling seq.
+
+    Small tasks, nearly all there are, are compared together: each row with the row before it, then the one before that.
+    """
+    starts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
+    sizes = np.diff(np.r_[starts, len(task)])
+    place = np.arange(len(task)) - np.repeat(starts, sizes)
+    rows = np.flatnonzero(np.repeat(sizes <= SMALL, sizes) & (place > 0) & (side != 2))
+    for back in range(1, SMALL):
+        rows = rows[place[rows] >= back]
+        if not len(rows):
+            break
+        x = rows[(side[rows - back] != 1) & (seq[rows - back] > seq[rows])]
+        x, y, n = _near(bits, bits, x, x - back)
+        yield x, y, n
+        if first:
+            rows = np.setdiff1d(rows, x, assume_unique=True)
+    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        own = np.arange(start, start + size)
+        a, b = own[side[own] != 2], own[side[own] != 1]
+        for x, y, n in later_matches(seq[a], seq[b], bits[a], bits[b], first):
+            yield a[x], b[y], n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def done() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            side, seq = t.column("side").to_numpy(), t.column("seq").to_numpy()
-            flat = t.column("signature").combine_chunks()
-            signed = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
-            a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            x, y, n = later_matches(seq[a], seq[b], signed[a], signed[b], first)
-            yield pa.RecordBatch.from_arrays([pa.array(seq[a][x]), pa.array(seq[b][y]), pa.array(n.astype(np.int32))], ["j", "i", "n_equal"])
+def _met(dealt: DataFrame, first: bool, output: str) -> DataFrame:
+    """Of dealt (task, side, seq, bits): side 1 asks, 2 answers, 3 does both.
 
+    output "pairs": j, i, n_equal of rows that ask and later rows of their task that answer and may match; "rows": the
+    task, side and seq of both.
+    """
+
+    def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, side, seq = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+        parts = []
+        for column in (b.column(3) for b in held):
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            parts.append(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1))
+        bits = np.ascontiguousarray(np.concatenate(parts)).view(np.uint64)
+        hit = np.zeros((2, len(task)), bool)
+        for x, y, n in matches(task, side, seq, bits, first):
+            if output == "rows":
+                hit[0, x] = hit[1, y] = True
+            elif len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(seq[x]), pa.array(seq[y]), pa.array(n.astype(np.int32))], ["j", "i", "n_equal"])
+        if output == "rows":
+            both = (hit[0] + 2 * hit[1]).astype(np.int32)
+            at = np.flatnonzero(both)
+            yield pa.RecordBatch.from_arrays([pa.array(task[at]), pa.array(both[at]), pa.array(seq[at])], ["task", "side", "seq"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            tasks = b.column(0).to_numpy()
-            ends = [*(np.flatnonzero(np.diff(tasks)) + 1), len(b)]
-            for start, end in zip([0, *ends[:-1]], ends):
-                if held and held[0].column(0)[0].as_py() != tasks[start]:
-                    yield from done()
-                    held.clear()
-                held.append(b.slice(start, end - start))
+            if not len(b):
+                continue
+            task = b.column(0).to_numpy()
+            last = int(np.searchsorted(task, task[-1]))  # where the batch's last task begins, which may go on
+            if held and (last or held[-1].column(0)[-1].as_py() != task[0]):
+                yield from made([*held, b.slice(0, last)] if last else held)
+                held = []
+            elif last:
+                yield from made([b.slice(0, last)])
+            held.append(b.slice(last))
         if held:
-            yield from done()
+            yield from made(held)
 
     parts = runtime.shuffle_partitions(dealt.sparkSession)
-    rows = dealt.select("task", "side", "seq", "signature").repartition(parts, "task").sortWithinPartitions("task", F.desc("seq"))
-    return rows.mapInArrow(run, "j long, i long, n_equal int")
+    rows = dealt.select("task", "side", "seq", "bits").repartition(parts, "task").sortWithinPartitions("task", F.desc("seq"))
+    return rows.mapInArrow(run, "task long, side int, seq long" if output == "rows" else "j long, i long, n_equal int")
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """task, side, seq, bits of rows (key, seq, asks, bits): a key is a task, or one for each two of its blocks of about
+    BLOCK rows where sizes (key, n) names it: those of more than BLOCK rows."""
+    named = runtime.sized(sizes)
+    one = rows.join(named, "key", "left_anti").select(F.col("key").alias("task"), F.when(F.col("asks"), 3).otherwise(2).alias("side"), "seq", "bits")
+    many = rows.join(named, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("seq"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asking = F.when(F.col("asks"), F.struct(F.xxhash64("key", "own", "other").alias("task"), F.when(F.col("own") == F.col("other"), 3).otherwise(1).alias("side")))
+    answering = F.when(~F.col("asks") | (F.col("own") != F.col("other")), F.struct(F.xxhash64("key", "other", "own").alias("task"), F.lit(2).alias("side")))
+    many = many.select(F.explode(F.array(asking, answering)).alias("t"), "seq", "bits").where("t is not null")
+    return one.unionByName(many.select("t.task", "t.side", "seq", "bits"))
+
+
+def _candidates(own: DataFrame, sizes: DataFrame, first: bool) -> DataFrame:
+    """j, i, n_equal of representatives that share a key and, by PLANES bits of a place, may match; n_equal at most."""
+    keyed = own.select(F.explode("keys").alias("key"), "seq", F.lit(True).alias("asks"), "bits")
+    return _met(_dealt(keyed, sizes), first, "pairs")
+
+
+def _sizes(own: DataFrame) -> DataFrame:
+    """key, n of the keys of more than BLOCK rows."""
+    return runtime.written(own.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "key-sizes")
 
 
-def _searched(asked: DataFrame, signed: DataFrame, first: bool) -> DataFrame:
-    """j, i, n_equal of the asked rows and their later matches in signed: rows of a key meet in blocks of BLOCK."""
-    own = _keys(signed)
-    wanted = _keys(asked).select("key", "seq", "signature")
-    sizes = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = runtime.written(sizes.join(wanted.groupBy("key").agg(F.count("*").alias("m")), "key"), "key-sizes")
-    blocks, sides = (F.ceil(F.col(x) / BLOCK).cast("int") for x in "nm")
-    place = lambda n, salt: F.pmod(F.xxhash64("seq", F.lit(salt)), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    task = F.xxhash64("key", "side_no", "block_no").alias("task")
-    left = wanted.join(sizes, "key").select("*", place(sides, 1).alias("side_no"), every(blocks).alias("block_no")).select(task, F.lit(0).alias("side"), "seq", "signature")
-    right = own.join(sizes, "key").select("*", place(blocks, 2).alias("block_no"), every(sides).alias("side_no")).select(task, F.lit(1).alias("side"), "seq", "signature")
-    return _met(left.unionByName(right), first)
+def _verified(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """j, i, n_equal of the pairs of a written table whose whole signatures match."""
+    ids = pairs.select(F.col("j").alias("seq")).unionByName(pairs.select(F.col("i").alias("seq"))).distinct()
+    ids = runtime.written(ids, "pair-rows")
+    whole = signed.select("seq", F.col("signature").cast("array<int>").alias("signature")).join(runtime.sized(ids), "seq", "left_semi")
+    both = pairs.select("j", "i").join(whole.select(F.col("seq").alias("j"), F.col("signature").alias("a")), "j").join(whole.select(F.col("seq").alias("i"), F.col("signature").alias("b")), "i")
+    equal = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same))
+    return both.select("j", "i", equal.alias("n_equal")).where(F.col("n_equal") >= LEAST_EQUAL)
 
 
 def near_classes(signed: DataFrame) -> DataFrame:
     """seq, last: the last row with the same signature."""
-    last = runtime.written(signed.groupBy("signature").agg(F.max("seq").alias("last"), F.count("*").alias("n")), "signature-classes")
-    return runtime.spread_join(signed.select("seq", "signature"), last, ["signature"]).select("seq", "last")
+    hashed = runtime.written(signed.select("seq", *_class()), "signature-hashes")
+    last = runtime.written(hashed.groupBy(*CLASS).agg(F.max("seq").alias("last"), F.count("*").alias("n")), "signature-classes")
+    return runtime.spread_join(hashed, last, CLASS).select("seq", "last")
 
 
 def representatives(signed: DataFrame) -> DataFrame:
-    """seq, signature: the last row of each signature."""
-    return runtime.written(signed.groupBy("signature").agg(F.max("seq").alias("seq")).select("seq", "signature"), "representatives")
+    """seq, keys, bits: the last row of each signature, its keys and PLANES bits of each place."""
+    rows = _bits(signed.select("seq", *_class(), _key_array().alias("keys"), "signature"), PLANES)
+    last = rows.groupBy(*CLASS).agg(F.max("seq").alias("seq"), F.max_by(F.struct("keys", "bits"), "seq").alias("r"))
+    return runtime.written(last.select("seq", "r.keys", "r.bits"), "representatives")
 
 
 def near_pairs(signed: DataFrame) -> DataFrame:
     """i, j (i > j), n_equal: the representatives of two signatures with 109 places or more in common."""
     own = representatives(signed)
-    return _searched(own, own, False).distinct().select("i", "j", "n_equal")
+    found = runtime.written(_candidates(own, _sizes(own), False).select("j", "i").distinct(), "near-candidates")
+    return _verified(found, signed).select("i", "j", "n_equal")
 
 
 def near_dropped(signed: DataFrame) -> DataFrame:
     """seq of every row of a written table with a later near duplicate.
 
     All but the last row of each signature go, and only that one is compared with other signatures (a later match of
-    any of them is a match of the last). One later match is enough: most rows find it in one block of a few of their
-    keys; only those that do not are held against all rows that share any key.
+    any of them is a match of the last). One later match is enough: rows meet by their keys with a few bits of each
+    place only, and of what may match a row, the best is held against its whole signature. Rows whose best fails (few:
+    what a few bits let through is a match or nearly one) meet all that may match them once more, with whole signatures.
     """
     own = representatives(signed)
-    copies = signed.select("seq").join(own, "seq", "left_anti")
-    quick = _keys(own).where(F.col("place") < QUICK_KEYS)
-    sizes = quick.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    block = F.pmod(F.xxhash64("seq"), F.ceil(F.col("n") / BLOCK))
-    dealt = quick.join(sizes, "key").select(F.xxhash64("key", block).alias("task"), F.lit(2).alias("side"), "seq", "signature")
-    found = runtime.written(_met(dealt, True).select(F.col("j").alias("seq")).distinct(), "near-quick")
-    rest = runtime.written(own.join(found, "seq", "left_anti"), "near-asked")
-    late = _searched(rest, own, True).select(F.col("j").alias("seq")).distinct()
-    return copies.unionByName(found).unionByName(late)
+    sizes = _sizes(own)
+    copies = signed.select("seq").join(own.select("seq"), "seq", "left_anti")
+    best = _candidates(own, sizes, True).groupBy("j").agg(F.max_by("i", F.struct("n_equal", "i")).alias("i"))
+    best = runtime.written(best, "near-candidates")
+    found = runtime.written(_verified(best, signed).select(F.col("j").alias("seq")), "near-found")
+    rest = runtime.written(best.select(F.col("j").alias("seq")).join(found, "seq", "left_anti"), "near-rest")
+    return copies.unionByName(found).unionByName(_whole_matches(rest, own, sizes, signed))
+
+
+def _whole_matches(rest: DataFrame, own: DataFrame, sizes: DataFrame, signed: DataFrame) -> DataFrame:
+    """seq of the rows of rest with a later match: whole signatures go to a task only for rows that its few bits leave."""
+    asked = runtime.sized(rest)
+    keys = runtime.written(own.join(asked, "seq", "left_semi").select(F.explode("keys").alias("key")).distinct(), "rest-keys")
+    keyed = own.join(asked.withColumn("asks", F.lit(True)), "seq", "left").select(F.explode("keys").alias("key"), "seq", F.coalesce("asks", F.lit(False)).alias("asks"), "bits")
+    few = keyed.join(runtime.sized(keys), "key", "left_semi")
+    left = runtime.written(_met(_dealt(few, sizes), False, "rows"), "rest-rows")
+    whole = signed.select("seq", "signature").join(runtime.sized(left.select("seq").distinct()), "seq", "left_semi")
+    return _met(left.join(_bits(whole, 32), "seq"), True, "pairs").select(F.col("j").alias("seq")).distinct()
 
 
 def near_deduplicated(rows: DataFrame, text: str, seq: str = "seq") -> DataFrame:

@@ -192,3 +192,42 @@ def test_each_shingle_is_permuted_once(monkeypatch):
         own = [int(hashed[g]) for g in gram[of == i]]
         assert got[i].tolist() == [min((int(x) * h + int(y)) % dedup.PRIME for h in own) if own else 0 for x, y in zip(a, b)]
     assert sizes == [len(set(grams))]
+
+
+def shuffled(spark, job):
+    """Bytes that the stages of job wrote for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    java, quantiles = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: java.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, quantiles, None))
+    before = {s.stageId() for s in stages()}
+    got = job()
+    return got, sum(s.shuffleWriteBytes() for s in stages() if s.stageId() not in before)
+
+
+def test_near_dedup_shuffles_few_bytes_a_row(spark):
+    """Rows that share keys by chance, and match none, go to tasks without their signatures (512 bytes for each of 20 keys)."""
+    draw = random.Random(5)
+    values = [draw.choices(range(1 << 31), k=3) for _ in range(128)]
+    rows = [(i, [draw.choice(v) for v in values]) for i in range(3000)]
+    signed = spark.createDataFrame(rows, "seq long, signature array<long>").cache()
+    signed.count()
+    got, n = shuffled(spark, lambda: dedup.near_dropped(signed).collect())
+    assert not got and n < 2600 * len(rows)
+
+
+@pytest.mark.parametrize("block, small", [(8192, 32), (7, 3)])
+def test_near_dedup_tells_108_from_109_places(spark, monkeypatch, block, small):
+    """Places that agree in their low bits only, in small tasks, in large ones and between blocks."""
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    monkeypatch.setattr(dedup, "SMALL", small)
+    draw, rows = random.Random(8), []
+    for _ in range(4):
+        one = draw.choices(range(1 << 20), k=128)
+        for n in [0, *draw.choices([17, 18, 19, 20, 20, 21, 22], k=60)]:
+            at = set(draw.sample(range(draw.choice([22, 128])), n))
+            rows.append([x + (draw.randint(1, 1 << 20) << draw.choice([0, 4, 8])) * (i in at) for i, x in enumerate(one)])
+    draw.shuffle(rows)
+    signed = spark.createDataFrame(list(enumerate(rows)), "seq long, signature array<long>").repartition(3).cache()
+    brute = [(i, j, n) for i, x in enumerate(rows) for j, y in enumerate(rows[:i]) if (n := sum(a == b for a, b in zip(x, y))) >= 109]
+    assert {r["seq"] for r in dedup.near_dropped(signed).collect()} == {j for _, j, _ in brute}
+    assert sorted(map(tuple, dedup.near_pairs(signed).collect())) == sorted(brute) and brute
